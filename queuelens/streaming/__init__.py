@@ -1,0 +1,7 @@
+"""No streaming operators: the workload is a batch over one dated extract.
+
+The row-level steps in :mod:`queuelens.operators.clean` (labels, timestamps,
+scores, durations, flags) are plain projections, so they apply to a streaming
+DataFrame unchanged; exact de-duplication and conflicting ids need the whole
+extract and stay batch.
+"""
