@@ -53,7 +53,7 @@ def total(name: str) -> Column:
 
 def weighted_quantile(value: str, q: float, weight: str = "n") -> Column:
     """Exact interpolated quantile of (value, frequency) rows; NULL values do not count."""
-    return F.percentile(value, F.lit(q), weight)
+    return F.percentile(value, F.lit(q), F.col(weight))
 
 
 def stack_dimensions(

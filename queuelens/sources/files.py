@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 from queuelens.functions.timecols import parse_date
 from queuelens.profile import RAW_AGENT_COLUMNS, RAW_TICKET_COLUMNS, TicketProfile
 
+CONCURRENT_WRITES = 8
+
 CLEAN_SCHEMA = T.StructType(
     [
         T.StructField("ticket_id", T.StringType()),
@@ -103,10 +106,14 @@ def slug(title: str) -> str:
 def write_cuts(cuts: Mapping[str, DataFrame], path: str) -> dict[str, str]:
     """S3: each titled cut as one CSV folder named after its title.
 
-    Cuts are report-sized aggregates, so each is brought into one file.
+    Cuts are report-sized aggregates, so each is brought into one file; their
+    jobs are independent and submitted side by side.
     """
-    written = {}
-    for title, cut in cuts.items():
-        written[title] = f"{path}/{slug(title)}.csv"
-        write_text_csv(cut.coalesce(1), written[title])
-    return written
+    targets = {title: f"{path}/{slug(title)}.csv" for title in cuts}
+
+    def write(title: str) -> None:
+        write_text_csv(cuts[title].coalesce(1), targets[title])
+
+    with ThreadPoolExecutor(CONCURRENT_WRITES) as pool:
+        list(pool.map(write, cuts))
+    return targets
