@@ -17,13 +17,28 @@ _MINUTES_PER_DAY = 1440
 
 
 def parse_first(col: Column, formats: Sequence[str]) -> Column:
-    """The first format that parses wins; NULL when none does."""
+    """The first format that parses wins; NULL when none does.
+
+    A format is tried only on text holding its separator, which spares most
+    rows all but the one parse that can succeed.
+    """
     text = F.trim(col)
     return F.coalesce(
-        *[F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz") for fmt in formats]
+        *[
+            F.when(
+                F.contains(text, F.lit(_separator(fmt))),
+                F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz"),
+            )
+            for fmt in formats
+        ]
     )
 
 
+def _separator(fmt: str) -> str:
+    """First character of the pattern that stands for itself."""
+    return next((c for c in fmt if not c.isalpha() and not c.isspace()), "")
+
+
 def parse_date(col: Column, fmt: str) -> Column:
     return F.try_to_timestamp(F.trim(col), F.lit(fmt)).cast("date")
 

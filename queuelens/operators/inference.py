@@ -9,17 +9,15 @@ per cell, or per day of duration.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from queuelens.functions.numeric import ratio, round_to
+from queuelens.functions.numeric import pct, ratio, round_to
 from queuelens.functions.tails import chi2_tail, normal_two_sided
 from queuelens.operators.clean import valid_resolution
 from queuelens.operators.metrics import above_short_scale
-from queuelens.operators.mixture import long_scale_height, population_sizes, score_counts
+from queuelens.operators.mixture import population_sizes, score_counts, with_scale_model
 from queuelens.plans.shapes import stack_dimensions
 from queuelens.profile import TicketProfile
 
@@ -37,7 +35,7 @@ def _verdict(p: Column, profile: TicketProfile, quiet: str, loud: str) -> Column
 
 def _with_p(df: DataFrame, profile: TicketProfile, quiet: str, loud: str) -> DataFrame:
     """Adds p_value and verdict to a frame with ``chi2`` and ``dof``; rounds the statistic."""
-    p = chi2_tail(F.col("chi2"), F.col("dof"))
+    p = chi2_tail("chi2", "dof")
     return (
         df.withColumn("p_value", p)
         .withColumn("verdict", _verdict(F.col("p_value"), profile, quiet, loud))
@@ -116,7 +114,9 @@ def _range_midranks(counts: DataFrame, value: str, group: str, bucket_width: flo
 
     Ranks need a running count over all values.  It is taken inside buckets of
     the value range in parallel and shifted by the bucket's offset, which comes
-    from one row per bucket; no step orders all values in one task.
+    from one row per bucket; no step orders all values in one task.  The
+    null-safe match lets both sides read the same shuffle: a plain one would
+    push a NULL filter into one of them and scan the tickets twice.
     """
     bucketed = counts.withColumn("bucket", F.floor(F.col(value) / F.lit(float(bucket_width))))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -124,7 +124,7 @@ def _range_midranks(counts: DataFrame, value: str, group: str, bucket_width: flo
         bucketed.groupBy("bucket")
         .agg(F.sum("n").alias("in_bucket"))
         .select(
-            "bucket",
+            F.col("bucket").alias("offset_of"),
             F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("offset"),
             F.sum("in_bucket").over(Window.partitionBy()).alias("total"),
         )
@@ -133,7 +133,7 @@ def _range_midranks(counts: DataFrame, value: str, group: str, bucket_width: flo
     same = Window.partitionBy("bucket", value)
     ranked = bucketed.withColumns(
         {"upto": F.sum("n").over(upto), "ties": F.sum("n").over(same)}
-    ).join(offsets, "bucket")
+    ).join(offsets, F.col("bucket").eqNullSafe(F.col("offset_of")))
     rank = F.col("offset") + F.col("upto") - F.col("ties") + (F.col("ties") + 1) / F.lit(2.0)
     return ranked.select(value, group, "n", "ties", "total", rank.alias("rank"))
 
@@ -204,7 +204,7 @@ def two_prop_z_cells(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     inverse_sizes = F.try_divide(F.lit(1.0), cell_n) + F.try_divide(F.lit(1.0), all_n)
     error = F.sqrt(pooled * (F.lit(1.0) - pooled) * inverse_sizes)
     tested = counted.withColumn("z", F.try_divide(rate - overall, error)).withColumn(
-        "p", normal_two_sided(F.col("z"))
+        "p", normal_two_sided("z")
     )
     threshold = F.lit(profile.significance) / F.col("cells")
     worst_first = Window.orderBy(rate.desc_nulls_last(), "category", "channel")
@@ -223,14 +223,13 @@ def two_prop_z_cells(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     ).orderBy("worst_rank")
 
 
-def _gof(observed: Sequence[Column], expected: Sequence[Column]) -> Column:
-    terms = [
-        F.try_divide((o - e) * (o - e), e) for o, e in zip(observed, expected, strict=True)
-    ]
-    return reduce(add, terms)
+def _gof(observed: str, expected: str) -> Column:
+    """Chi-square distance of two arrays."""
+    terms = f"zip_with({observed}, {expected}, (o, e) -> try_divide((o - e) * (o - e), e))"
+    return F.expr(f"aggregate({terms}, 0D, (a, x) -> a + x)")
 
 
-def _gof_row(
+def _gof_report(
     row: DataFrame, chi2: Column, dof: int, profile: TicketProfile, quiet: str, loud: str
 ) -> DataFrame:
     test = row.select(chi2.alias("chi2"), F.lit(dof).cast("bigint").alias("dof"))
@@ -239,29 +238,31 @@ def _gof_row(
 
 def gof_upper_scores(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     """Are scores that only the long scale has evenly spread?"""
-    row, names = score_counts(tickets, profile)
-    high = [F.col(n) for n in names[profile.short_scale_max :]]
-    h = long_scale_height(names, profile)
-    return _gof_row(row, _gof(high, [h] * len(high)), len(high) - 1, profile, "yes, flat", "no")
+    short, high = profile.short_scale_max, profile.long_scale_max - profile.short_scale_max
+    chi2 = _gof(f"slice(observed, {short + 1}, {high})", f"array_repeat(h, {high})")
+    return _gof_report(
+        score_counts(tickets, profile), chi2, high - 1, profile, "yes, flat", "no"
+    )
 
 
 def gof_lower_scores(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     """Is what remains of scores 1-5 evenly spread once the long scale is taken off?"""
-    row, names = score_counts(tickets, profile)
-    h = long_scale_height(names, profile)
-    implied = [F.col(n) - h for n in names[: profile.short_scale_max]]
-    mean = reduce(add, implied) / F.lit(float(len(implied)))
-    return _gof_row(
-        row, _gof(implied, [mean] * len(implied)), len(implied) - 1, profile, "yes, flat", "no"
+    short = profile.short_scale_max
+    implied = score_counts(tickets, profile).select(
+        F.expr(f"transform(slice(observed, 1, {short}), n -> n - h)").alias("implied")
     )
+    mean = f"aggregate(implied, 0D, (a, n) -> a + n) / {short}D"
+    chi2 = _gof("implied", f"array_repeat({mean}, {short})")
+    return _gof_report(implied, chi2, short - 1, profile, "yes, flat", "no")
 
 
-def _mixture_gof(observed: Sequence[Column], h: Column, profile: TicketProfile) -> Column:
-    """Chi-square of all scores against two evenly spread groups."""
-    short = profile.short_scale_max
-    even_short = reduce(add, observed) / F.lit(float(short))
-    expected = [even_short - h] * short + [h] * (profile.long_scale_max - short)
-    return _gof(observed, expected)
+def _mixture_chi2(profile: TicketProfile) -> Column:
+    """Distance of ``observed`` from two evenly spread groups, given ``h`` and ``scored``."""
+    short, high = profile.short_scale_max, profile.long_scale_max - profile.short_scale_max
+    return _gof(
+        "observed",
+        f"concat(array_repeat(scored / {short}D - h, {short}), array_repeat(h, {high}))",
+    )
 
 
 def _mixture_dof(profile: TicketProfile) -> int:
@@ -270,9 +271,14 @@ def _mixture_dof(profile: TicketProfile) -> int:
 
 def gof_full_mixture(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     """Does the two-group model fit the whole histogram?"""
-    row, names = score_counts(tickets, profile)
-    chi2 = _mixture_gof([F.col(n) for n in names], long_scale_height(names, profile), profile)
-    return _gof_row(row, chi2, _mixture_dof(profile), profile, "MODEL FITS", "model rejected")
+    return _gof_report(
+        score_counts(tickets, profile),
+        _mixture_chi2(profile),
+        _mixture_dof(profile),
+        profile,
+        "MODEL FITS",
+        "model rejected",
+    )
 
 
 def _tilted_probabilities(tilt: float, scores: int) -> list[float]:
@@ -310,24 +316,29 @@ def simulate_mixture_trials(
         F.floor("n_long").alias("n_long"),
         F.inline(plans),
     ).select("*", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    names = [f"score_{s}" for s in range(1, long + 1)]
 
-    def draw(frames: Iterator) -> Iterator:
+    def draw(batches: Iterator) -> Iterator:
         import numpy as np
+        import pyarrow as pa
+
+        even = np.full(long, 1.0 / long)
+        for batch in batches:
+            drawn = []
+            for trial in batch.to_pylist():
+                rng = np.random.default_rng([seed, trial["tilt_no"], trial["trial"]])
+                counts = rng.multinomial(trial["n_long"], even)
+                counts[:short] += rng.multinomial(trial["n_short"], trial["weights"])
+                drawn.append(counts)
+            observed = pa.array(drawn, type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("tilt"), batch.column("trial"), observed],
+                names=["tilt", "trial", "observed"],
+            )
 
-        for frame in frames:
-            drawn = np.zeros((len(frame), long), dtype="int64")
-            for i, t in enumerate(frame.itertuples(index=False)):
-                rng = np.random.default_rng([seed, t.tilt_no, t.trial])
-                drawn[i, :short] = rng.multinomial(t.n_short, np.asarray(t.weights))
-                drawn[i] += rng.multinomial(t.n_long, np.full(long, 1.0 / long))
-            out = frame[["tilt", "trial"]].copy()
-            for column, name in enumerate(names):
-                out[name] = drawn[:, column]
-            yield out
-
-    schema = "tilt double, trial int, " + ", ".join(f"{n} bigint" for n in names)
-    return grid.repartition("tilt", "trial").mapInPandas(draw, schema)
+    trials_frame = grid.repartition("tilt", "trial").mapInArrow(
+        draw, "tilt double, trial int, observed array<bigint>"
+    )
+    return with_scale_model(trials_frame, profile)
 
 
 def power_simulation(
@@ -340,24 +351,21 @@ def power_simulation(
     """I8: how often I7 would notice a short-scale group tilted towards high scores."""
     simulated = simulate_mixture_trials(
         population_sizes(tickets, profile), profile, tilts, trials, seed
-    )
-    names = [c for c in simulated.columns if c.startswith("score_")]
-    chi2 = _mixture_gof([F.col(n) for n in names], long_scale_height(names, profile), profile)
-    p = chi2_tail(chi2, F.lit(_mixture_dof(profile)))
+    ).withColumn("chi2", _mixture_chi2(profile))
+    detected = chi2_tail("chi2", str(_mixture_dof(profile))) < profile.significance
     tilted_mean = F.lit(None).cast("double")
     for tilt in tilts:
         weights = _tilted_probabilities(tilt, profile.short_scale_max)
         mean = sum(w * s for s, w in enumerate(weights, start=1))
         tilted_mean = F.when(F.col("tilt") == float(tilt), F.lit(mean)).otherwise(tilted_mean)
+    found = F.count_if("detected")
     return (
-        simulated.select("tilt", (p < profile.significance).alias("detected"))
+        simulated.select("tilt", detected.alias("detected"))
         .groupBy("tilt")
         .agg(
             F.count("*").alias("trials"),
-            F.count_if("detected").alias("detections"),
-            round_to(ratio(F.lit(100.0) * F.count_if("detected"), F.count("*"))).alias(
-                "detected_percentage"
-            ),
+            found.alias("detections"),
+            pct(found, F.count("*"), 0).alias("detected_percentage"),
         )
         .withColumn("true_short_scale_mean", round_to(tilted_mean, 2))
         .orderBy("tilt")

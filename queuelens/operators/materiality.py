@@ -84,29 +84,38 @@ def mat_date_rows_dropped(raw: DataFrame, tickets: DataFrame, profile: TicketPro
     "Not among the dropped ids" is three-valued: one NULL among them leaves no
     ticket, and a ticket without id stays only when nothing is dropped.  Tickets
     are counted per (id, hours) before the join, so neither side can carry a hot
-    id into it, and the id list is never broadcast by decree.
+    id into it, and the id list is never broadcast by decree.  The match is
+    null-safe, and the id list keeps its row count, so that one scan feeds both
+    the join and the null check; the rows the match removes in excess are those
+    the null check overrules anyway.
     """
     slashed = F.col("created_at").like(profile.slashed_date_like)
-    dropped_ids = raw.filter(slashed).select("ticket_id")
+    dropped = raw.filter(slashed).groupBy("ticket_id").agg(F.count("*").alias("rows"))
+    ids = dropped.agg(
+        total("rows").alias("dropped_rows"),
+        F.coalesce(F.sum(F.when(F.col("ticket_id").isNull(), F.col("rows"))), F.lit(0)).alias(
+            "dropped_without_id"
+        ),
+    )
     per_id = tickets.groupBy("ticket_id", ticket_values()["hours"].alias("hours")).agg(
         F.count("*").alias("n")
     )
-    kept = per_id.join(dropped_ids.distinct(), "ticket_id", "left_anti")
+    kept = per_id.join(
+        dropped.filter("rows > 0").select(F.col("ticket_id").alias("dropped_id")),
+        F.col("ticket_id").eqNullSafe(F.col("dropped_id")),
+        "left_anti",
+    )
     by_hours = kept.groupBy("hours").agg(
         total("n").alias("n"),
-        F.sum(F.when(F.col("ticket_id").isNull(), F.col("n")).otherwise(0)).alias("no_id"),
+        F.sum(F.when(F.col("ticket_id").isNotNull(), F.col("n")).otherwise(0)).alias("with_id"),
     )
     speed = by_hours.agg(
         total("n").alias("kept"),
-        total("no_id").alias("kept_without_id"),
+        total("with_id").alias("kept_with_id"),
         weighted_quantile("hours", 0.5).alias("median"),
         weighted_quantile("hours", 0.9).alias("p90"),
-        F.percentile("hours", F.lit(0.5), F.col("n") - F.col("no_id")).alias("median_with_id"),
-        F.percentile("hours", F.lit(0.9), F.col("n") - F.col("no_id")).alias("p90_with_id"),
-    )
-    ids = dropped_ids.agg(
-        F.count("*").alias("dropped_rows"),
-        F.count_if(F.col("ticket_id").isNull()).alias("dropped_without_id"),
+        weighted_quantile("hours", 0.5, "with_id").alias("median_with_id"),
+        weighted_quantile("hours", 0.9, "with_id").alias("p90_with_id"),
     )
     row = side_by_side(_count(tickets, "everything"), speed, ids)
 
@@ -115,7 +124,7 @@ def mat_date_rows_dropped(raw: DataFrame, tickets: DataFrame, profile: TicketPro
     volume = (
         F.when(nothing_dropped, F.col("kept"))
         .when(unknowable, F.lit(0).cast("bigint"))
-        .otherwise(F.col("kept") - F.col("kept_without_id"))
+        .otherwise(F.col("kept_with_id"))
     )
     lost = F.col("everything") - volume
 

@@ -63,34 +63,35 @@ def scale_deconvolution(tickets: DataFrame, profile: TicketProfile) -> DataFrame
     ).orderBy("score")
 
 
-def score_counts(tickets: DataFrame, profile: TicketProfile) -> tuple[DataFrame, list[str]]:
-    """One row with a count column per score of the long scale; absent scores are 0."""
-    names = [f"score_{s}" for s in range(1, profile.long_scale_max + 1)]
-    row = tickets.agg(
-        *[
-            F.count_if(F.col("satisfaction_score") == s).alias(name)
-            for s, name in enumerate(names, start=1)
-        ]
+def with_scale_model(counts: DataFrame, profile: TicketProfile) -> DataFrame:
+    """Adds the two numbers the mixture is made of to frames with ``observed``.
+
+    ``observed`` is an array with the count of every score from 1 up, ``h`` the
+    height of the long scale and ``scored`` the total.
+    """
+    short, high = profile.short_scale_max, profile.long_scale_max - profile.short_scale_max
+    return counts.withColumns(
+        {
+            "h": F.expr(
+                f"aggregate(slice(observed, {short + 1}, {high}), 0D, (a, n) -> a + n) / {high}D"
+            ),
+            "scored": F.expr("aggregate(observed, 0L, (a, n) -> a + n)"),
+        }
     )
-    return row, names
 
 
-def long_scale_height(names: list[str], profile: TicketProfile) -> Column:
-    high = names[profile.short_scale_max :]
-    return reduce(add, [F.col(n) for n in high]).cast("double") / F.lit(float(len(high)))
+def score_counts(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
+    """One row with ``observed``, ``h`` and ``scored``; absent scores count 0."""
+    scores = range(1, profile.long_scale_max + 1)
+    cells = ", ".join(f"count_if(satisfaction_score = {s})" for s in scores)
+    return with_scale_model(tickets.agg(F.expr(f"array({cells})").alias("observed")), profile)
 
 
 def population_sizes(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
-    """Unrounded: scored, n_long, n_short and the observed low scores, in one row."""
-    row, names = score_counts(tickets, profile)
-    scored = reduce(add, [F.col(n) for n in names])
-    n_long = long_scale_height(names, profile) * profile.long_scale_max
-    low = reduce(add, [F.col(f"score_{s}") for s in profile.bottom_box])
-    return row.select(
-        scored.alias("scored"),
-        n_long.alias("n_long"),
-        (scored - n_long).alias("n_short"),
-        low.alias("low"),
+    """Unrounded group sizes ``n_long`` and ``n_short`` next to ``observed`` and ``scored``."""
+    n_long = F.col("h") * F.lit(float(profile.long_scale_max))
+    return score_counts(tickets, profile).select(
+        "observed", "scored", n_long.alias("n_long"), (F.col("scored") - n_long).alias("n_short")
     )
 
 
@@ -101,6 +102,7 @@ def scale_population_split(tickets: DataFrame, profile: TicketProfile) -> DataFr
         "n_long"
     ) * F.lit(low_scores / profile.long_scale_max)
     scored = F.col("scored")
+    low = reduce(add, [F.col("observed")[s - 1] for s in profile.bottom_box])
     return population_sizes(tickets, profile).select(
         "scored",
         round_to(F.col("n_long")).alias("n_1_10_scale"),
@@ -108,7 +110,7 @@ def scale_population_split(tickets: DataFrame, profile: TicketProfile) -> DataFr
         round_to(F.col("n_short")).alias("n_1_5_scale"),
         pct(F.col("n_short"), scored).alias("pct_1_5_scale"),
         pct(predicted, scored).alias("predicted_low_score_percentage"),
-        pct(F.col("low"), scored).alias("observed_low_score_percentage"),
+        pct(low, scored).alias("observed_low_score_percentage"),
     )
 
 
