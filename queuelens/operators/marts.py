@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from queuelens.functions.numeric import pct, round_to, severity_rank
 from queuelens.functions.timecols import month_start
 from queuelens.operators.metrics import (
-    backlog_age_profile,
+    backlog_bins,
+    duration_bins,
     headline_kpis,
+    monthly_scale_share,
     pick,
-    resolution_distribution,
-    scale_evidence_monthly,
     score_histogram,
     ticket_counts,
     ticket_values,
 )
-from queuelens.operators.mixture import methodology_swing
+from queuelens.operators.mixture import swing_readings
 from queuelens.operators.segments import ALL_TICKETS
 from queuelens.plans.shapes import (
     grouped_histogram,
@@ -45,13 +45,13 @@ def mart_score_cliff(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
 
 def mart_bins(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     """R2: both binned distributions with the bin order split from its label."""
-    resolution = resolution_distribution(tickets, profile).select(
+    resolution = duration_bins(tickets, profile).select(
         F.lit("resolution").alias("distribution"),
         F.col("resolution_bucket").alias("bin"),
         "n",
         F.lit(None).cast("double").alias("percentage"),
     )
-    backlog = backlog_age_profile(tickets, profile).select(
+    backlog = backlog_bins(tickets, profile).select(
         F.lit("backlog age").alias("distribution"),
         F.col("age_bucket").alias("bin"),
         F.col("open_tickets").alias("n"),
@@ -115,7 +115,7 @@ def mart_swing_ranked(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     value = F.col("satisfaction_percentage")
     lowest, highest = F.min(value).over(everything), F.max(value).over(everything)
     return (
-        methodology_swing(tickets, profile)
+        swing_readings(tickets, profile)
         .select(
             "variant",
             "approach",
@@ -137,7 +137,7 @@ def mart_scale_cutover(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     position = F.row_number().over(Window.orderBy("month"))
     first_half = position <= F.floor(F.count("*").over(everything) / 2)
     return (
-        scale_evidence_monthly(tickets, profile)
+        monthly_scale_share(tickets, profile)
         .select(
             "month",
             F.date_format("month", "MMM").alias("month_label"),

@@ -72,8 +72,8 @@ def above_short_scale(profile: TicketProfile) -> Column:
     return F.col("satisfaction_score") > profile.short_scale_max
 
 
-def scale_evidence_monthly(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
-    """K2: per full month, the scored count, score range and share above the short scale."""
+def monthly_scale_share(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
+    """K2 without its order."""
     scored = F.count_if("has_satisfaction")
     return (
         tickets.filter(~F.col("is_partial_month"))
@@ -84,33 +84,45 @@ def scale_evidence_monthly(tickets: DataFrame, profile: TicketProfile) -> DataFr
             F.max("satisfaction_score").alias("max_score"),
             pct(F.count_if(above_short_scale(profile)), scored).alias("score_above_5_percentage"),
         )
-        .orderBy(F.asc_nulls_last("month"))
     )
 
 
-def score_histogram(tickets: DataFrame) -> DataFrame:
-    """K3: tickets per score."""
+def scale_evidence_monthly(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
+    """K2: per full month, the scored count, score range and share above the short scale."""
+    return monthly_scale_share(tickets, profile).orderBy("month")
+
+
+def score_frequencies(tickets: DataFrame) -> DataFrame:
+    """K3 without its order."""
     return (
         tickets.filter("has_satisfaction")
         .groupBy("satisfaction_score")
         .agg(F.count("*").alias("n"))
-        .orderBy("satisfaction_score")
     )
 
 
-def resolution_distribution(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
-    """K4: valid resolutions per duration bin."""
+def score_histogram(tickets: DataFrame) -> DataFrame:
+    """K3: tickets per score."""
+    return score_frequencies(tickets).orderBy("satisfaction_score")
+
+
+def duration_bins(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
+    """K4 without its order."""
     label = bucketize(F.col("resolution_hours"), profile.resolution_bins)
     return (
         tickets.filter(valid_resolution())
         .groupBy(label.alias("resolution_bucket"))
         .agg(F.count("*").alias("n"))
-        .orderBy("resolution_bucket")
     )
 
 
-def backlog_age_profile(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
-    """K5: open tickets per age bin with each bin's share.
+def resolution_distribution(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
+    """K4: valid resolutions per duration bin."""
+    return duration_bins(tickets, profile).orderBy("resolution_bucket")
+
+
+def backlog_bins(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
+    """K5 without its order.
 
     The window runs over the bins, of which there are as many as labels.
     """
@@ -121,9 +133,12 @@ def backlog_age_profile(tickets: DataFrame, profile: TicketProfile) -> DataFrame
         .agg(F.count("*").alias("open_tickets"))
     )
     backlog = F.sum("open_tickets").over(Window.partitionBy())
-    return bins.withColumn("pct_of_backlog", pct(F.col("open_tickets"), backlog)).orderBy(
-        "age_bucket"
-    )
+    return bins.withColumn("pct_of_backlog", pct(F.col("open_tickets"), backlog))
+
+
+def backlog_age_profile(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
+    """K5: open tickets per age bin with each bin's share."""
+    return backlog_bins(tickets, profile).orderBy("age_bucket")
 
 
 def speed_by_denominator(tickets: DataFrame, profile: TicketProfile) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from queuelens.functions.numeric import pct, ratio, round_to
-from queuelens.operators.metrics import above_short_scale, score_histogram
+from queuelens.operators.metrics import above_short_scale, score_frequencies
 from queuelens.operators.segments import ALL_TICKETS
 from queuelens.plans.shapes import stack_dimensions, unpivot_row
 from queuelens.profile import TicketProfile
@@ -46,7 +46,7 @@ def scale_deconvolution(tickets: DataFrame, profile: TicketProfile) -> DataFrame
     everything = Window.partitionBy()
     score, observed = F.col("satisfaction_score"), F.col("n")
     high = F.when(score > profile.short_scale_max, observed)
-    modelled = score_histogram(tickets).select(
+    modelled = score_frequencies(tickets).select(
         score.alias("score"),
         observed.alias("observed"),
         F.avg(high).over(everything).alias("h"),
@@ -156,8 +156,8 @@ def _swing_values() -> dict[str, Column]:
     }
 
 
-def methodology_swing(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
-    """Ten readings of "how satisfied" on the same scores, from one pass."""
+def swing_readings(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
+    """X3 without its order."""
     values = _swing_values()
     return unpivot_row(
         _score_sums(tickets, profile),
@@ -170,7 +170,12 @@ def methodology_swing(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
             }
             for variant, label in SWING_LABELS.items()
         ],
-    ).orderBy("variant")
+    )
+
+
+def methodology_swing(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
+    """Ten readings of "how satisfied" on the same scores, from one pass."""
+    return swing_readings(tickets, profile).orderBy("variant")
 
 
 def methodology_gap(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
