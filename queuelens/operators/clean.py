@@ -153,13 +153,17 @@ def type_rows(distinct_rows: DataFrame, profile: TicketProfile) -> DataFrame:
 
 
 def clean_tickets(raw: DataFrame, agents: DataFrame, profile: TicketProfile) -> DataFrame:
-    """The 24-column ticket table, one row per distinct raw row."""
+    """The 24-column ticket table, one row per distinct raw row.
+
+    Conflicts are attached while rows are still narrow: that join may have to
+    shuffle them, and everything derived afterwards needs no shuffle.
+    """
     distinct_rows = dedup_exact(raw)
-    out = enrich_agents(type_rows(distinct_rows, profile), agents)
+    out = flag_id_conflicts(type_rows(distinct_rows, profile), id_conflicts(distinct_rows))
+    out = enrich_agents(out, agents)
     out = add_resolution_time(out, profile)
     out = add_open_age(out, profile)
     out = add_attribution_and_survey_flags(out, profile)
-    out = flag_id_conflicts(out, id_conflicts(distinct_rows))
     return out.select(*CLEAN_SCHEMA.fieldNames())
 
 

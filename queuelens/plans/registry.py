@@ -143,8 +143,18 @@ CUT_TITLES = {
 
 
 def cuts(ws: Workspace) -> dict[str, DataFrame]:
-    """Every titled report as a plan."""
-    return {title: QUERIES[name](ws) for title, name in CUT_TITLES.items()}
+    """Every titled report as a plan; the segment reports read one shared table."""
+    shared = {
+        "by_category": s.segment_slice(ws.segments, "category"),
+        "by_channel": s.segment_slice(ws.segments, "channel"),
+        "by_brand": s.segment_slice(ws.segments, "brand"),
+        "by_priority": s.by_priority(ws.segments, ws.profile),
+        "by_team": s.by_team(ws.segments),
+    }
+    return {
+        title: shared[name] if name in shared else QUERIES[name](ws)
+        for title, name in CUT_TITLES.items()
+    }
 
 
 def _write_cuts(ws: Workspace) -> DataFrame:

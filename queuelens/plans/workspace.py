@@ -11,19 +11,17 @@ from __future__ import annotations
 
 import hashlib
 import threading
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from queuelens.operators.clean import clean_tickets
+from queuelens.operators.segments import segment_metrics
 from queuelens.profile import TicketProfile, star_schema_profile
 from queuelens.session import shared_dir
-from queuelens.sources.files import (
-    read_agents,
-    read_clean_tickets,
-    read_raw_tickets,
-    write_text_csv,
-)
+from queuelens.sources.files import read_agents, read_raw_tickets, write_text_csv
 from queuelens.sources.star_schema import agent_feed, ticket_feed
 
 
@@ -34,8 +32,8 @@ class Workspace:
         self.spark = spark
         self.profile = profile
         self.folder = folder
-        self._lock = threading.Lock()
-        self._cleaned = False
+        self._lock = threading.RLock()
+        self._written: dict[str, StructType] = {}
 
     @property
     def raw_path(self) -> str:
@@ -45,10 +43,6 @@ class Workspace:
     def agents_path(self) -> str:
         return f"{self.folder}/raw/agents.csv"
 
-    @property
-    def clean_path(self) -> str:
-        return f"{self.folder}/clean/stage.parquet"
-
     @cached_property
     def raw(self) -> DataFrame:
         return read_raw_tickets(self.spark, self.raw_path)
@@ -57,18 +51,29 @@ class Workspace:
     def agents(self) -> DataFrame:
         return read_agents(self.spark, self.agents_path, self.profile)
 
+    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The result of ``build`` as a written table; the first use writes it."""
+        path = f"{self.folder}/stages/{name}.parquet"
+        with self._lock:
+            if name not in self._written:
+                plan = build()
+                plan.write.mode("overwrite").parquet(path)
+                self._written[name] = plan.schema
+        return self.spark.read.schema(self._written[name]).parquet(path)
+
     def clean_plan(self) -> DataFrame:
         """The cleaning step as a plan, not yet run."""
         return clean_tickets(self.raw, self.agents, self.profile)
 
     @property
     def tickets(self) -> DataFrame:
-        """The clean table; the first use writes it."""
-        with self._lock:
-            if not self._cleaned:
-                self.clean_plan().write.mode("overwrite").parquet(self.clean_path)
-                self._cleaned = True
-        return read_clean_tickets(self.spark, self.clean_path)
+        """The clean table."""
+        return self.stage("clean", self.clean_plan)
+
+    @property
+    def segments(self) -> DataFrame:
+        """Metrics of every (dimension, segment): a few dozen rows that many reports share."""
+        return self.stage("segments", lambda: segment_metrics(self.tickets, self.profile))
 
 
 _open: dict[tuple[str, str], Workspace] = {}
