@@ -18,7 +18,7 @@ from queuelens.functions.tails import chi2_tail, normal_two_sided
 from queuelens.operators.clean import valid_resolution
 from queuelens.operators.metrics import above_short_scale
 from queuelens.operators.mixture import population_sizes, score_counts, with_scale_model
-from queuelens.plans.shapes import stack_dimensions
+from queuelens.plans.shapes import group_by_each
 from queuelens.profile import TicketProfile
 
 LOW_SCORE_DIMENSIONS = ("category", "channel", "brand", "priority")
@@ -53,16 +53,13 @@ def chi2_independence(
     ``null_segments`` says whether rows without a segment form one of their
     own.  A 2x2 table gets Yates' continuity correction.
     """
-    stacked = stack_dimensions(
-        tickets.filter("has_satisfaction").withColumn("_hit", hit),
+    table = group_by_each(
+        tickets.filter("has_satisfaction"),
         {name: F.col(name) for name in dimensions},
-        ("_hit",),
+        [F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses")],
     )
     if not null_segments:
-        stacked = stacked.filter(F.col("segment").isNotNull())
-    table = stacked.groupBy("dimension", "segment").agg(
-        F.count_if("_hit").alias("hits"), F.count_if(~F.col("_hit")).alias("misses")
-    )
+        table = table.filter(F.col("segment").isNotNull())
     in_dimension = Window.partitionBy("dimension")
     margins = table.select(
         "dimension",

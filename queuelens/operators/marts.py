@@ -21,7 +21,6 @@ from queuelens.operators.mixture import swing_readings
 from queuelens.operators.segments import ALL_TICKETS
 from queuelens.plans.shapes import (
     grouped_histogram,
-    stack_dimensions,
     total,
     unpivot_row,
     weighted_quantile,
@@ -186,14 +185,9 @@ def mart_priority_panel(tickets: DataFrame, profile: TicketProfile) -> DataFrame
 
     Overall and per-priority figures come from the same pass over the tickets.
     """
-    stacked = stack_dimensions(
-        tickets,
-        {ALL_TICKETS: F.lit(ALL_TICKETS), "priority": F.col("priority")},
-        ("is_resolved", "is_negative_duration", "resolution_hours", "open_age_days"),
-    )
     figures = grouped_histogram(
-        stacked,
-        ["dimension", "segment"],
+        tickets,
+        [],
         ticket_values(),
         {"open": ~F.col("is_resolved")},
         [
@@ -201,6 +195,7 @@ def mart_priority_panel(tickets: DataFrame, profile: TicketProfile) -> DataFrame
             round_to(weighted_quantile("age", 0.5)).alias("median_age_days"),
             total("open").alias("open_tickets"),
         ],
+        {ALL_TICKETS: F.lit(ALL_TICKETS), "priority": F.col("priority")},
     )
     overall = F.max(F.when(F.col("dimension") == ALL_TICKETS, F.col("median_hrs")))
     rank = severity_rank(F.col("segment"), profile.priorities_by_severity)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from queuelens.functions.numeric import pct, ratio, round_to
 from queuelens.operators.metrics import above_short_scale, score_frequencies
 from queuelens.operators.segments import ALL_TICKETS
-from queuelens.plans.shapes import stack_dimensions, unpivot_row
+from queuelens.plans.shapes import group_by_each, unpivot_row
 from queuelens.profile import TicketProfile
 
 DETECTOR_DIMENSIONS = ("brand", "channel", "team", "location")
@@ -193,15 +193,14 @@ def scale_detector_by_dimension(tickets: DataFrame, profile: TicketProfile) -> D
     """Share of long-scale scores per segment with a Wald 95% interval, and overall."""
     dimensions = {ALL_TICKETS: F.lit(ALL_TICKETS)}
     dimensions.update({name: F.col(name) for name in DETECTOR_DIMENSIONS})
-    stacked = stack_dimensions(tickets, dimensions, ("satisfaction_score", "has_satisfaction"))
-    counted = (
-        stacked.filter(F.col("segment").isNotNull())
-        .groupBy("dimension", "segment")
-        .agg(
+    counted = group_by_each(
+        tickets,
+        dimensions,
+        [
             F.count_if("has_satisfaction").alias("n"),
             F.count_if(above_short_scale(profile)).alias("k"),
-        )
-    )
+        ],
+    ).filter(F.col("segment").isNotNull())
     p = ratio(F.col("k"), F.col("n"))
     half_width = F.lit(Z_95) * F.sqrt(F.try_divide(p * (F.lit(1.0) - p), F.col("n")))
     return counted.select(

@@ -11,22 +11,13 @@ from queuelens.functions.numeric import pct, ratio, round_to, safe_corr, severit
 from queuelens.functions.timecols import month_start, weekday_name, weekday_number
 from queuelens.operators.clean import valid_resolution
 from queuelens.operators.metrics import pick, ticket_counts, ticket_values
-from queuelens.plans.shapes import grouped_histogram, stack_dimensions, total, weighted_quantile
+from queuelens.plans.shapes import group_by_each, grouped_histogram, total, weighted_quantile
 from queuelens.profile import TicketProfile
 
 SEGMENT_DIMENSIONS = ("category", "channel", "brand", "priority", "team")
 UNIFORMITY_DIMENSIONS = ("category", "channel", "brand", "priority")
 ALL_TICKETS = "ALL"
 
-_TICKET_COLUMNS = (
-    "is_resolved",
-    "resolution_hours",
-    "is_negative_duration",
-    "open_age_days",
-    "has_satisfaction",
-    "is_bottom_box",
-)
-
 
 def _hours_only() -> dict[str, Column]:
     return {"hours": ticket_values()["hours"]}
@@ -42,10 +33,9 @@ def segment_metrics(
         name: F.coalesce(name, F.lit(profile.no_team_label)) if name == "team" else F.col(name)
         for name in dimensions
     }
-    stacked = stack_dimensions(tickets, segments, _TICKET_COLUMNS)
     return grouped_histogram(
-        stacked,
-        ["dimension", "segment"],
+        tickets,
+        [],
         _hours_only(),
         pick(ticket_counts(profile), "open", "resolved", "answered", "scored", "low"),
         [
@@ -56,6 +46,7 @@ def segment_metrics(
             pct(total("answered"), total("resolved")).alias("response_rate_percentage"),
             pct(total("low"), total("scored")).alias("low_score_percentage"),
         ],
+        segments,
     )
 
 
@@ -171,19 +162,17 @@ def agent_low_score_spread(tickets: DataFrame, profile: TicketProfile) -> DataFr
 def resolution_satisfaction_corr(tickets: DataFrame) -> DataFrame:
     """Pearson correlation of hours and score, overall and per priority."""
     answered = tickets.filter(valid_resolution() & F.col("has_satisfaction"))
-    stacked = stack_dimensions(
-        answered,
-        {ALL_TICKETS: F.lit(ALL_TICKETS), "priority": F.col("priority")},
-        ("resolution_hours", "satisfaction_score"),
-    )
+    corr = safe_corr(F.col("resolution_hours"), F.col("satisfaction_score"))
     return (
-        stacked.groupBy("dimension", F.col("segment").alias("priority"))
-        .agg(
-            F.count("*").alias("n"),
-            round_to(safe_corr(F.col("resolution_hours"), F.col("satisfaction_score")), 3).alias(
-                "corr_res_sat"
-            ),
+        group_by_each(
+            answered,
+            {ALL_TICKETS: F.lit(ALL_TICKETS), "priority": F.col("priority")},
+            [F.count("*").alias("n"), corr.alias("corr")],
+        )
+        .select(
+            F.col("segment").alias("priority"),
+            "n",
+            round_to(F.col("corr"), 3).alias("corr_res_sat"),
         )
-        .drop("dimension")
         .orderBy(F.asc_nulls_last("priority"))
     )

@@ -9,7 +9,7 @@ from queuelens.functions.numeric import bucketize, pct, round_to
 from queuelens.functions.timecols import date_lit, month_start
 from queuelens.operators.clean import valid_resolution
 from queuelens.operators.quality import raw_row_counts
-from queuelens.plans.shapes import side_by_side, stack_dimensions
+from queuelens.plans.shapes import group_by_each, side_by_side
 from queuelens.profile import TicketProfile
 
 RESPONSE_DIMENSIONS = ("brand", "channel", "priority")
@@ -47,16 +47,17 @@ def check_no_negatives(tickets: DataFrame) -> DataFrame:
 
 def response_rate_by_segment(tickets: DataFrame) -> DataFrame:
     """V3: survey response per brand, channel and priority."""
-    stacked = stack_dimensions(
-        tickets,
-        {name: F.col(name) for name in RESPONSE_DIMENSIONS},
-        ("is_resolved", "has_satisfaction"),
-    )
     return (
-        stacked.groupBy("dimension", F.col("segment").alias("value"))
-        .agg(
-            _resolved().alias("resolved"),
-            pct(_answered(), _resolved()).alias("response_rate_percentage"),
+        group_by_each(
+            tickets,
+            {name: F.col(name) for name in RESPONSE_DIMENSIONS},
+            [_resolved().alias("resolved"), _answered().alias("answered")],
+        )
+        .select(
+            "dimension",
+            F.col("segment").alias("value"),
+            "resolved",
+            pct(F.col("answered"), F.col("resolved")).alias("response_rate_percentage"),
         )
         .orderBy("dimension", F.desc_nulls_last("response_rate_percentage"))
     )
@@ -133,23 +134,22 @@ def check_future_timestamps(tickets: DataFrame, profile: TicketProfile) -> DataF
 
 def activity_on_both_clocks(tickets: DataFrame) -> DataFrame:
     """V9: creations and resolutions on one month axis, from one scan."""
-    clocks = stack_dimensions(
+    clocks = group_by_each(
         tickets,
         {
             "created": month_start(F.col("created_at")),
             "resolved": month_start(F.col("resolved_at")),
         },
-        (),
+        [F.count("*").alias("n")],
     )
-    clock = F.col("dimension")
+
+    def on(clock: str) -> Column:
+        return F.sum(F.when(F.col("dimension") == clock, F.col("n")).otherwise(0))
+
     return (
-        clocks.withColumnRenamed("segment", "month")
-        .filter(F.col("month").isNotNull())
-        .groupBy("month")
-        .agg(
-            F.count_if(clock == "created").alias("tickets_created"),
-            F.count_if(clock == "resolved").alias("tickets_resolved"),
-        )
+        clocks.filter(F.col("segment").isNotNull())
+        .groupBy(F.col("segment").alias("month"))
+        .agg(on("created").alias("tickets_created"), on("resolved").alias("tickets_resolved"))
         .orderBy("month")
     )
 

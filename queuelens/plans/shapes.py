@@ -1,7 +1,7 @@
 """Plan shapes several operators share.
 
 ``grouped_histogram``  exact quantiles next to counts without a wide buffer
-``stack_dimensions``   one scan and one shuffle for metrics over many dimensions
+``group_by_each``      one scan and one shuffle for aggregates over many dimensions
 ``side_by_side``       one row out of several one-row frames, without a join
 ``unpivot_row``        a one-row frame as labelled rows
 """
@@ -21,6 +21,7 @@ def grouped_histogram(
     values: Mapping[str, Column],
     counts: Mapping[str, Column],
     finals: Sequence[Column],
+    dimensions: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Two-level aggregate for exact quantiles at scale.
 
@@ -32,16 +33,57 @@ def grouped_histogram(
 
     ``counts`` maps a name to a condition; ``finals`` are aggregates over the
     level-one columns, where ``total(name)`` adds a count up and ``n`` is the
-    row count.
+    row count.  Given ``dimensions``, the keys are (dimension, segment) pairs as
+    :func:`group_by_each` makes them.
     """
-    staged = df.select(*keys, *[v.alias(k) for k, v in values.items()], *_flags(counts))
-    level_one = staged.groupBy(*keys, *values).agg(
-        F.count("*").alias("n"),
-        *[F.sum(name).alias(name) for name in counts],
-    )
+    aggregates = [F.count("*").alias("n"), *[F.sum(name).alias(name) for name in counts]]
+    if dimensions is None:
+        staged = df.select(*keys, *[v.alias(k) for k, v in values.items()], *_flags(counts))
+        level_one = staged.groupBy(*keys, *values).agg(*aggregates)
+    else:
+        keys = ["dimension", "segment"]
+        level_one = group_by_each(df, dimensions, aggregates, values, _flags(counts))
     return level_one.groupBy(*keys).agg(*finals)
 
 
+def group_by_each(
+    df: DataFrame,
+    dimensions: Mapping[str, Column],
+    aggregates: Sequence[Column],
+    values: Mapping[str, Column] | None = None,
+    inputs: Sequence[Column] = (),
+) -> DataFrame:
+    """The same aggregates by each of several dimensions, from one scan and one shuffle.
+
+    Returns (dimension, segment, *values, *aggregates).  Grouping sets do it:
+    every row is counted once per dimension, combined on the map side, and no
+    row is copied through a shuffle.  ``inputs`` are further columns the
+    aggregates read; without them the aggregates see all columns of ``df``.
+    """
+    values = values or {}
+    slots = {name: f"_by_{number}" for number, name in enumerate(dimensions)}
+    carried = list(inputs) if inputs else [F.col(c) for c in df.columns if c not in values]
+    staged = df.select(
+        *[dimensions[name].alias(slot) for name, slot in slots.items()],
+        *[v.alias(k) for k, v in values.items()],
+        *carried,
+    )
+    grouped = staged.groupingSets(
+        [[slot, *values] for slot in slots.values()], *slots.values(), *values
+    ).agg(*[F.grouping(slot).alias(f"{slot}_off") for slot in slots.values()], *aggregates)
+    dimension = F.coalesce(
+        *[F.when(F.col(f"{slot}_off") == 0, F.lit(name)) for name, slot in slots.items()]
+    )
+    helpers = {*slots.values(), *[f"{slot}_off" for slot in slots.values()], *values}
+    return grouped.select(
+        dimension.alias("dimension"),
+        # only the dimension a row is grouped by is not NULL
+        F.coalesce(*slots.values()).alias("segment"),
+        *values,
+        *[c for c in grouped.columns if c not in helpers],
+    )
+
+
 def _flags(counts: Mapping[str, Column]) -> list[Column]:
     return [F.when(c, F.lit(1).cast("bigint")).otherwise(0).alias(name) for name, c in counts.items()]
 
@@ -56,19 +98,6 @@ def weighted_quantile(value: str, q: float, weight: str = "n") -> Column:
     return F.percentile(value, F.lit(q), F.col(weight))
 
 
-def stack_dimensions(
-    df: DataFrame, dimensions: Mapping[str, Column], carry: Sequence[str]
-) -> DataFrame:
-    """One row per (dimension, segment) of each input row, carrying ``carry``."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(name).alias("dimension"), segment.alias("segment"))
-            for name, segment in dimensions.items()
-        ]
-    )
-    return df.select(F.inline(pairs), *carry)
-
-
 def side_by_side(*frames: DataFrame) -> DataFrame:
     """Columns of several one-row frames as one row.
 

@@ -28,20 +28,21 @@ from queuelens.sources.star_schema import agent_feed, ticket_feed
 class Workspace:
     """Raw export, agents and clean tickets of one feed, each read back from files."""
 
-    def __init__(self, spark: SparkSession, profile: TicketProfile, folder: str):
+    def __init__(
+        self,
+        spark: SparkSession,
+        profile: TicketProfile,
+        folder: str,
+        raw_path: str | None = None,
+        agents_path: str | None = None,
+    ):
         self.spark = spark
         self.profile = profile
         self.folder = folder
+        self.raw_path = raw_path or f"{folder}/raw/support_tickets.csv"
+        self.agents_path = agents_path or f"{folder}/raw/agents.csv"
         self._lock = threading.RLock()
-        self._written: dict[str, StructType] = {}
-
-    @property
-    def raw_path(self) -> str:
-        return f"{self.folder}/raw/support_tickets.csv"
-
-    @property
-    def agents_path(self) -> str:
-        return f"{self.folder}/raw/agents.csv"
+        self._written: dict[str, tuple[str, StructType]] = {}
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -53,13 +54,18 @@ class Workspace:
 
     def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """The result of ``build`` as a written table; the first use writes it."""
-        path = f"{self.folder}/stages/{name}.parquet"
         with self._lock:
             if name not in self._written:
+                path = f"{self.folder}/stages/{name}.parquet"
                 plan = build()
                 plan.write.mode("overwrite").parquet(path)
-                self._written[name] = plan.schema
-        return self.spark.read.schema(self._written[name]).parquet(path)
+                self.use_written(name, path, plan.schema)
+            path, schema = self._written[name]
+        return self.spark.read.schema(schema).parquet(path)
+
+    def use_written(self, name: str, path: str, schema: StructType) -> None:
+        """Take an already written table for stage ``name``."""
+        self._written[name] = (path, schema)
 
     def clean_plan(self) -> DataFrame:
         """The cleaning step as a plan, not yet run."""
