@@ -29,6 +29,15 @@ def dedup_exact(raw: DataFrame) -> DataFrame:
     return raw.distinct()
 
 
+def count_copies(raw: DataFrame) -> DataFrame:
+    """Distinct raw rows with their number of occurrences, ``copies``.
+
+    Holds all that later steps want to know of the export, so written once it
+    spares them both its text files and another row-sized shuffle.
+    """
+    return raw.groupBy(*raw.columns).agg(F.count("*").alias("copies"))
+
+
 def normalize_channel(df: DataFrame, profile: TicketProfile) -> DataFrame:
     """C4: folded channel with aliases merged."""
     channel = F.col("channel")
@@ -152,14 +161,15 @@ def type_rows(distinct_rows: DataFrame, profile: TicketProfile) -> DataFrame:
     return type_agent_and_score(out)
 
 
-def clean_tickets(raw: DataFrame, agents: DataFrame, profile: TicketProfile) -> DataFrame:
-    """The 24-column ticket table, one row per distinct raw row.
+def clean_distinct_rows(
+    distinct_rows: DataFrame, conflicts: DataFrame, agents: DataFrame, profile: TicketProfile
+) -> DataFrame:
+    """C4 to C12 over rows already de-duplicated, given C8's conflicts.
 
     Conflicts are attached while rows are still narrow: that join may have to
     shuffle them, and everything derived afterwards needs no shuffle.
     """
-    distinct_rows = dedup_exact(raw)
-    out = flag_id_conflicts(type_rows(distinct_rows, profile), id_conflicts(distinct_rows))
+    out = flag_id_conflicts(type_rows(distinct_rows, profile), conflicts)
     out = enrich_agents(out, agents)
     out = add_resolution_time(out, profile)
     out = add_open_age(out, profile)
@@ -167,6 +177,12 @@ def clean_tickets(raw: DataFrame, agents: DataFrame, profile: TicketProfile) ->
     return out.select(*CLEAN_SCHEMA.fieldNames())
 
 
+def clean_tickets(raw: DataFrame, agents: DataFrame, profile: TicketProfile) -> DataFrame:
+    """The 24-column ticket table, one row per distinct raw row, as one plan."""
+    distinct_rows = dedup_exact(raw)
+    return clean_distinct_rows(distinct_rows, id_conflicts(distinct_rows), agents, profile)
+
+
 def valid_resolution() -> Column:
     """Resolved, and not before it was created."""
     return F.col("is_resolved") & ~F.col("is_negative_duration")

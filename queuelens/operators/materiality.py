@@ -1,4 +1,8 @@
-"""M1 to M9: put one defect back and see what the headline metric becomes."""
+"""M1 to M9: put one defect back and see what the headline metric becomes.
+
+The export enters as its distinct rows, or as :func:`count_copies` counted them
+where the number of copies matters.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import functions as F
 from queuelens.functions.numeric import pct, ratio, round_to
 from queuelens.functions.text import folded
 from queuelens.functions.timecols import days_between, minutes_between, parse_first
-from queuelens.operators.clean import dedup_exact, valid_resolution
+from queuelens.operators.clean import valid_resolution
 from queuelens.operators.metrics import pick, ticket_counts, ticket_values
 from queuelens.operators.quality import distinct_labels
 from queuelens.plans.shapes import grouped_histogram, side_by_side, total, weighted_quantile
@@ -19,9 +23,12 @@ def _count(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.count("*").alias(name))
 
 
-def mat_duplicates(raw: DataFrame, tickets: DataFrame) -> DataFrame:
+def mat_duplicates(copies: DataFrame, tickets: DataFrame) -> DataFrame:
     """M1: volume when exact copies stay in."""
-    row = side_by_side(_count(raw, "volume_if_unhandled"), _count(tickets, "volume_correct"))
+    row = side_by_side(
+        copies.agg(total("copies").alias("volume_if_unhandled")),
+        _count(tickets, "volume_correct"),
+    )
     extra = F.col("volume_if_unhandled") - F.col("volume_correct")
     return row.select(
         "*",
@@ -30,12 +37,14 @@ def mat_duplicates(raw: DataFrame, tickets: DataFrame) -> DataFrame:
     )
 
 
-def mat_date_misparsed(raw: DataFrame, tickets: DataFrame, profile: TicketProfile) -> DataFrame:
+def mat_date_misparsed(
+    distinct_rows: DataFrame, tickets: DataFrame, profile: TicketProfile
+) -> DataFrame:
     """M2: day-first creation times read as month-first."""
     iso = profile.timestamp_formats[0]
     created_text = F.col("created_at")
     slashed = created_text.like(profile.slashed_date_like)
-    read = dedup_exact(raw).select(
+    read = distinct_rows.select(
         slashed.alias("slashed"),
         parse_first(created_text, [profile.month_first_format]).alias("month_first"),
         parse_first(created_text, [iso, profile.month_first_format]).alias("created"),
@@ -78,7 +87,9 @@ def mat_date_misparsed(raw: DataFrame, tickets: DataFrame, profile: TicketProfil
     )
 
 
-def mat_date_rows_dropped(raw: DataFrame, tickets: DataFrame, profile: TicketProfile) -> DataFrame:
+def mat_date_rows_dropped(
+    distinct_rows: DataFrame, tickets: DataFrame, profile: TicketProfile
+) -> DataFrame:
     """M3: every ticket id with a day-first creation time thrown away.
 
     "Not among the dropped ids" is three-valued: one NULL among them leaves no
@@ -90,7 +101,7 @@ def mat_date_rows_dropped(raw: DataFrame, tickets: DataFrame, profile: TicketPro
     the null check overrules anyway.
     """
     slashed = F.col("created_at").like(profile.slashed_date_like)
-    dropped = raw.filter(slashed).groupBy("ticket_id").agg(F.count("*").alias("rows"))
+    dropped = distinct_rows.filter(slashed).groupBy("ticket_id").agg(F.count("*").alias("rows"))
     ids = dropped.agg(
         total("rows").alias("dropped_rows"),
         F.coalesce(F.sum(F.when(F.col("ticket_id").isNull(), F.col("rows"))), F.lit(0)).alias(
@@ -179,13 +190,13 @@ def mat_missing_as_bad(tickets: DataFrame) -> DataFrame:
     )
 
 
-def mat_not_normalised(raw: DataFrame, tickets: DataFrame, profile: TicketProfile) -> DataFrame:
+def mat_not_normalised(copies: DataFrame, tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     """M6: label values when free-form spellings are kept."""
     fragment = F.trim(F.col("category")) == profile.merged_category_fragment
     row = side_by_side(
-        distinct_labels(raw, "values_if_unhandled"),
+        distinct_labels(copies, "values_if_unhandled"),
         distinct_labels(tickets, "values_correct"),
-        raw.agg(F.count_if(fragment).alias("bill_rows_orphaned")),
+        copies.filter(fragment).agg(total("copies").alias("bill_rows_orphaned")),
     )
     return row.select(
         "category_values_if_unhandled",
@@ -212,10 +223,12 @@ def mat_survivorship(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     )
 
 
-def mat_bill_billing(raw: DataFrame, tickets: DataFrame, profile: TicketProfile) -> DataFrame:
+def mat_bill_billing(
+    distinct_rows: DataFrame, tickets: DataFrame, profile: TicketProfile
+) -> DataFrame:
     """M8: size of the merged category with and without its truncated spelling."""
     category, merged = F.col("category"), F.lit(profile.merged_category)
-    before = dedup_exact(raw).agg(
+    before = distinct_rows.agg(
         F.count_if(folded(category) == F.lower(merged)).alias("billing_without_bill"),
         F.count_if(F.trim(category) == profile.merged_category_fragment).alias("bill_rows"),
     )

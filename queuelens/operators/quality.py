@@ -18,15 +18,14 @@ from queuelens.plans.shapes import (
 from queuelens.profile import TicketProfile
 
 
-def raw_row_counts(raw: DataFrame) -> DataFrame:
-    """Rows and distinct rows of the export from a single pass."""
-    copies = raw.groupBy(*raw.columns).agg(F.count("*").alias("n"))
-    return copies.agg(total("n").alias("raw_rows"), F.count("*").alias("raw_distinct"))
+def raw_row_counts(copies: DataFrame) -> DataFrame:
+    """Rows and distinct rows of the export, from its counted copies."""
+    return copies.agg(total("copies").alias("raw_rows"), F.count("*").alias("raw_distinct"))
 
 
-def qa_row_counts(raw: DataFrame, tickets: DataFrame) -> DataFrame:
+def qa_row_counts(copies: DataFrame, tickets: DataFrame) -> DataFrame:
     """Q1: rows before and after, duplicates removed, width of the clean table."""
-    row = side_by_side(raw_row_counts(raw), tickets.agg(F.count("*").alias("clean_rows")))
+    row = side_by_side(raw_row_counts(copies), tickets.agg(F.count("*").alias("clean_rows")))
     return row.select(
         "raw_rows",
         "raw_distinct",
@@ -42,9 +41,9 @@ def distinct_labels(df: DataFrame, suffix: str) -> DataFrame:
     )
 
 
-def qa_distinct_before_after(raw: DataFrame, tickets: DataFrame) -> DataFrame:
+def qa_distinct_before_after(distinct_rows: DataFrame, tickets: DataFrame) -> DataFrame:
     """Q2: distinct channel and category values before and after."""
-    return side_by_side(distinct_labels(raw, "before"), distinct_labels(tickets, "after"))
+    return side_by_side(distinct_labels(distinct_rows, "before"), distinct_labels(tickets, "after"))
 
 
 def qa_value_counts(tickets: DataFrame, column: str) -> DataFrame:

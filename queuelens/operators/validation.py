@@ -27,9 +27,9 @@ def _resolved() -> Column:
     return F.count_if("is_resolved")
 
 
-def check_reconciliation(raw: DataFrame, tickets: DataFrame) -> DataFrame:
+def check_reconciliation(copies: DataFrame, tickets: DataFrame) -> DataFrame:
     """V1: the clean table has exactly the distinct raw rows."""
-    row = side_by_side(raw_row_counts(raw), tickets.agg(F.count("*").alias("clean_rows")))
+    row = side_by_side(raw_row_counts(copies), tickets.agg(F.count("*").alias("clean_rows")))
     return row.withColumn(
         "reconciliation", _verdict(F.col("clean_rows") == F.col("raw_distinct"))
     )

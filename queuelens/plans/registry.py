@@ -23,29 +23,31 @@ Query = Callable[[Workspace], DataFrame]
 
 
 def _normalize_channel(ws: Workspace) -> DataFrame:
-    rows = c.dedup_exact(ws.raw).select("ticket_id", "channel", F.col("channel").alias("raw_channel"))
-    return c.normalize_channel(rows, ws.profile)
+    raw_channel = F.col("channel").alias("raw_channel")
+    return c.normalize_channel(
+        ws.distinct_rows.select("ticket_id", "channel", raw_channel), ws.profile
+    )
 
 
 def _normalize_category(ws: Workspace) -> DataFrame:
-    rows = c.dedup_exact(ws.raw).select(
-        "ticket_id", "category", F.col("category").alias("raw_category")
+    raw_category = F.col("category").alias("raw_category")
+    return c.normalize_category(
+        ws.distinct_rows.select("ticket_id", "category", raw_category), ws.profile
     )
-    return c.normalize_category(rows, ws.profile)
 
 
 def _parse_mixed_timestamps(ws: Workspace) -> DataFrame:
-    rows = c.dedup_exact(ws.raw).select("ticket_id", "created_at", "resolved_at")
+    rows = ws.distinct_rows.select("ticket_id", "created_at", "resolved_at")
     return c.parse_timestamps(rows, ws.profile)
 
 
 def _blank_to_null_and_score(ws: Workspace) -> DataFrame:
-    rows = c.dedup_exact(ws.raw).select("ticket_id", "agent_id", "satisfaction_score")
+    rows = ws.distinct_rows.select("ticket_id", "agent_id", "satisfaction_score")
     return c.type_agent_and_score(rows)
 
 
 def _typed(ws: Workspace) -> DataFrame:
-    return c.type_rows(c.dedup_exact(ws.raw), ws.profile)
+    return c.type_rows(ws.distinct_rows, ws.profile)
 
 
 def _enrich_agents(ws: Workspace) -> DataFrame:
@@ -179,17 +181,19 @@ GROUPS: dict[str, dict[str, Query]] = {
         "normalize_category": _normalize_category,
         "parse_mixed_timestamps": _parse_mixed_timestamps,
         "blank_to_null_and_score": _blank_to_null_and_score,
-        "id_conflicts": lambda ws: c.id_conflicts(c.dedup_exact(ws.raw)),
+        "id_conflicts": lambda ws: c.id_conflicts(ws.distinct_rows),
         "enrich_agents": _enrich_agents,
         "resolution_time": _resolution_time,
         "open_age": _open_age,
         "attribution_and_survey_flags": _attribution_and_survey_flags,
-        "clean_tickets": lambda ws: ws.clean_plan(),
+        "clean_tickets": lambda ws: c.clean_tickets(ws.raw, ws.agents, ws.profile),
         "write_clean": _write_clean,
     },
     "report": {
-        "qa_row_counts": lambda ws: q.qa_row_counts(ws.raw, ws.tickets),
-        "qa_distinct_before_after": lambda ws: q.qa_distinct_before_after(ws.raw, ws.tickets),
+        "qa_row_counts": lambda ws: q.qa_row_counts(ws.copies, ws.tickets),
+        "qa_distinct_before_after": lambda ws: q.qa_distinct_before_after(
+            ws.distinct_rows, ws.tickets
+        ),
         "qa_value_counts_channel": lambda ws: q.qa_value_counts(ws.tickets, "channel"),
         "qa_value_counts_category": lambda ws: q.qa_value_counts(ws.tickets, "category"),
         "qa_flag_counts": lambda ws: q.qa_flag_counts(ws.tickets),
@@ -222,7 +226,7 @@ GROUPS: dict[str, dict[str, Query]] = {
         "resolution_satisfaction_corr": lambda ws: s.resolution_satisfaction_corr(ws.tickets),
     },
     "checks": {
-        "check_reconciliation": lambda ws: v.check_reconciliation(ws.raw, ws.tickets),
+        "check_reconciliation": lambda ws: v.check_reconciliation(ws.copies, ws.tickets),
         "check_no_negatives": lambda ws: v.check_no_negatives(ws.tickets),
         "response_rate_by_segment": lambda ws: v.response_rate_by_segment(ws.tickets),
         "check_domains": lambda ws: v.check_domains(ws.tickets, ws.profile),
@@ -234,14 +238,18 @@ GROUPS: dict[str, dict[str, Query]] = {
         "check_duration_gap": lambda ws: v.check_duration_gap(ws.tickets, ws.profile),
     },
     "materiality": {
-        "mat_duplicates": lambda ws: m.mat_duplicates(ws.raw, ws.tickets),
-        "mat_date_misparsed": lambda ws: m.mat_date_misparsed(ws.raw, ws.tickets, ws.profile),
-        "mat_date_rows_dropped": lambda ws: m.mat_date_rows_dropped(ws.raw, ws.tickets, ws.profile),
+        "mat_duplicates": lambda ws: m.mat_duplicates(ws.copies, ws.tickets),
+        "mat_date_misparsed": lambda ws: m.mat_date_misparsed(
+            ws.distinct_rows, ws.tickets, ws.profile
+        ),
+        "mat_date_rows_dropped": lambda ws: m.mat_date_rows_dropped(
+            ws.distinct_rows, ws.tickets, ws.profile
+        ),
         "mat_mean_vs_median": lambda ws: m.mat_mean_vs_median(ws.tickets),
         "mat_missing_as_bad": lambda ws: m.mat_missing_as_bad(ws.tickets),
-        "mat_not_normalised": lambda ws: m.mat_not_normalised(ws.raw, ws.tickets, ws.profile),
+        "mat_not_normalised": lambda ws: m.mat_not_normalised(ws.copies, ws.tickets, ws.profile),
         "mat_survivorship": lambda ws: m.mat_survivorship(ws.tickets, ws.profile),
-        "mat_bill_billing": lambda ws: m.mat_bill_billing(ws.raw, ws.tickets, ws.profile),
+        "mat_bill_billing": lambda ws: m.mat_bill_billing(ws.distinct_rows, ws.tickets, ws.profile),
         "mat_pre_hire": lambda ws: m.mat_pre_hire(ws.tickets, ws.agents),
     },
     "mixture": {

@@ -85,7 +85,8 @@ def group_by_each(
 
 
 def _flags(counts: Mapping[str, Column]) -> list[Column]:
-    return [F.when(c, F.lit(1).cast("bigint")).otherwise(0).alias(name) for name, c in counts.items()]
+    one = F.lit(1).cast("bigint")
+    return [F.when(c, one).otherwise(0).alias(name) for name, c in counts.items()]
 
 
 def total(name: str) -> Column:

@@ -1,10 +1,10 @@
 """Written stages between the steps of an analysis.
 
-A ticket analysis runs in three steps: receive the export, clean it once, then
-read the clean table many times.  The hand-over between them is a written
-table in the shared folder, so lineage is cut there, a lost executor costs a
-task rather than the chain, and every metric query scans only the columns it
-needs.
+A ticket analysis receives an export, counts its copies, cleans it once and
+then reads the clean table many times.  The hand-over between these steps is a
+written table in the shared folder, so lineage is cut there, a lost executor
+costs a task rather than the chain, the export is read once, and every query
+scans only the columns it needs.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from queuelens.operators.clean import clean_tickets
+from queuelens.operators.clean import clean_distinct_rows, count_copies, id_conflicts
 from queuelens.operators.segments import segment_metrics
 from queuelens.profile import TicketProfile, star_schema_profile
 from queuelens.session import shared_dir
@@ -67,9 +67,24 @@ class Workspace:
         """Take an already written table for stage ``name``."""
         self._written[name] = (path, schema)
 
+    @property
+    def copies(self) -> DataFrame:
+        """Distinct raw rows and how often each occurs: the one row-sized shuffle."""
+        return self.stage("copies", lambda: count_copies(self.raw))
+
+    @property
+    def distinct_rows(self) -> DataFrame:
+        return self.copies.drop("copies")
+
+    @property
+    def conflicts(self) -> DataFrame:
+        """Conflicting ids.  Written, its true size is known, which lets Spark decide
+        on a broadcast before it shuffles the other side."""
+        return self.stage("conflicts", lambda: id_conflicts(self.distinct_rows))
+
     def clean_plan(self) -> DataFrame:
-        """The cleaning step as a plan, not yet run."""
-        return clean_tickets(self.raw, self.agents, self.profile)
+        """The cleaning step over the written stages, not yet run."""
+        return clean_distinct_rows(self.distinct_rows, self.conflicts, self.agents, self.profile)
 
     @property
     def tickets(self) -> DataFrame:

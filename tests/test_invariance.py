@@ -5,7 +5,7 @@ from helpers import raw_tickets
 from pyspark.sql import functions as F
 
 from queuelens.operators import inference, materiality, metrics, mixture, quality, segments
-from queuelens.operators.clean import clean_tickets
+from queuelens.operators.clean import clean_tickets, count_copies
 
 
 def snapshot(tickets, raw, profile):
@@ -14,7 +14,7 @@ def snapshot(tickets, raw, profile):
         segments.segment_metrics(tickets, profile),
         segments.resolution_satisfaction_corr(tickets),
         segments.agent_low_score_spread(tickets, profile),
-        quality.qa_row_counts(raw, tickets),
+        quality.qa_row_counts(count_copies(raw), tickets),
         materiality.mat_date_rows_dropped(raw, tickets, profile),
         mixture.methodology_swing(tickets, profile),
         inference.kruskal_resolution_by_priority(tickets, profile),
@@ -50,7 +50,7 @@ def test_a_third_of_all_rows_being_one_copy(spark, ws):
     assert sorted(map(tuple, cleaned.collect()), key=repr) == sorted(
         map(tuple, ws.tickets.collect()), key=repr
     )
-    row = quality.qa_row_counts(skewed, cleaned).first()
+    row = quality.qa_row_counts(count_copies(skewed), cleaned).first()
     assert (row["raw_rows"], row["raw_distinct"]) == (1520 + 800, 1502)
 
 

@@ -90,3 +90,15 @@ def test_reports_share_the_segment_table(ws):
     slices = {r["segment"]: r["volume"] for r in plans["By team"].collect()}
     direct = {r["segment"]: r["volume"] for r in QUERIES["by_team"](ws).collect()}
     assert slices == direct
+
+
+def test_staged_cleaning_shuffles_no_rows(ws):
+    """Over the written stages, cleaning is a scan with two small broadcasts."""
+    assert "hashpartitioning" not in executed_plan(ws.clean_plan())
+
+
+def test_export_is_read_once(ws):
+    """Checks and materiality read the counted copies, not the text files."""
+    for name in ("qa_row_counts", "check_reconciliation", "mat_duplicates", "mat_not_normalised",
+                 "mat_date_misparsed", "mat_date_rows_dropped", "mat_bill_billing"):
+        assert "FileScan csv" not in executed_plan(QUERIES[name](ws)), name
