@@ -1,8 +1,7 @@
 """Time arithmetic on ``timestamp_ntz`` columns.
 
 Differences count calendar boundaries (10:00:59 to 10:01:01 is one minute),
-not elapsed time, and none of them depends on the session time zone.  Parsing
-goes through a zoned timestamp, so the session should run in UTC.
+not elapsed time.  Neither they nor parsing depend on the session time zone.
 """
 
 from __future__ import annotations
@@ -25,15 +24,24 @@ def parse_first(col: Column, formats: Sequence[str]) -> Column:
     text = F.trim(col)
     return F.coalesce(
         *[
-            F.when(
-                F.contains(text, F.lit(_separator(fmt))),
-                F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz"),
-            )
+            F.when(F.contains(text, F.lit(_separator(fmt))), _parse_wall_clock(text, fmt))
             for fmt in formats
         ]
     )
 
 
+def _parse_wall_clock(text: Column, fmt: str) -> Column:
+    """Text as ``timestamp_ntz``.
+
+    Spark's non-failing parser yields an instant.  Reading the text as UTC and
+    counting seconds from the epoch gives the wall clock back untouched, where a
+    session zone would move hours that its daylight saving skips.
+    """
+    instant = F.try_to_timestamp(F.concat(text, F.lit("+00:00")), F.lit(f"{fmt}xxx"))
+    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    return epoch + F.unix_seconds(instant) * F.expr("INTERVAL '1' SECOND")
+
+
 def _separator(fmt: str) -> str:
     """First character of the pattern that stands for itself."""
     return next((c for c in fmt if not c.isalpha() and not c.isspace()), "")

@@ -54,9 +54,16 @@ def ticket_feed(orders: DataFrame, customer: DataFrame) -> DataFrame:
     )
 
     def written(ts: str) -> Column:
-        return F.when(k % 5 == 0, F.date_format(ts, "dd/MM/yyyy HH:mm")).otherwise(
-            F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+        iso = F.col(ts).cast("string")
+        day_first = F.concat(
+            F.substring(iso, 9, 2),
+            F.lit("/"),
+            F.substring(iso, 6, 2),
+            F.lit("/"),
+            F.substring(iso, 1, 4),
+            F.substring(iso, 11, 6),
         )
+        return F.when(k % 5 == 0, day_first).otherwise(iso)
 
     category = _pick(CATEGORY_SPELLINGS, F.col("o_custkey") % 6)
     score = F.when(k * 7901 % 7 < 2, k * 7883 % 10 + 1).otherwise(k * 7883 % 5 + 1)
@@ -93,7 +100,7 @@ def agent_feed(orders: DataFrame) -> DataFrame:
         .select(
             F.concat(F.lit("A"), number.cast("string")).alias("agent_id"),
             _pick(TEAMS, number % 3).alias("team"),
-            F.date_format(hired, "yyyy-MM-dd").alias("hire_date"),
+            hired.cast("string").alias("hire_date"),
             _pick(LOCATIONS, number % 4).alias("location"),
         )
         .select(*RAW_AGENT_COLUMNS)

@@ -57,8 +57,11 @@ def test_differences_ignore_the_session_zone(spark, zone):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def test_parse_first(spark):
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_parse_first(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
     rows = [
+        ("2025-03-09 02:30:00",),
         ("2025-01-02 03:04:05",),
         ("03/04/2025 09:05",),
         ("3/4/2025 9:05",),
@@ -70,7 +73,12 @@ def test_parse_first(spark):
         ("soon",),
         (None,),
     ]
-    assert values(spark, "x string", rows, parse_first(F.col("x"), TIMESTAMP_FORMATS)) == [
+    try:
+        got = values(spark, "x string", rows, parse_first(F.col("x"), TIMESTAMP_FORMATS))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [
+        ts(2025, 3, 9, 2, 30),
         ts(2025, 1, 2, 3, 4, 5),
         ts(2025, 4, 3, 9, 5),
         ts(2025, 4, 3, 9, 5),
