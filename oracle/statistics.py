@@ -159,8 +159,7 @@ STATISTICS = {
                    round(100 * q, 1) AS overall_percentage, round(z, 4) + 0.0 AS z,
                    round(p, 4) AS p_value, p < 0.05 AS below_plain_threshold,
                    round(0.05::DOUBLE / cells, 6) AS bonferroni_threshold,
-                   p < 0.05::DOUBLE / cells AS survives_correction,
-                   row_number() OVER (ORDER BY r DESC, category, channel) AS worst_rank
+                   p < 0.05::DOUBLE / cells AS survives_correction
             FROM (SELECT *, {erfc('abs(z) / sqrt(2)')} AS p FROM (
               SELECT *, (r - q) / sqrt(m * (1 - m) * (1.0::DOUBLE / cell_n + 1.0::DOUBLE / all_n)) AS z
               FROM (SELECT *, bad::DOUBLE / cell_n AS r, all_bad::DOUBLE / all_n AS q,

@@ -2,8 +2,8 @@
 
 The statistic comes out of distributed aggregates and is reduced to counts on
 the way, so nothing row-sized reaches a single task; the p-value is a Column.
-Windows without a partition run over such counts only: one row per segment,
-per cell, or per day of duration.
+Totals come back to the counts as scalar subqueries.
+The one window without a partition runs over days of duration.
 """
 
 from __future__ import annotations
@@ -53,34 +53,43 @@ def chi2_independence(
     ``null_segments`` says whether rows without a segment form one of their
     own.  A 2x2 table gets Yates' continuity correction.
     """
+    scored = tickets.filter("has_satisfaction")
     table = group_by_each(
-        tickets.filter("has_satisfaction"),
+        scored,
         {name: F.col(name) for name in dimensions},
         [F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses")],
     )
     if not null_segments:
         table = table.filter(F.col("segment").isNotNull())
-    in_dimension = Window.partitionBy("dimension")
-    margins = table.select(
-        "dimension",
-        "hits",
-        "misses",
-        (F.col("hits") + F.col("misses")).alias("size"),
-        F.sum("hits").over(in_dimension).alias("all_hits"),
-        F.sum("misses").over(in_dimension).alias("all_misses"),
-        F.count("*").over(in_dimension).alias("segments"),
-    )
-    everything = F.col("all_hits") + F.col("all_misses")
 
-    def cell(observed: str, column_total: str) -> Column:
-        expected = ratio(F.col("size") * F.col(column_total).cast("double"), everything)
-        distance = F.abs(F.col(observed) - expected)
-        yates = F.when(F.col("segments") == 2, F.least(F.lit(0.5), distance)).otherwise(0.0)
-        return F.try_divide((distance - yates) * (distance - yates), expected)
+    def column_totals(name: str) -> Column:
+        counted = F.lit(True) if null_segments else F.col(name).isNotNull()
+        return F.struct(
+            F.count_if(hit & counted).alias("hits"), F.count_if(~hit & counted).alias("misses")
+        )
 
+    # counted apart from the table: labels may be free-form, so the table of one
+    # dimension need not fit a single task
+    entries = [part for name in dimensions for part in (F.lit(name), column_totals(name))]
+    totals = scored.agg(F.create_map(*entries)).scalar()
+    margins = table.withColumn("totals", F.element_at(totals, F.col("dimension")))
+    size = F.col("hits") + F.col("misses")
+    everything = F.col("totals.hits") + F.col("totals.misses")
+
+    def cell(column: str, corrected: bool) -> Column:
+        expected = ratio(size * F.col(f"totals.{column}").cast("double"), everything)
+        distance = F.abs(F.col(column) - expected)
+        if corrected:
+            distance = F.greatest(distance - F.lit(0.5), F.lit(0.0))
+        return F.try_divide(distance * distance, expected)
+
+    def statistic(corrected: bool) -> Column:
+        return F.sum(cell("hits", corrected) + cell("misses", corrected))
+
+    segments = F.count("*")
     return margins.groupBy("dimension").agg(
-        F.sum(cell("hits", "all_hits") + cell("misses", "all_misses")).alias("chi2"),
-        (F.max("segments") - 1).alias("dof"),
+        F.when(segments == 2, statistic(True)).otherwise(statistic(False)).alias("chi2"),
+        (segments - 1).alias("dof"),
     )
 
 
@@ -180,18 +189,22 @@ def two_prop_z_cells(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
 
     The overall group contains the cell, as in the usual "cell versus total"
     reading.  Scanning many cells makes some look significant by chance, hence
-    the Bonferroni bar next to the plain one.
+    the Bonferroni bar next to the plain one.  Worst-looking cells come first.
     """
-    everything = Window.partitionBy()
     cells = tickets.groupBy("category", "channel").agg(
         F.count_if("has_satisfaction").alias("cell_n"),
         F.count_if("is_bottom_box").alias("cell_low"),
     )
-    counted = cells.withColumns(
+    totals = cells.agg(
+        F.struct(
+            F.sum("cell_n").alias("n"), F.sum("cell_low").alias("low"), F.count("*").alias("cells")
+        )
+    ).scalar()
+    counted = cells.withColumn("totals", totals).withColumns(
         {
-            "all_n": F.sum("cell_n").over(everything),
-            "all_low": F.sum("cell_low").over(everything),
-            "cells": F.count("*").over(everything),
+            "all_n": F.col("totals.n"),
+            "all_low": F.col("totals.low"),
+            "cells": F.col("totals.cells"),
         }
     )
     cell_n, cell_low = F.col("cell_n"), F.col("cell_low")
@@ -204,8 +217,7 @@ def two_prop_z_cells(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
         "p", normal_two_sided("z")
     )
     threshold = F.lit(profile.significance) / F.col("cells")
-    worst_first = Window.orderBy(rate.desc_nulls_last(), "category", "channel")
-    return tested.select(
+    return tested.orderBy(rate.desc_nulls_last(), "category", "channel").select(
         "category",
         "channel",
         "cell_n",
@@ -216,8 +228,7 @@ def two_prop_z_cells(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
         (F.col("p") < profile.significance).alias("below_plain_threshold"),
         round_to(threshold, 6).alias("bonferroni_threshold"),
         (F.col("p") < threshold).alias("survives_correction"),
-        F.row_number().over(worst_first).cast("bigint").alias("worst_rank"),
-    ).orderBy("worst_rank")
+    )
 
 
 def _gof(observed: str, expected: str) -> Column:

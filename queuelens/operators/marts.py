@@ -184,7 +184,10 @@ def mart_priority_panel(tickets: DataFrame, profile: TicketProfile) -> DataFrame
     """Hours to close and days waiting per priority, against the overall median.
 
     Overall and per-priority figures come from the same pass over the tickets.
+    The panel shows the listed priorities only, which also bounds the window.
     """
+    priority = F.col("priority")
+    listed = F.when(priority.isin(*profile.priorities_by_severity), priority)
     figures = grouped_histogram(
         tickets,
         [],
@@ -195,13 +198,13 @@ def mart_priority_panel(tickets: DataFrame, profile: TicketProfile) -> DataFrame
             round_to(weighted_quantile("age", 0.5)).alias("median_age_days"),
             total("open").alias("open_tickets"),
         ],
-        {ALL_TICKETS: F.lit(ALL_TICKETS), "priority": F.col("priority")},
+        {ALL_TICKETS: F.lit(ALL_TICKETS), "priority": listed},
     )
     overall = F.max(F.when(F.col("dimension") == ALL_TICKETS, F.col("median_hrs")))
     rank = severity_rank(F.col("segment"), profile.priorities_by_severity)
     return (
         figures.withColumn("overall_median_hrs", overall.over(Window.partitionBy()))
-        .filter(F.col("dimension") == "priority")
+        .filter((F.col("dimension") == "priority") & F.col("segment").isNotNull())
         .select(
             rank.alias("severity_rank"),
             F.col("segment").alias("priority"),
@@ -210,5 +213,5 @@ def mart_priority_panel(tickets: DataFrame, profile: TicketProfile) -> DataFrame
             "open_tickets",
             "median_age_days",
         )
-        .orderBy(F.asc_nulls_last("severity_rank"))
+        .orderBy("severity_rank")
     )

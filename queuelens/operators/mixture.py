@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from queuelens.functions.numeric import pct, ratio, round_to
@@ -39,18 +39,16 @@ MIDPOINT_PERCENTAGE = 50.0
 
 
 def scale_deconvolution(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
-    """Each observed score split into its two scales, next to the even-spread model.
-
-    The windows run over the score histogram, one row per score.
-    """
-    everything = Window.partitionBy()
-    score, observed = F.col("satisfaction_score"), F.col("n")
-    high = F.when(score > profile.short_scale_max, observed)
-    modelled = score_frequencies(tickets).select(
-        score.alias("score"),
-        observed.alias("observed"),
-        F.avg(high).over(everything).alias("h"),
-        F.sum(observed).over(everything).alias("total"),
+    """Each observed score split into its two scales, next to the even-spread model."""
+    observed = score_frequencies(tickets).select(
+        F.col("satisfaction_score").alias("score"), F.col("n").alias("observed")
+    )
+    high = F.when(F.col("score") > profile.short_scale_max, F.col("observed"))
+    model = observed.agg(
+        F.struct(F.avg(high).alias("h"), F.sum("observed").alias("total"))
+    ).scalar()
+    modelled = observed.withColumn("model", model).select(
+        "score", "observed", F.col("model.h").alias("h"), F.col("model.total").alias("total")
     )
     short = F.col("score") <= profile.short_scale_max
     even_short = F.col("total") / F.lit(float(profile.short_scale_max)) - F.col("h")

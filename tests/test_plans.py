@@ -59,7 +59,13 @@ def test_filters_reach_the_scan(ws):
 
 
 def test_branches_share_the_wide_shuffle(ws, no_broadcast):
-    for name in ("clean_tickets", "kruskal_resolution_by_priority", "mat_date_rows_dropped"):
+    for name in (
+        "clean_tickets",
+        "kruskal_resolution_by_priority",
+        "mat_date_rows_dropped",
+        "two_prop_z_cells",
+        "scale_deconvolution",
+    ):
         df = QUERIES[name](ws)
         df.collect()
         final = executed_plan(df).split("Initial Plan")[0]
@@ -102,3 +108,10 @@ def test_export_is_read_once(ws):
     for name in ("qa_row_counts", "check_reconciliation", "mat_duplicates", "mat_not_normalised",
                  "mat_date_misparsed", "mat_date_rows_dropped", "mat_bill_billing"):
         assert "FileScan csv" not in executed_plan(QUERIES[name](ws)), name
+
+
+def test_free_form_labels_never_share_a_task(ws):
+    """Tests over open-ended labels attach totals without windows or joins."""
+    for name in ("chi2_low_score_by_dim", "chi2_scale_by_dim", "two_prop_z_cells"):
+        plan = executed_plan(QUERIES[name](ws))
+        assert "Window" not in plan and "Join" not in plan, name
