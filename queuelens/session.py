@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SESSION_SETTINGS = {
@@ -11,7 +9,6 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.ui.enabled": "false",
     # Recording the Python call site of every Column makes plan building ~5x slower.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -41,23 +38,19 @@ def build_session(
     return builder.getOrCreate()
 
 
-_local_dirs: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """Folder of this application below a place every executor can reach.
 
-    Written stages go below a folder of this application, so two jobs never
-    meet.  A local-mode session without the setting gets a temporary folder; a
-    cluster without it is an error, because a machine-local folder would lose
-    the stage together with the machine.
+    The place is ``spark.checkpoint.dir``; where that is unset, a folder inside
+    ``spark.sql.warehouse.dir``, which Spark's own tables already require to be
+    shared.  The rule is the same for every master.
     """
-    app_id = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        if app_id not in _local_dirs:
-            _local_dirs[app_id] = tempfile.mkdtemp(prefix="queuelens-")
-        root = _local_dirs[app_id]
-    return f"{root.rstrip('/')}/queuelens-{app_id}"
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
+    return f"{root.rstrip('/')}/queuelens-{spark.sparkContext.applicationId}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a written folder, wherever it is stored."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

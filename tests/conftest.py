@@ -12,8 +12,18 @@ SMALL_TABLES = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", "local[8]", 8, {"spark.ui.showConsoleProgress": "false"})
+def spark(tmp_path_factory):
+    session = build_session(
+        "tests",
+        "local[8]",
+        8,
+        {
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("stages")),
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+        },
+    )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -5,6 +5,8 @@ from conftest import SMALL_TABLES
 
 import __spark_entry__ as entry_points
 from check_oracle import difference, duck
+from oracle import ORACLE_SQL
+from queuelens.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -14,10 +16,10 @@ def con():
 
 def test_every_oracle_belongs_to_a_query():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
-    assert set(entry_points.queries()) - set(entry_points.oracle_sql()) == {"power_simulation"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"power_simulation"}
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_agrees(spark, con, name):
     assert difference(spark, con, name, SMALL_TABLES) is None
 
