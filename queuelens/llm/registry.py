@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queuelens.llm import ngram_join, substring_dedup
+from queuelens.llm import exact_dedup, ngram_join, packing, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return substring_dedup.digest_rows(substring_dedup.remove_repeats(docs))
@@ -23,9 +31,21 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_exact_dedup": op3_exact_dedup,
+    "op5_packing": op5_packing,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": """
+        SELECT doc_id,
+               max(doc_id) OVER same AS keep_id,
+               count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents
+        WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """,
+}
