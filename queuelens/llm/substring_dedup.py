@@ -216,9 +216,9 @@ def remove_repeats(
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = shuffle_width(spark)
-    n_parts = max(2 * width, -(-total // part_bytes))
-    # a word has 6 bytes or so; a bucket holds about as much as a part
-    bucket_bits = power_of_two(max(4 * width, total // part_bytes)).bit_length() - 1
+    n_parts = max(width, -(-total // part_bytes))
+    # every part sends a run to every bucket, so buckets hold more than parts
+    bucket_bits = power_of_two(max(width, total // (4 * part_bytes))).bit_length() - 1
     quantiles = [i / n_parts for i in range(1, n_parts)]
     # a few bytes a part: 100 TB in parts of 64 MB have 12 MB of bounds
     bounds = base.agg(F.percentile_approx("doc_id", quantiles, 10 * n_parts)).first()[0] or []
