@@ -9,22 +9,22 @@ Sets are banded by size, so that two linkable sets meet in at least one band.
 In a band, the domain of n-gram hashes is cut into equally wide parts.  A signature
 is the hash of a set's members in one part, empty parts left out.  Linked sets
 differ in few members, and each differing member spoils one part, so of its N
-signatures a set of n members shares all but ``n * (100 - percent) / percent``
-with any linked set.  Signatures have one global order, the common ones last;
-then the first ``n * (100 - percent) / percent + 1`` of each set in that order
-are enough for linked sets to share one of them, and signatures of passages that
-stand in many documents are hardly ever among them.  The rare set whose
-members crowd into too few parts also gives every member as a signature of its own.
+signatures a set of n members lacks at most ``n * (100 - percent) / percent`` in any
+linked set.  It may therefore skip its most frequent signatures, as many as leave one
+more than that number, and still meet every linked set: both skip by the same order,
+by frequency among all documents.  Signatures of passages that stand in many documents
+are skipped this way, those that nobody shares need not be looked at again, and what is
+left joins hardly any sets that do not link.  The rare set whose members crowd into too
+few parts skips none and also gives every member as a signature of its own.
 
 Plan
 ----
-1. One scan: size and digest of every set, and counts of signatures that repeat
-   within a block of documents.  The most frequent ``common_limit`` make the tail
-   of the order; they change the amount of work, never the result.
-2. One scan: the leading signatures, packed by bucket of the signature domain.  Each
-   bucket joins documents with the same signature by a spanning forest, not by pairs.
-3. Components of these candidates bound which documents can link at all.  Copies
-   are represented by one document.
+1. One scan: size, digest and number of signatures to skip of every set.
+2. One scan: all signatures, packed by bucket of their domain; equal sets of a block of
+   documents give theirs once.  Buckets return those that repeat, with their frequency.
+3. Each document skips its most frequent ones; the others link it to the smallest id with
+   the same signature (a star, not pairs).  Components of these candidates bound which
+   documents can link at all.  Copies are represented by one document.
 4. Sets of a candidate component are compared in a task by an inverted index.
    A component too large for one task is cut into chunks that share a few leaders;
    documents outside the largest group found so are then compared, in blocks,
@@ -42,13 +42,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_digest
+from xxhash import xxh3_128_digest
 
 from queuelens.llm.graph import components
 from queuelens.llm.stages import Stages, power_of_two, shuffle_width, text_or_empty
-from queuelens.llm.tokens import mix, rolling_hash, split_words, word_hashes
+from queuelens.llm.tokens import mix, rolling_hash, word_hashes
 
 WORDS = 5
 PERCENT = 75
@@ -139,88 +139,64 @@ def _distinct_sets(block):
     return list(first.values())
 
 
+def skipped(size: int, found: int, percent: int) -> int:
+    """How many of its ``found`` signatures in a band a set may skip."""
+    return max(0, found - allowed_difference(size, percent) - 1)
+
+
 def _describe(words: int, percent: int):
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, words):
+            skips = []
+            for _, members in block:
+                found = [
+                    skipped(len(members), len(signatures(members, band, parts)), percent)
+                    for band, parts in (bands(len(members), percent) if len(members) else ())
+                ]
+                skips.append(found + [0] * (2 - len(found)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([d for d, _ in block], pa.int64()),
                     pa.array([len(m) for _, m in block], pa.int64()),
                     pa.array([_digest(m) for _, m in block], pa.binary()),
-                    pa.nulls(len(block), pa.int64()),
-                ],
-                names=["doc_id", "size", "digest", "signature"],
-            )
-            found = [
-                signatures(members, band, parts)
-                for _, members in _distinct_sets(block)
-                for band, parts in bands(len(members), percent)
-            ]
-            values, counts = np.unique(
-                np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True
-            )
-            values, counts = values[counts > 1], counts[counts > 1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.nulls(len(values), pa.int64()),
-                    pa.array(counts, pa.int64()),
-                    pa.nulls(len(values), pa.binary()),
-                    pa.array(values.view(np.int64)),
+                    pa.array([x for x, _ in skips], pa.int32()),
+                    pa.array([x for _, x in skips], pa.int32()),
                 ],
-                names=["doc_id", "size", "digest", "signature"],
+                names=["doc_id", "size", "digest", "skip_own", "skip_below"],
             )
 
     return of_partition
 
 
-def leading(sigs: np.ndarray, count: int, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first ``count`` signatures: rare ones by hash, then common ones by frequency."""
-    if len(sigs) <= count:
-        return sigs
-    at = np.searchsorted(common, sigs)
-    at[at == len(common)] = 0
-    is_common = common[at] == sigs if len(common) else np.zeros(len(sigs), bool)
-    key = np.where(is_common, rank[at] if len(common) else 0, 0)
-    return sigs[np.lexsort((sigs, key))[:count]]
-
-
-def _emit(words: int, percent: int, bucket_bits: int, common):
+def _emit(words: int, percent: int, bucket_bits: int):
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, rank = (np.frombuffer(x, np.uint64) for x in common.value)
         for block in _blocks(batches, words):
-            sigs, ids = [], []
+            sigs, ids, below = [], [], []
             for doc_id, members in _distinct_sets(block):
-                need = allowed_difference(len(members), percent) + 1
-                for band, parts in bands(len(members), percent):
-                    chosen = signatures(members, band, parts)
-                    if len(chosen) >= need:
-                        chosen = leading(chosen, need, table, rank)
-                    else:
-                        chosen = np.concatenate([chosen, member_signatures(members, band)])
-                    sigs.append(chosen)
-                    ids.append(np.full(len(chosen), doc_id, np.int64))
+                for place, (band, parts) in enumerate(bands(len(members), percent)):
+                    found = signatures(members, band, parts)
+                    if len(found) <= allowed_difference(len(members), percent):
+                        found = np.concatenate([found, member_signatures(members, band)])
+                    sigs.append(found)
+                    ids.append(np.full(len(found), doc_id, np.int64))
+                    below.append(np.full(len(found), place, np.uint8))
             if not sigs:
                 continue
-            sig, doc = np.concatenate(sigs), np.concatenate(ids)
+            sig = np.concatenate(sigs)
             order = np.argsort(sig)
-            sig, doc = sig[order], doc[order]
+            sig, doc, low = sig[order], np.concatenate(ids)[order], np.concatenate(below)[order]
             bucket = (sig >> np.uint64(64 - bucket_bits)).astype(np.int64)
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.r_[cuts[1:], len(sig)]
+            spans = list(zip(cuts, np.r_[cuts[1:], len(sig)]))
             # 32 more bits tell signatures apart; a false match costs a comparison, no more
             short = (sig >> np.uint64(32 - bucket_bits)).astype(np.uint32)
+            # bytes of equal weight together: ids of a block compress well in the shuffle
+            planes = np.concatenate([doc.view(np.uint8).reshape(-1, 8).T, low[None]])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(bucket[cuts].astype(np.int32)),
-                    pa.array([short[s:e].tobytes() for s, e in zip(cuts, ends)], pa.binary()),
-                    # bytes of equal weight together: compresses well in the shuffle
-                    pa.array(
-                        [
-                            doc[s:e].view(np.uint8).reshape(-1, 8).T.tobytes()
-                            for s, e in zip(cuts, ends)
-                        ],
-                        pa.binary(),
-                    ),
+                    pa.array([short[s:e].tobytes() for s, e in spans], pa.binary()),
+                    pa.array([planes[:, s:e].tobytes() for s, e in spans], pa.binary()),
                 ],
                 names=["bucket", "sigs", "docs"],
             )
@@ -228,39 +204,27 @@ def _emit(words: int, percent: int, bucket_bits: int, common):
     return of_partition
 
 
-def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each vertex other than a root, with the root (smallest) of its component."""
-    vertices, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-    a, b = at[: len(left)], at[len(left) :]
-    label = np.arange(len(vertices))
-    while True:
-        least = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, label[a], least)
-        np.minimum.at(label, label[b], least)
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        label = label[label]
-        if np.array_equal(label, before):
-            break
-    child = np.flatnonzero(label != np.arange(len(vertices)))
-    return vertices[child], vertices[label[child]]
-
-
-def _meet(key: tuple, table: pa.Table) -> pa.Table:
-    """Documents with the same signature, as links of a spanning forest."""
+def _repeated(key: tuple, table: pa.Table) -> pa.Table:
+    """Signatures of a bucket that more than one document has, with their frequency."""
     sig = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("sigs").to_pylist()])
-    doc = np.concatenate(
-        [
-            np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
-            for x in table.column("docs").to_pylist()
-        ]
+    planes = np.concatenate(
+        [np.frombuffer(x, np.uint8).reshape(9, -1) for x in table.column("docs").to_pylist()], axis=1
     )
     order = np.argsort(sig, kind="stable")
-    sig, doc = sig[order], doc[order]
-    same = (sig[1:] == sig[:-1]) & (doc[1:] != doc[:-1])
-    a, b = forest(doc[1:][same], doc[:-1][same])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    sig = sig[order]
+    new = np.r_[True, sig[1:] != sig[:-1]]
+    count = np.diff(np.r_[np.flatnonzero(new), len(sig)])[np.cumsum(new) - 1]
+    often = count > 1
+    order = order[often]
+    doc = np.ascontiguousarray(planes[:8, order].T).view(np.int64).ravel()
+    return pa.table(
+        {
+            "doc_id": pa.array(doc, pa.int64()),
+            "below": pa.array(planes[8, order].astype(bool)),
+            "signature": pa.array((np.int64(key[0].as_py()) << 32) + sig[often].astype(np.int64)),
+            "documents": pa.array(count[often].astype(np.int32)),
+        }
+    )
 
 
 class SetIndex:
@@ -365,13 +329,11 @@ def jaccard_components(
     percent: int = PERCENT,
     id_col: str = "doc_id",
     text_col: str = "text",
-    common_limit: int = 1 << 18,
     task_members: int = 1 << 20,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document.
 
-    ``common_limit`` bounds the broadcast tail of the signature order (16 bytes
-    each); ``task_members`` is the number of set members compared in one task.
+    ``task_members`` is the number of set members compared in one task.
     """
     spark = docs.sparkSession
     stages = Stages(spark, "ngram-join")
@@ -379,32 +341,38 @@ def jaccard_components(
     base = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")
     )
-    described = stages.write(
+    sizes = stages.write(
         base.mapInArrow(
-            _describe(words, percent), "doc_id long, size long, digest binary, signature long"
+            _describe(words, percent),
+            "doc_id long, size long, digest binary, skip_own int, skip_below int",
         ),
-        "described",
+        "sizes",
     )
-    sizes = described.where("doc_id is not null").select("doc_id", "size", "digest")
-    top = (
-        described.where("signature is not null")
-        .groupBy("signature")
-        .agg(F.sum("size").alias("n"))
-        .orderBy(F.desc("n"), "signature")
-        .limit(common_limit)
-        .toPandas()
+    members = sizes.agg(F.sum("size")).first()[0] or 0
+    bucket_bits = power_of_two(max(64, width, members // (1 << 20)), 1 << 31).bit_length() - 1
+    repeated = (
+        base.mapInArrow(
+            _emit(words, percent, bucket_bits), "bucket int, sigs binary, docs binary"
+        )
+        .groupBy("bucket")
+        .applyInArrow(_repeated, "doc_id long, below boolean, signature long, documents int")
     )
-    values = top["signature"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(values)
-    common = spark.sparkContext.broadcast(
-        (values[order].tobytes(), top["n"].to_numpy(np.uint64)[order].tobytes())
+    skips = sizes.groupBy("doc_id").agg(
+        F.min("skip_own").alias("skip_own"), F.min("skip_below").alias("skip_below")
     )
-    members = sizes.agg(F.sum("size")).first()[0] or 0
-    bucket_bits = power_of_two(max(64, width, members // (1 << 19)), 1 << 31).bit_length() - 1
-    packed = base.mapInArrow(
-        _emit(words, percent, bucket_bits, common), "bucket int, sigs binary, docs binary"
+    # a set has no more signatures than members, so these windows are as large as a text
+    most_frequent = Window.partitionBy("doc_id", "below").orderBy(F.desc("documents"), "signature")
+    leading = (
+        repeated.withColumn("place", F.row_number().over(most_frequent))
+        .join(skips, "doc_id")
+        .where(F.col("place") > F.when(F.col("below"), F.col("skip_below")).otherwise(F.col("skip_own")))
+        .select("signature", "doc_id")
+    )
+    leading = stages.write(leading, "leading")
+    smallest = leading.groupBy("signature").agg(F.min("doc_id").alias("b"))
+    candidates = leading.join(smallest, "signature").where("doc_id <> b").select(
+        F.col("doc_id").alias("a"), "b"
     )
-    candidates = packed.groupBy("bucket").applyInArrow(_meet, "a long, b long")
 
     # copies hang on the smallest id with the same set
     copies = (
