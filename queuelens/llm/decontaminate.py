@@ -28,6 +28,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -254,18 +255,29 @@ def find_leaks(
 ) -> DataFrame:
     """One row for each document and leaked item: doc_id, item_id, start (word offset of the
     passage), score (share of the item's own BM25 score), question_overlap, answer_overlap."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    wanted = items.select(F.col(item_col).cast("long").alias("item_id"), text_or_empty().alias("text"))
+    texts = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")
+    )
+    hits = [
+        texts.mapInArrow(_scan(index, least_score, least_overlap), HIT_SCHEMA)
+        for index in _indexes(items, index_bytes, item_col)
+    ]
+    return reduce(DataFrame.union, hits)
+
+
+def _indexes(items: DataFrame, index_bytes: int, item_col: str) -> list:
+    """Broadcast indexes of all items, each of about ``index_bytes`` of text or less."""
+    spark = items.sparkSession
+    wanted = items.select(
+        F.col(item_col).cast("long").alias("item_id"), text_or_empty().alias("text")
+    )
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    indexes = max(1, -(-size // index_bytes))
-    out = None
-    for k in range(indexes):
-        own = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(indexes)) == k)
-        rows = own.orderBy("item_id", "text").collect()  # index_bytes on average
-        shared = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows]))
-        hits = texts.mapInArrow(_scan(shared, least_score, least_overlap), HIT_SCHEMA)
-        out = hits if out is None else out.union(hits)
+    count = max(1, -(-size // index_bytes))
+    out = []
+    for k in range(count):
+        own = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
+        rows = own.orderBy("item_id", "text").collect()
+        out.append(spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows])))
     return out
 
 
@@ -287,7 +299,26 @@ def _scan(shared, least_score: float, least_overlap: float):
     return of_partition
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Rows of ``docs`` in which no test item was found."""
-    gone = find_leaks(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+def without_leaks(
+    docs: DataFrame,
+    items: DataFrame,
+    least_score: float = LEAST_SCORE,
+    least_overlap: float = LEAST_OVERLAP,
+    index_bytes: int = 32 << 20,
+    text_col: str = "text",
+    item_col: str = "item_id",
+) -> DataFrame:
+    """Rows of ``docs`` in which no test item is found, as they were; nothing is shuffled."""
+    for index in _indexes(items, index_bytes, item_col):
+        docs = docs.mapInArrow(_clean(index, text_col, least_score, least_overlap), docs.schema)
+    return docs
+
+
+def _clean(shared, text_col: str, least_score: float, least_overlap: float):
+    def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = (t.as_py() or "" for t in batch.column(text_col))
+            keep = [not leaks_of(t, shared.value, least_score, least_overlap) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return of_partition

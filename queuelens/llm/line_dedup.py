@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from queuelens.llm.stages import Stages, text_or_empty
+from queuelens.llm.stages import Stages, free_name, text_or_empty
 
 DEPTH = 3
 LEAST_DOCS = 3
@@ -226,21 +226,43 @@ def recurring_lines(
 def drop_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
 ) -> DataFrame:
-    """``docs`` with recurring lines dropped from the text, and the columns _lines (number of
-    lines before) and _dropped added at the end."""
+    """``docs`` with recurring lines dropped from the text, and the numbers of lines before and
+    of lines dropped as columns n_lines and n_dropped; columns of these names are replaced."""
     dropped = recurring_lines(docs, id_col=id_col, text_col=text_col, **options)
-    per_row = dropped.groupBy(F.col("row").alias("_row")).agg(F.collect_list("line").alias("_gone"))
+    row, key, gone = (free_name(docs, c) for c in ("_row", "_key", "_lines"))
+    per_row = dropped.groupBy(F.col("row").alias(row)).agg(F.collect_list("line").alias(gone))
     text = text_or_empty(text_col)
-    key = F.xxhash64(F.col(id_col).cast("long"), text)
-    joined = docs.withColumn("_key", key).join(per_row, F.col("_key") == F.col("_row"), "left")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), text))
+    joined = keyed.join(per_row, F.col(key) == F.col(row), "left")
     split = F.split(text, "\n", -1)
-    # line numbers to drop as a map: looked up once a line
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
     cut = F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n")
-    count = F.when(text == "", F.lit(0)).otherwise(F.size(split))
-    return (
-        joined.withColumn("_lines", count.cast("long"))
-        .withColumn("_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("_dropped") > 0, cut).otherwise(F.col(text_col)))
-        .drop("_key", "_row", "_gone")
-    )
+    count = F.when(text == "", F.lit(0)).otherwise(F.size(split)).cast("long")
+    found = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")
+    return joined.withColumns(
+        {
+            "n_lines": count,
+            "n_dropped": found,
+            text_col: F.when(F.col(gone).isNotNull(), cut).otherwise(F.col(text_col)),
+        }
+    ).drop(key, row, gone)
+
+
+def without_recurring_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length_col: str = "n_chars",
+    **options,
+) -> DataFrame:
+    """``docs`` in its own columns, with recurring lines dropped, without the documents that
+    lose all their text this way; a column ``length_col`` follows the text."""
+    named = [free_name(docs, c) for c in ("n_lines", "n_dropped")]
+    cut = drop_lines(docs, id_col, text_col, **options)
+    if named != ["n_lines", "n_dropped"]:
+        raise ValueError("documents have columns named n_lines or n_dropped; rename them before")
+    if length_col in docs.columns:
+        length = F.when(F.col("n_dropped") > 0, F.length(text_col)).otherwise(F.col(length_col))
+        cut = cut.withColumn(length_col, length.cast(docs.schema[length_col].dataType))
+    emptied = (F.col("n_dropped") > 0) & (F.trim(text_col) == "")
+    return cut.where(~emptied).select(*docs.columns)

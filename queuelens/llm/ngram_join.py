@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from queuelens.llm.graph import components
-from queuelens.llm.stages import Stages, power_of_two, shuffle_width, text_or_empty
+from queuelens.llm.stages import Stages, power_of_two, shuffle_width, text_or_empty, without_ids
 from queuelens.llm.tokens import mix, rolling_hash, word_hashes
 
 WORDS = 5
@@ -491,8 +491,9 @@ def _rest_links(base, large, links, stages, words, percent, task_members) -> Dat
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
     """Rows of ``docs`` without those that link, directly or not, to a smaller id."""
     groups = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return without_ids(docs, groups.where("component_id <> doc_id").select("doc_id"), id_col)

@@ -181,3 +181,25 @@ def score(
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")
     ).mapInArrow(of_partition, "doc_id long, score double")
+
+
+def accepted(
+    docs: DataFrame,
+    weights: np.ndarray,
+    bits: int = FtrlSettings.bits,
+    least: float = 0.5,
+    text_col: str = "text",
+) -> DataFrame:
+    """Rows of ``docs`` with a score of ``least`` or more, as they were; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        for batch in batches:
+            keep = []
+            for text in batch.column(text_col):
+                numbers, values = features(text.as_py() or "", bits)
+                keep.append(_sigmoid(float(w[numbers] @ values + w[-1])) >= least)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(of_partition, docs.schema)

@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from queuelens.llm import (
     decontaminate,
     exact_dedup,
+    licenses,
     line_dedup,
     ngram_join,
     packing,
     quality,
     secrets,
+    sharding,
     substring_dedup,
 )
 
@@ -34,6 +37,18 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: the source is a repository with a directory per thousand and per
+    hundred documents; every seventh document is the license file of its thousand."""
+    doc = F.col("doc_id")
+    thousand = F.concat_ws("/", "source", F.floor(doc / 1000).cast("string"))
+    path = F.when(doc % 7 == 0, F.concat(thousand, F.lit("/LICENSE-"), doc)).otherwise(
+        F.concat_ws("/", thousand, F.floor(doc / 100).cast("string"), F.concat(doc, F.lit(".txt")))
+    )
+    files = _table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan_licenses(files, id_col="doc_id").withColumnRenamed("file_id", "doc_id")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -46,6 +61,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return sharding.place(docs, [f"shard-{k:03d}" for k in range(256)])
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -64,21 +84,24 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(_table(spark, sf_dir, "documents")).select(
         "doc_id",
-        F.col("_lines").alias("n_lines"),
-        F.col("_dropped").alias("n_dropped"),
+        "n_lines",
+        "n_dropped",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_license_scans": op2_license_scans,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_secret_scans": op4_secret_scans,
     "op5_packing": op5_packing,
+    "op6_sharding": op6_sharding,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.

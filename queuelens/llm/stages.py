@@ -50,3 +50,18 @@ def power_of_two(least: float, most: int = 1 << 30) -> int:
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or a longer name if the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id is not among the ids of the one column of ``gone``."""
+    name = free_name(docs, "_gone")
+    ids = gone.distinct().toDF(name)
+    return docs.join(ids, F.col(id_col).cast("long") == F.col(name), "left_anti")
