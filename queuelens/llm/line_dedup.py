@@ -29,6 +29,7 @@ the input are passed on untouched by ``drop_lines``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,13 +46,15 @@ LEAST_FIXED = 0.7
 VARIABLE = "<*>"
 
 
-def masked(line: str) -> list[str]:
-    """Tokens of a line, the evident variable fields as ``<*>``."""
-    return [VARIABLE if _variable(t) else t for t in line.split()]
+_EVIDENT = re.compile(r"\d|@|://")
 
 
-def _variable(token: str) -> bool:
-    return "@" in token or "://" in token or any(c.isdigit() for c in token)
+def masked(line: str) -> list[str]:
+    """Tokens of a line, the evident variable fields as ``<*>``."""
+    tokens = line.split()
+    if _EVIDENT.search(line):
+        tokens = [VARIABLE if _EVIDENT.search(t) else t for t in tokens]
+    return tokens
 
 
 def _signed(x: int) -> int:
@@ -237,7 +240,8 @@ def drop_lines(
     split = F.split(text, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
     cut = F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n")
-    count = F.when(text == "", F.lit(0)).otherwise(F.size(split)).cast("long")
+    feeds = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    count = F.when(text == "", F.lit(0)).otherwise(feeds + 1).cast("long")
     found = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")
     return joined.withColumns(
         {
