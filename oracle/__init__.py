@@ -7,37 +7,26 @@ plain, single-pass-be-damned SQL whose one aim is to be obviously right.
 from oracle.cleaning import CLEANING
 from oracle.metrics import METRICS
 from oracle.statistics import STATISTICS
+from oracle.values import REPORTS
 
 ORACLE_SQL: dict[str, str] = {**CLEANING, **METRICS, **STATISTICS}
 
-# the saved reports, by file name: how many data rows each must hold
-REPORTS = {
-    "by_category": "by_category",
-    "by_channel": "by_channel",
-    "by_brand": "by_brand",
-    "by_priority": "by_priority",
-    "by_team": "by_team",
-    "monthly_trend": "monthly_trend",
-    "agent_low_score_spread": "agent_low_score_spread",
-    "resolution_vs_satisfaction_correlation": "resolution_satisfaction_corr",
-    "backlog_age_by_priority": "backlog_age_by_priority",
-    "backlog_by_creation_month": "backlog_by_creation_month",
-    "arrival_pattern_by_weekday": "arrivals_by_weekday",
-    "duplicates": "mat_duplicates",
-    "date_format_misparsed": "mat_date_misparsed",
-    "date_format_rows_dropped": "mat_date_rows_dropped",
-    "mean_vs_median": "mat_mean_vs_median",
-    "missing_satisfaction_as_bad_score": "mat_missing_as_bad",
-    "category_and_channel_not_normalised": "mat_not_normalised",
-    "survivorship": "mat_survivorship",
-    "bill_to_billing_evidence": "mat_bill_billing",
-    "pre_hire_tickets_diagnosed": "mat_pre_hire",
-    "satisfaction_scale_deconvolution": "scale_deconvolution",
-    "satisfaction_methodology_swing": "methodology_swing",
-    "backlog_age_profile": "backlog_age_profile",
-    "speed_by_denominator": "speed_by_denominator",
-}
+
+def _cells(cut: str, query: str) -> str:
+    """Filled cells of one report; a row is named by its cells that are no numbers."""
+    return f"""(
+WITH numbered AS (SELECT row_number() OVER () AS rn, * FROM ({query})),
+cells AS (UNPIVOT (SELECT rn, COLUMNS(* EXCLUDE (rn))::VARCHAR FROM numbered)
+          ON COLUMNS(* EXCLUDE (rn)) INTO NAME "column" VALUE cell),
+filled AS (SELECT rn, "column", cell, TRY_CAST(cell AS DOUBLE) AS number FROM cells
+           WHERE cell <> ''),
+keys AS (SELECT rn, string_agg(cell, '|' ORDER BY "column") AS row FROM filled
+         WHERE number IS NULL GROUP BY rn)
+SELECT '{cut}' AS cut, coalesce(keys.row, '') AS row, "column",
+       CASE WHEN number IS NULL THEN cell END AS value, number
+FROM filled LEFT JOIN keys ON keys.rn = filled.rn)"""
+
+
 ORACLE_SQL["write_cuts"] = " UNION ALL ".join(
-    f"SELECT '{cut}' AS cut, count(*) AS data_rows FROM ({ORACLE_SQL[query]})"
-    for cut, query in REPORTS.items()
+    f"SELECT * FROM {_cells(cut, ORACLE_SQL[query])}" for cut, query in REPORTS.items()
 )

@@ -1,6 +1,9 @@
 """Common table expressions and small SQL snippets."""
 
-# raw: the ticket feed derived from orders and customer, blanks as NULL
+from oracle import values
+
+# raw: the ticket feed derived from orders and customer, blanks as NULL.  Its spellings,
+# moduli and texts are fixed values of the feed.
 FEED = """
 raw AS (
   WITH placed AS (
@@ -22,20 +25,32 @@ raw AS (
     UNION ALL SELECT *, spelled FROM closed WHERE k % 85 = 0
     UNION ALL SELECT *, 'General Query' FROM closed WHERE k % 970 = 1
   )
-  SELECT CAST(k AS VARCHAR) AS ticket_id,
+  SELECT CASE WHEN k % 505 <> 12 THEN CAST(k AS VARCHAR) END AS ticket_id,
          brand,
-         ['Email', 'e-mail', 'PHONE ', 'chat', ' Social', 'email'][k % 6 + 1] AS channel,
-         category,
-         priority,
-         CASE WHEN k % 5 = 0 THEN strftime(opened, '%d/%m/%Y %H:%M')
-              ELSE strftime(opened, '%Y-%m-%d %H:%M:%S') END AS created_at,
-         CASE WHEN k % 5 = 0 THEN strftime(shut, '%d/%m/%Y %H:%M')
-              ELSE strftime(shut, '%Y-%m-%d %H:%M:%S') END AS resolved_at,
-         CASE WHEN k % 125 <> 3 THEN 'A' || CAST((k * 31) % 59 AS VARCHAR) END AS agent_id,
-         CASE WHEN (k * 7907) % 11 >= 3 THEN CAST(
+         CASE WHEN k % 223 = 6 THEN ' Carrier "pigeon", e-mailed'
+              ELSE ['Email', 'e-mail', 'PHONE ', 'chat', ' Social', 'email'][k % 6 + 1]
+         END AS channel,
+         CASE WHEN k % 211 = 5 THEN 'Refund request, "urgent" ' ELSE category END AS category,
+         CASE WHEN k % 509 = 13 THEN 'Critical' ELSE priority END AS priority,
+         CASE WHEN k % 401 = 10 THEN 'not a date'
+              WHEN k % 331 = 11 THEN replace(opened_text, ' ', '  ') || chr(9)
+              ELSE opened_text END AS created_at,
+         CASE WHEN k % 331 = 11 THEN replace(shut_text, ' ', '  ') || chr(9)
+              ELSE shut_text END AS resolved_at,
+         CASE WHEN k % 250 = 3 THEN '  '
+              WHEN k % 301 = 7 THEN 'A999'
+              WHEN k % 125 <> 3 THEN 'A' || CAST((k * 31) % 59 AS VARCHAR) END AS agent_id,
+         CASE WHEN k % 307 = 8 THEN '7.5'
+              WHEN k % 311 = 9 THEN 'n/a'
+              WHEN (k * 7907) % 11 >= 3 THEN CAST(
            CASE WHEN (k * 7901) % 7 < 2 THEN (k * 7883) % 10 + 1
                 ELSE (k * 7883) % 5 + 1 END AS VARCHAR) END AS satisfaction_score
-  FROM copies
+  FROM (SELECT *,
+               CASE WHEN k % 5 = 0 THEN strftime(opened, '%d/%m/%Y %H:%M')
+                    ELSE strftime(opened, '%Y-%m-%d %H:%M:%S') END AS opened_text,
+               CASE WHEN k % 5 = 0 THEN strftime(shut, '%d/%m/%Y %H:%M')
+                    ELSE strftime(shut, '%Y-%m-%d %H:%M:%S') END AS shut_text
+        FROM copies)
 ),
 agents AS (
   SELECT 'A' || CAST(no AS VARCHAR) AS agent_id,
@@ -46,26 +61,26 @@ agents AS (
 )"""
 
 # typed: one row per distinct raw row, labels folded and text turned into values
-TYPED = """,
+_FORMATS = "[" + ", ".join(f"'{f}'" for f in values.TIMESTAMP_FORMATS) + "]"
+_LABELS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in values.CATEGORY_LABELS.items()) + "}"
+TYPED = f""",
 uniq AS (SELECT ticket_id, brand, channel, category, priority, created_at, resolved_at, agent_id,
                 satisfaction_score FROM raw GROUP BY ALL),
 typed AS (
   SELECT ticket_id, brand,
-         replace(lower(trim(channel)), 'e-mail', 'email') AS channel,
-         coalesce(map {'bill': 'Billing', 'billing': 'Billing', 'booking change': 'Booking Change',
-                       'technical issue': 'Technical Issue', 'cancellation': 'Cancellation',
-                       'general query': 'General Query'}[lower(trim(category))],
-                  trim(category)) AS category,
+         CASE WHEN lower(trim(channel)) = 'e-mail' THEN 'email'
+              ELSE lower(trim(channel)) END AS channel,
+         coalesce({_LABELS}[lower(trim(category))], trim(category)) AS category,
          priority,
-         try_strptime(created_at, ['%Y-%m-%d %H:%M:%S', '%d/%m/%Y %H:%M']) AS created_at,
-         try_strptime(resolved_at, ['%Y-%m-%d %H:%M:%S', '%d/%m/%Y %H:%M']) AS resolved_at,
-         agent_id,
+         try_strptime(created_at, {_FORMATS}) AS created_at,
+         try_strptime(resolved_at, {_FORMATS}) AS resolved_at,
+         nullif(trim(agent_id), '') AS agent_id,
          TRY_CAST(satisfaction_score AS INTEGER) AS satisfaction_score
   FROM uniq
 )"""
 
 # clean: the 24-column ticket table; v = valid resolution
-CLEAN = """,
+CLEAN = f""",
 clean AS (
   SELECT t.ticket_id, brand, channel, category, priority, created_at, resolved_at, t.agent_id,
          satisfaction_score, team, hire_date, location,
@@ -73,14 +88,14 @@ clean AS (
          date_diff('minute', created_at, resolved_at) / 60.0::DOUBLE AS resolution_hours,
          coalesce(resolved_at < created_at, FALSE) AS is_negative_duration,
          coalesce(date_diff('day', created_at, resolved_at) > 30, FALSE) AS is_extreme_duration,
-         coalesce(resolved_at >= TIMESTAMP '2001-08-03', FALSE) AS is_future_resolution,
+         coalesce(resolved_at >= {values.FUTURE_CUTOFF}, FALSE) AS is_future_resolution,
          CASE WHEN resolved_at IS NULL
-              THEN date_diff('day', created_at, TIMESTAMP '2001-08-02') END AS open_age_days,
+              THEN date_diff('day', created_at, {values.EXTRACT_DATE}) END AS open_age_days,
          coalesce(created_at < hire_date, FALSE) AS created_before_hire,
          t.agent_id IS NULL AS missing_agent,
          satisfaction_score IS NOT NULL AS has_satisfaction,
          satisfaction_score BETWEEN 1 AND 2 AS is_bottom_box,
-         year(created_at) * 100 + month(created_at) = 200108 AS is_partial_month,
+         date_trunc('month', created_at) = {values.PARTIAL_MONTH} AS is_partial_month,
          CASE WHEN t.ticket_id IS NOT NULL
               THEN count(*) OVER (PARTITION BY t.ticket_id) > 1 END AS is_id_conflict
   FROM typed t LEFT JOIN agents a ON a.agent_id = t.agent_id

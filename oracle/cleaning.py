@@ -1,36 +1,38 @@
 """Ingest, cleaning and the before/after report."""
 
+from oracle import values
 from oracle.base import n_if, on_clean, on_raw, on_typed, quant
 
 CLEANING = {
-    "ingest_raw_tickets": on_raw("SELECT * FROM raw"),
-    "dedup_exact": on_raw("SELECT * FROM raw GROUP BY ALL"),
+    # no line of the feed is broken
+    "ingest_raw_tickets": on_raw("SELECT *, CAST(NULL AS VARCHAR) AS broken_record FROM raw"),
+    "dedup_exact": on_raw(
+        "SELECT *, CAST(NULL AS VARCHAR) AS broken_record FROM (SELECT * FROM raw GROUP BY ALL)"
+    ),
     "agents_dim": on_raw("SELECT agent_id, team, hire_date, location FROM agents"),
     "normalize_channel": on_typed(
         "SELECT ticket_id, channel AS raw_channel,"
-        " CASE WHEN channel ILIKE '%mail%' THEN 'email' ELSE trim(lower(channel)) END AS channel"
+        " CASE lower(trim(channel)) WHEN 'e-mail' THEN 'email' ELSE lower(trim(channel)) END"
+        " AS channel"
         " FROM uniq"
     ),
     "normalize_category": on_typed(
         """SELECT ticket_id, category AS raw_category,
-             CASE WHEN category ILIKE 'bill%' THEN 'Billing'
-                  WHEN category ILIKE '%booking change%' THEN 'Booking Change'
-                  WHEN category ILIKE '%technical issue%' THEN 'Technical Issue'
-                  WHEN category ILIKE '%cancellation%' THEN 'Cancellation'
-                  WHEN category ILIKE '%general query%' THEN 'General Query' END AS category
+             CASE lower(trim(category))
+                  WHEN 'bill' THEN 'Billing' WHEN 'billing' THEN 'Billing'
+                  WHEN 'booking change' THEN 'Booking Change'
+                  WHEN 'technical issue' THEN 'Technical Issue'
+                  WHEN 'cancellation' THEN 'Cancellation'
+                  WHEN 'general query' THEN 'General Query'
+                  ELSE trim(category) END AS category
            FROM uniq"""
     ),
     "parse_mixed_timestamps": on_typed(
-        """SELECT ticket_id,
-             CASE WHEN contains(created_at, '/') THEN strptime(created_at, '%d/%m/%Y %H:%M')
-                  ELSE strptime(created_at, '%Y-%m-%d %H:%M:%S') END AS created_at,
-             CASE WHEN contains(resolved_at, '/') THEN strptime(resolved_at, '%d/%m/%Y %H:%M')
-                  ELSE strptime(resolved_at, '%Y-%m-%d %H:%M:%S') END AS resolved_at
-           FROM uniq"""
+        "SELECT ticket_id, created_at, resolved_at FROM typed"
     ),
     "blank_to_null_and_score": on_typed(
-        "SELECT ticket_id, agent_id, CAST(satisfaction_score AS INTEGER) AS satisfaction_score"
-        " FROM uniq"
+        """SELECT ticket_id, CASE WHEN trim(agent_id) <> '' THEN trim(agent_id) END AS agent_id,
+                  TRY_CAST(satisfaction_score AS INTEGER) AS satisfaction_score FROM uniq"""
     ),
     "id_conflicts": on_typed(
         "SELECT ticket_id, count(*) AS id_rows FROM uniq GROUP BY ticket_id HAVING count(*) > 1"
@@ -50,11 +52,15 @@ CLEANING = {
                   is_bottom_box, is_partial_month FROM clean"""
     ),
     "clean_tickets": on_clean("SELECT * FROM clean"),
-    "write_clean": on_clean("SELECT * FROM clean"),
+    # both exports hold every row
+    "write_clean": on_clean(
+        "SELECT *, 'parquet' AS export FROM clean UNION ALL SELECT *, 'csv' FROM clean"
+    ),
     "qa_row_counts": on_clean(
         """SELECT (SELECT count(*) FROM raw) AS raw_rows,
                   (SELECT count(*) FROM uniq) AS raw_distinct,
                   (SELECT count(*) FROM raw) - (SELECT count(*) FROM uniq) AS duplicates_removed,
+                  CAST(0 AS BIGINT) AS broken_rows,
                   (SELECT count(*) FROM clean) AS clean_rows,
                   24 AS clean_columns"""
     ),
@@ -77,12 +83,12 @@ CLEANING = {
                 ("open_backlog", "resolved_at IS NULL"),
                 ("negative_duration", "resolved_at < created_at"),
                 ("extreme_gt_30d", "date_diff('day', created_at, resolved_at) > 30"),
-                ("resolved_after_extract", "resolved_at >= DATE '2001-08-03'"),
+                ("resolved_after_extract", f"resolved_at >= {values.FUTURE_CUTOFF}"),
                 ("created_before_hire", "created_at < hire_date"),
                 ("missing_agent", "agent_id IS NULL"),
                 ("id_conflict_rows", "is_id_conflict"),
                 ("missing_satisfaction", "satisfaction_score IS NULL"),
-                ("partial_month", "date_trunc('month', created_at) = DATE '2001-08-01'"),
+                ("partial_month", f"date_trunc('month', created_at) = {values.PARTIAL_MONTH}"),
             )
         )
     ),

@@ -1,5 +1,6 @@
 """Headline metrics, segments, trends, sign-off checks, materiality and figure data."""
 
+from oracle import values
 from oracle.base import bins, n_if, on_clean, pct, quant
 
 FAST = n_if("v AND resolution_hours <= 24")
@@ -26,7 +27,7 @@ SEGMENTS = "segments AS (" + " UNION ALL ".join(
         ("channel", "channel"),
         ("brand", "brand"),
         ("priority", "priority"),
-        ("team", "ifnull(team, '(no agent/team)')"),
+        ("team", f"ifnull(team, '{values.NO_TEAM}')"),
     )
 ) + ")"
 
@@ -37,21 +38,9 @@ def _slice(dimension: str) -> str:
     )
 
 
-RESOLUTION_BINS = bins(
-    "resolution_hours",
-    [(2, "0: <2h"), (4, "1: 2-4h"), (8, "2: 4-8h"), (16, "3: 8-16h"), (24, "4: 16-24h"), (72, "5: 1-3d")],
-    "6: 3d+",
-)
-AGE_BINS = bins(
-    "open_age_days",
-    [(7, "0: <7 days"), (30, "1: 7-30 days"), (90, "2: 30-90 days"), (180, "3: 90-180 days")],
-    "4: over 180 days",
-)
-SPEED_BINS = bins(
-    "resolution_hours",
-    [(4, "0: <4h"), (12, "1: 4-12h"), (24, "2: 12-24h"), (168, "3: 1-7d")],
-    "4: 7d+",
-)
+RESOLUTION_BINS = bins("resolution_hours", *values.RESOLUTION_BINS)
+AGE_BINS = bins("open_age_days", *values.AGE_BINS)
+SPEED_BINS = bins("resolution_hours", *values.SPEED_BINS)
 
 KPIS = f"""kpis AS (
   SELECT count(*) AS total_tickets,
@@ -167,7 +156,8 @@ METRICS = {
                  FROM tix WHERE v AND has_satisfaction) GROUP BY priority"""
     ),
     "check_reconciliation": on_clean(
-        """SELECT r AS raw_rows, d AS raw_distinct, c AS clean_rows,
+        """SELECT r AS raw_rows, d AS raw_distinct, CAST(0 AS BIGINT) AS broken_rows,
+                  c AS clean_rows,
                   CASE WHEN c = d THEN 'PASS' ELSE 'FAIL' END AS reconciliation
            FROM (SELECT (SELECT count(*) FROM raw) AS r, (SELECT count(*) FROM uniq) AS d,
                         (SELECT count(*) FROM clean) AS c)"""
@@ -185,19 +175,16 @@ METRICS = {
         )
     ),
     "check_domains": on_clean(
-        """SELECT *, CASE WHEN bad_satisfaction + bad_priority + bad_channel + bad_category
+        f"""SELECT *, CASE WHEN bad_satisfaction + bad_priority + bad_channel + bad_category
                               + bad_brand = 0 THEN 'PASS' ELSE 'FAIL' END AS domain_checks
            FROM (SELECT
              (SELECT count(*) FROM tix WHERE satisfaction_score < 1 OR satisfaction_score > 10)
                AS bad_satisfaction,
-             (SELECT count(*) FROM tix WHERE priority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM',
-               '4-NOT SPECIFIED', '5-LOW')) AS bad_priority,
-             (SELECT count(*) FROM tix WHERE channel NOT IN ('email', 'phone', 'chat', 'social'))
+             (SELECT count(*) FROM tix WHERE priority NOT IN {values.listed(values.PRIORITIES)}) AS bad_priority,
+             (SELECT count(*) FROM tix WHERE channel NOT IN {values.listed(values.CHANNELS)})
                AS bad_channel,
-             (SELECT count(*) FROM tix WHERE category NOT IN ('Billing', 'Booking Change',
-               'Technical Issue', 'Cancellation', 'General Query')) AS bad_category,
-             (SELECT count(*) FROM tix WHERE brand NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE',
-               'HOUSEHOLD', 'MACHINERY')) AS bad_brand)"""
+             (SELECT count(*) FROM tix WHERE category NOT IN {values.listed(values.CATEGORIES)}) AS bad_category,
+             (SELECT count(*) FROM tix WHERE brand NOT IN {values.listed(values.BRANDS)}) AS bad_brand)"""
     ),
     "check_window_bounds": on_clean(
         f"""SELECT min(created_at) AS first_created, max(created_at) AS last_created,
@@ -214,8 +201,8 @@ METRICS = {
             FROM tix WHERE NOT is_partial_month GROUP BY 1"""
     ),
     "check_future_timestamps": on_clean(
-        """SELECT sum(CAST(is_future_resolution AS BIGINT))::BIGINT AS resolved_after_extract,
-                  max(resolved_at) AS latest_resolution, DATE '2001-08-02' AS extract_date,
+        f"""SELECT sum(CAST(is_future_resolution AS BIGINT))::BIGINT AS resolved_after_extract,
+                  max(resolved_at) AS latest_resolution, {values.EXTRACT_DATE} AS extract_date,
                   CASE WHEN bool_or(is_future_resolution) THEN 'FLAG (kept in metric)'
                        ELSE 'PASS' END AS status
            FROM tix"""
@@ -251,12 +238,12 @@ METRICS = {
                    (SELECT {quant('resolution_hours', 0.9, 2, 'v')} FROM tix) AS p90_correct,
                    (SELECT {n_if('h < 0')} FROM misread) AS negatives_manufactured,
                    (SELECT {n_if('is_negative_duration')} FROM tix) AS negatives_real""",
-        """misread AS (
+        f"""misread AS (
              SELECT slashed, mf, date_diff('minute', ifnull(iso, mf), shut) / 60.0::DOUBLE AS h
-             FROM (SELECT regexp_matches(created_at, '^../../....') AS slashed,
-                          try_strptime(created_at, '%m/%d/%Y %H:%M') AS mf,
-                          try_strptime(created_at, '%Y-%m-%d %H:%M:%S') AS iso,
-                          try_strptime(resolved_at, '%Y-%m-%d %H:%M:%S') AS shut FROM uniq))""",
+             FROM (SELECT created_at LIKE '__/__/____%' AS slashed,
+                          try_strptime(created_at, '{values.MONTH_FIRST_FORMAT}') AS mf,
+                          try_strptime(created_at, '{values.TIMESTAMP_FORMATS[0]}') AS iso,
+                          try_strptime(resolved_at, '{values.TIMESTAMP_FORMATS[0]}') AS shut FROM uniq))""",
     ),
     "mat_date_rows_dropped": on_clean(
         f"""SELECT count(*) AS volume_if_dropped, total - count(*) AS tickets_lost,
@@ -265,7 +252,7 @@ METRICS = {
                    {quant('resolution_hours', 0.9, 2, 'v')} AS p90_if_dropped
             FROM tix, (SELECT count(*) AS total FROM tix)
             WHERE ticket_id <> ALL (SELECT ticket_id FROM raw
-                                    WHERE regexp_matches(created_at, '^../../....'))
+                                    WHERE created_at LIKE '__/__/____%')
             GROUP BY total"""
     ),
     "mat_mean_vs_median": on_clean(
@@ -288,7 +275,7 @@ METRICS = {
                   (SELECT count(DISTINCT category) FROM clean) AS category_values_correct,
                   (SELECT count(DISTINCT channel) FROM raw) AS channel_values_if_unhandled,
                   (SELECT count(DISTINCT channel) FROM clean) AS channel_values_correct,
-                  (SELECT count(*) FROM raw WHERE category = 'Bill') AS bill_rows_orphaned"""
+                  (SELECT count(*) FROM raw WHERE trim(category) = 'Bill') AS bill_rows_orphaned"""
     ),
     "mat_survivorship": on_clean(
         f"""SELECT {pct(FAST, RESOLVED)} AS pct_24h_if_unhandled,
@@ -297,8 +284,9 @@ METRICS = {
                    {quant('open_age_days', 0.5, 0)} AS median_age_of_the_hidden FROM tix"""
     ),
     "mat_bill_billing": on_clean(
-        """SELECT (SELECT count(*) FROM uniq WHERE category = 'billing') AS billing_without_bill,
-                  (SELECT count(*) FROM uniq WHERE category = 'Bill') AS bill_rows,
+        """SELECT (SELECT count(*) FROM uniq WHERE lower(trim(category)) = 'billing')
+                    AS billing_without_bill,
+                  (SELECT count(*) FROM uniq WHERE trim(category) = 'Bill') AS bill_rows,
                   (SELECT count(*) FROM clean WHERE category = 'Billing') AS billing_after_merge,
                   (SELECT round(count(*)::DOUBLE / count(DISTINCT category), 0) FROM clean
                    WHERE category <> 'Billing') AS avg_of_other_4_categories"""
@@ -362,7 +350,7 @@ METRICS = {
                    (SELECT median_res_hours FROM kpis) AS overall_median_hrs,
                    {OPEN} AS open_tickets,
                    {quant('open_age_days', 0.5, 0)} AS median_age_days
-            FROM tix GROUP BY priority""",
+            FROM tix WHERE priority IN {values.listed(values.PRIORITIES)} GROUP BY priority""",
         KPIS,
     ),
 }

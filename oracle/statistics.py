@@ -1,5 +1,6 @@
 """Mixed rating scales and significance tests."""
 
+from oracle import values
 from oracle.base import chi2_tail, erfc, n_if, on_clean, pct
 
 # ten rows, absent scores as 0; h = height of the long scale, t = all scored
@@ -9,6 +10,7 @@ SCORES = """scores AS (
 model AS (
   SELECT sum(CASE WHEN s > 5 THEN n ELSE 0 END)::DOUBLE / 5 AS h, sum(n)::DOUBLE AS t FROM scores)"""
 
+# The variants, their descriptions and the verdict texts below are fixed values.
 SWING = """swing AS (
   SELECT variant, approach, round(value, 1) AS satisfaction_percentage FROM (
     SELECT avg(x) * 10 AS a, avg(x) * 20 AS b, avg(x - 1) * 100 / 9 AS c, avg(x - 1) * 25 AS d,
@@ -148,11 +150,12 @@ STATISTICS = {
                             / (pow(any_value(total), 3) - any_value(total))) AS h
               FROM (SELECT priority, count(*)::DOUBLE AS size, sum(rk) AS r,
                            (SELECT count(*) FROM ranked) AS total FROM ranked GROUP BY priority)))""",
-        """ranked AS (
+        f"""ranked AS (
              SELECT priority, resolution_hours,
                     rank() OVER (ORDER BY resolution_hours)
                       + (count(*) OVER (PARTITION BY resolution_hours) - 1) / 2.0::DOUBLE AS rk
-             FROM tix WHERE v)""",
+             FROM tix WHERE v AND resolution_hours IS NOT NULL
+               AND priority IN {values.listed(values.PRIORITIES)})""",
     ),
     "two_prop_z_cells": on_clean(
         f"""SELECT category, channel, cell_n, round(100 * r, 1) AS cell_percentage,
@@ -161,8 +164,8 @@ STATISTICS = {
                    round(0.05::DOUBLE / cells, 6) AS bonferroni_threshold,
                    p < 0.05::DOUBLE / cells AS survives_correction
             FROM (SELECT *, {erfc('abs(z) / sqrt(2)')} AS p FROM (
-              SELECT *, (r - q) / sqrt(m * (1 - m) * (1.0::DOUBLE / cell_n + 1.0::DOUBLE / all_n)) AS z
-              FROM (SELECT *, bad::DOUBLE / cell_n AS r, all_bad::DOUBLE / all_n AS q,
+              SELECT *, (r - q) / sqrt(m * (1 - m) * (1.0::DOUBLE / nullif(cell_n, 0) + 1.0::DOUBLE / all_n)) AS z
+              FROM (SELECT *, bad::DOUBLE / nullif(cell_n, 0) AS r, all_bad::DOUBLE / all_n AS q,
                            (bad + all_bad)::DOUBLE / (cell_n + all_n) AS m,
                            (SELECT count(*) FROM cells) AS cells
                     FROM cells, (SELECT {n_if('has_satisfaction')} AS all_n,

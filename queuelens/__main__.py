@@ -18,11 +18,11 @@ from datetime import date, timedelta
 
 from pyspark.sql import SparkSession
 
-from queuelens.plans.registry import GROUPS, cuts
+from queuelens.plans.registry import CUT_TITLES, GROUPS
 from queuelens.plans.workspace import Workspace
 from queuelens.profile import TicketProfile
 from queuelens.session import build_session
-from queuelens.sources.files import CLEAN_SCHEMA, write_clean, write_cuts
+from queuelens.sources.files import CLEAN_SCHEMA, read_text_csv, write_clean, write_cuts
 
 STEPS = (
     "report",
@@ -43,9 +43,15 @@ def analyse(
     ws = Workspace(spark, profile, out, tickets, agents)
     written = write_clean(ws.clean_plan(), f"{out}/clean")
     ws.use_written("clean", written["parquet"], CLEAN_SCHEMA)
-    write_cuts(cuts(ws), f"{out}/tables")
+    tables: dict[str, str] = {}
     for step in STEPS:
-        write_cuts({name: query(ws) for name, query in GROUPS[step].items()}, f"{out}/{step}")
+        tables |= write_cuts(
+            {name: query(ws) for name, query in GROUPS[step].items()}, f"{out}/{step}"
+        )
+    # the titled reports are some of these tables, so their files are read, not their queries run
+    saved = {title: read_text_csv(spark, tables[name]) for title, name in CUT_TITLES.items()}
+    write_cuts(saved, f"{out}/tables")
+    ws.close()
     return ws
 
 

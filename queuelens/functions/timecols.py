@@ -18,10 +18,12 @@ _MINUTES_PER_DAY = 1440
 def parse_first(col: Column, formats: Sequence[str]) -> Column:
     """The first format that parses wins; NULL when none does.
 
-    A format is tried only on text holding its separator, which spares most
-    rows all but the one parse that can succeed.
+    White space of any kind and length separates like one space and is trimmed.  A year
+    has one to four digits and no sign.  A format is tried only on text holding
+    its separator, which spares most rows all but the one parse that can succeed.
     """
-    text = F.trim(col)
+    text = F.trim(F.regexp_replace(col, r"\s+", " "))
+    text = F.when(~text.rlike(r"^[-+]|[-/ ][-+]|\d{5}"), text)
     return F.coalesce(
         *[
             F.when(F.contains(text, F.lit(_separator(fmt))), _parse_wall_clock(text, fmt))

@@ -16,8 +16,13 @@ from queuelens.functions.timecols import (
 from queuelens.profile import RAW_TICKET_COLUMNS, TicketProfile
 from queuelens.sources.files import CLEAN_SCHEMA
 
-# Rows of one id are spread over this many join keys when conflicts are attached.
-CONFLICT_JOIN_SALTS = 16
+# Rows of one join key that a task is meant to get at most.
+ROWS_PER_SLOT = 1_000_000
+
+
+def slots_for(heaviest: Column) -> Column:
+    """Join keys to spread the rows of the heaviest key over."""
+    return F.greatest(F.lit(1), F.ceil(heaviest / ROWS_PER_SLOT)).cast("int")
 
 
 def dedup_exact(raw: DataFrame) -> DataFrame:
@@ -75,22 +80,36 @@ def id_conflicts(distinct_rows: DataFrame, key: str = "ticket_id") -> DataFrame:
     return distinct_rows.groupBy(key).agg(F.count("*").alias("id_rows")).filter("id_rows > 1")
 
 
-def flag_id_conflicts(df: DataFrame, conflicts: DataFrame, key: str = "ticket_id") -> DataFrame:
+def _salt(df: DataFrame, key: str, slots: Column) -> Column:
+    """Slot of a row by its other columns; rows without key are spread over all values."""
+    others = [c for c in RAW_TICKET_COLUMNS if c != key and c in df.columns]
+    mixed = F.xxhash64(*others)
+    return F.when(F.col(key).isNull(), mixed).otherwise(F.pmod(mixed, slots))
+
+
+def _slots(count: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), (count - 1).cast("bigint")))
+
+
+def flag_id_conflicts(
+    df: DataFrame, conflicts: DataFrame, key: str = "ticket_id", slots: Column | None = None
+) -> DataFrame:
     """Mark rows whose id is in ``conflicts``; a NULL id stays NULL.
 
     Few ids conflict, so adaptive execution normally turns this into a
-    broadcast once it has measured that side.  When it cannot, the salt keeps
-    an id that owns a large share of the rows from landing in one task.  The
+    broadcast once it has measured that side.  When it cannot, the rows of an id
+    are spread over ``slots`` keys, by default as many as the rows of the heaviest
+    id ask for, so no id lands in one task.  The
     null-safe match keeps an ``IS NOT NULL`` filter from being pushed into the
     conflict side, where it would stop that side from reusing the shuffle of
     the exact de-duplication.
     """
-    salts = F.sequence(F.lit(0), F.lit(CONFLICT_JOIN_SALTS - 1))
+    if slots is None:
+        slots = slots_for(F.coalesce(conflicts.agg(F.max("id_rows")).scalar(), F.lit(1)))
     marked = conflicts.select(
-        F.col(key).alias("_key"), F.lit(True).alias("_conflict"), F.explode(salts).alias("_slot")
+        F.col(key).alias("_key"), F.lit(True).alias("_conflict"), _slots(slots).alias("_slot")
     )
-    others = [c for c in RAW_TICKET_COLUMNS if c != key]
-    salt = F.pmod(F.xxhash64(*others), F.lit(CONFLICT_JOIN_SALTS)).cast("int")
+    salt = _salt(df, key, slots)
     matched = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_slot"))
     flag = F.when(F.col(key).isNotNull(), F.coalesce("_conflict", F.lit(False)))
     return (
@@ -101,13 +120,27 @@ def flag_id_conflicts(df: DataFrame, conflicts: DataFrame, key: str = "ticket_id
     )
 
 
-def enrich_agents(df: DataFrame, agents: DataFrame) -> DataFrame:
+def heaviest_agent(df: DataFrame) -> DataFrame:
+    """Rows of the agent with most rows; one row, NULL without agents."""
+    known = df.filter(F.trim("agent_id") != "").groupBy(F.trim("agent_id").alias("agent"))
+    return known.agg(F.count("*").alias("rows")).agg(F.max("rows").alias("rows"))
+
+
+def enrich_agents(df: DataFrame, agents: DataFrame, slots: Column | None = None) -> DataFrame:
     """Team, hire date and location of the agent.
 
-    No broadcast hint: Spark broadcasts the dimension while its size allows and
-    shuffles it when it has outgrown that.
+    No broadcast hint: Spark broadcasts the dimension while its size allows.  When it
+    has outgrown that, rows without agent are dealt over all tasks, since they
+    match nothing, and those of one agent over ``slots`` keys.
     """
-    return df.join(agents.select("agent_id", "team", "hire_date", "location"), "agent_id", "left")
+    if slots is None:
+        slots = slots_for(F.coalesce(heaviest_agent(df).scalar(), F.lit(1)))
+    known = agents.select(
+        F.col("agent_id").alias("_agent"), "team", "hire_date", "location", _slots(slots).alias("_slot")
+    )
+    salted = df.withColumn("_salt", _salt(df, "agent_id", slots))
+    matched = (F.col("agent_id") == F.col("_agent")) & (F.col("_salt") == F.col("_slot"))
+    return salted.join(known, matched, "left").drop("_salt", "_agent", "_slot")
 
 
 def add_resolution_time(df: DataFrame, profile: TicketProfile) -> DataFrame:
@@ -162,15 +195,23 @@ def type_rows(distinct_rows: DataFrame, profile: TicketProfile) -> DataFrame:
 
 
 def clean_distinct_rows(
-    distinct_rows: DataFrame, conflicts: DataFrame, agents: DataFrame, profile: TicketProfile
+    distinct_rows: DataFrame,
+    conflicts: DataFrame,
+    agents: DataFrame,
+    profile: TicketProfile,
+    conflict_slots: Column | None = None,
+    agent_slots: Column | None = None,
 ) -> DataFrame:
     """C4 to C12 over rows already de-duplicated, given C8's conflicts.
 
     Conflicts are attached while rows are still narrow: that join may have to
     shuffle them, and everything derived afterwards needs no shuffle.
     """
-    out = flag_id_conflicts(type_rows(distinct_rows, profile), conflicts)
-    out = enrich_agents(out, agents)
+    typed = type_rows(distinct_rows, profile)
+    out = flag_id_conflicts(typed, conflicts, slots=conflict_slots)
+    if agent_slots is None:
+        agent_slots = slots_for(F.coalesce(heaviest_agent(distinct_rows).scalar(), F.lit(1)))
+    out = enrich_agents(out, agents, agent_slots)
     out = add_resolution_time(out, profile)
     out = add_open_age(out, profile)
     out = add_attribution_and_survey_flags(out, profile)

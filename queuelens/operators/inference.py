@@ -1,4 +1,4 @@
-"""Significance tests.
+"""Significance tests.
 
 The statistic comes out of distributed aggregates and is reduced to counts on
 the way, so nothing row-sized reaches a single task; the p-value is a Column.
@@ -8,24 +8,21 @@ The one window without a partition runs over days of duration.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from queuelens.functions.numeric import pct, ratio, round_to
+from queuelens.functions.numeric import ratio, round_to
 from queuelens.functions.tails import chi2_tail, normal_two_sided
 from queuelens.operators.clean import valid_resolution
 from queuelens.operators.metrics import above_short_scale
-from queuelens.operators.mixture import population_sizes, score_counts, with_scale_model
+from queuelens.operators.mixture import score_counts
 from queuelens.plans.shapes import group_by_each
 from queuelens.profile import TicketProfile
 
 LOW_SCORE_DIMENSIONS = ("category", "channel", "brand", "priority")
 SCALE_DIMENSIONS = ("brand", "channel", "team", "location")
-POWER_TILTS = (0.1, 0.2, 0.3)
-POWER_TRIALS = 600
-POWER_SEED = 7
 HOURS_PER_RANK_BUCKET = 24
 
 
@@ -62,16 +59,13 @@ def chi2_independence(
     if not null_segments:
         table = table.filter(F.col("segment").isNotNull())
 
-    def column_totals(name: str) -> Column:
-        counted = F.lit(True) if null_segments else F.col(name).isNotNull()
-        return F.struct(
-            F.count_if(hit & counted).alias("hits"), F.count_if(~hit & counted).alias("misses")
-        )
-
-    # counted apart from the table: labels may be free-form, so the table of one
-    # dimension need not fit a single task
-    entries = [part for name in dimensions for part in (F.lit(name), column_totals(name))]
-    totals = scored.agg(F.create_map(*entries)).scalar()
+    # one row per dimension, summed from the table itself: partial sums meet, not labels
+    per_dimension = table.groupBy("dimension").agg(
+        F.struct(F.sum("hits").alias("hits"), F.sum("misses").alias("misses")).alias("totals")
+    )
+    totals = per_dimension.agg(
+        F.map_from_entries(F.collect_list(F.struct("dimension", "totals")))
+    ).scalar()
     margins = table.withColumn("totals", F.element_at(totals, F.col("dimension")))
     size = F.col("hits") + F.col("misses")
     everything = F.col("totals.hits") + F.col("totals.misses")
@@ -171,14 +165,16 @@ def kruskal_wallis(df: DataFrame, value: str, group: str, bucket_width: float) -
     )
 
 
-def kruskal_resolution_by_priority(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
+def kruskal_resolution_by_priority(
+    tickets: DataFrame, profile: TicketProfile, hours_per_bucket: float = HOURS_PER_RANK_BUCKET
+) -> DataFrame:
     """Does resolution time differ between priorities?"""
     valid = tickets.filter(
         valid_resolution()
         & F.col("resolution_hours").isNotNull()
         & F.col("priority").isin(*profile.priorities_by_severity)
     )
-    test = kruskal_wallis(valid, "resolution_hours", "priority", HOURS_PER_RANK_BUCKET)
+    test = kruskal_wallis(valid, "resolution_hours", "priority", hours_per_bucket)
     return _with_p(
         test, profile, "NOT significant (priority does not change speed)", "SIGNIFICANT"
     ).withColumnRenamed("chi2", "h_statistic")
@@ -287,94 +283,3 @@ def gof_full_mixture(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
         "MODEL FITS",
         "model rejected",
     )
-
-
-def _tilted_probabilities(tilt: float, scores: int) -> list[float]:
-    """Straight-line weights from ``1 - tilt`` to ``1 + tilt``, summing to one."""
-    weights = [1 - tilt + 2 * tilt * i / (scores - 1) for i in range(scores)]
-    return [w / sum(weights) for w in weights]
-
-
-def simulate_mixture_trials(
-    sizes: DataFrame,
-    profile: TicketProfile,
-    tilts: Sequence[float] = POWER_TILTS,
-    trials: int = POWER_TRIALS,
-    seed: int = POWER_SEED,
-) -> DataFrame:
-    """Simulated score counts per (tilt, trial) for groups of ``n_short`` and ``n_long``.
-
-    A trial draws whole multinomial counts, so its cost does not depend on how
-    many tickets it stands for.  Each trial seeds its own generator, so results
-    do not depend on partitioning or retries.
-    """
-    short, long = profile.short_scale_max, profile.long_scale_max
-    plans = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("tilt_no"),
-                F.lit(float(tilt)).alias("tilt"),
-                F.array(*[F.lit(p) for p in _tilted_probabilities(tilt, short)]).alias("weights"),
-            )
-            for i, tilt in enumerate(tilts)
-        ]
-    )
-    grid = sizes.select(
-        F.greatest(F.floor("n_short"), F.lit(0)).alias("n_short"),
-        F.floor("n_long").alias("n_long"),
-        F.inline(plans),
-    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-
-    def draw(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        even = np.full(long, 1.0 / long)
-        for batch in batches:
-            drawn = []
-            for trial in batch.to_pylist():
-                rng = np.random.default_rng([seed, trial["tilt_no"], trial["trial"]])
-                counts = rng.multinomial(trial["n_long"], even)
-                counts[:short] += rng.multinomial(trial["n_short"], trial["weights"])
-                drawn.append(counts)
-            observed = pa.array(drawn, type=pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("tilt"), batch.column("trial"), observed],
-                names=["tilt", "trial", "observed"],
-            )
-
-    trials_frame = grid.repartition("tilt", "trial").mapInArrow(
-        draw, "tilt double, trial int, observed array<bigint>"
-    )
-    return with_scale_model(trials_frame, profile)
-
-
-def power_simulation(
-    tickets: DataFrame,
-    profile: TicketProfile,
-    tilts: Sequence[float] = POWER_TILTS,
-    trials: int = POWER_TRIALS,
-    seed: int = POWER_SEED,
-) -> DataFrame:
-    """I8: how often I7 would notice a short-scale group tilted towards high scores."""
-    simulated = simulate_mixture_trials(
-        population_sizes(tickets, profile), profile, tilts, trials, seed
-    ).withColumn("chi2", _mixture_chi2(profile))
-    detected = chi2_tail("chi2", str(_mixture_dof(profile))) < profile.significance
-    tilted_mean = F.lit(None).cast("double")
-    for tilt in tilts:
-        weights = _tilted_probabilities(tilt, profile.short_scale_max)
-        mean = sum(w * s for s, w in enumerate(weights, start=1))
-        tilted_mean = F.when(F.col("tilt") == float(tilt), F.lit(mean)).otherwise(tilted_mean)
-    found = F.count_if("detected")
-    return (
-        simulated.select("tilt", detected.alias("detected"))
-        .groupBy("tilt")
-        .agg(
-            F.count("*").alias("trials"),
-            found.alias("detections"),
-            pct(found, F.count("*"), 0).alias("detected_percentage"),
-        )
-        .withColumn("true_short_scale_mean", round_to(tilted_mean, 2))
-        .orderBy("tilt")
-    )

@@ -14,7 +14,7 @@ from queuelens.functions.text import folded
 from queuelens.functions.timecols import days_between, minutes_between, parse_first
 from queuelens.operators.clean import valid_resolution
 from queuelens.operators.metrics import pick, ticket_counts, ticket_values
-from queuelens.operators.quality import distinct_labels
+from queuelens.operators.quality import label_counts
 from queuelens.plans.shapes import grouped_histogram, side_by_side, total, weighted_quantile
 from queuelens.profile import TicketProfile
 
@@ -193,11 +193,13 @@ def mat_missing_as_bad(tickets: DataFrame) -> DataFrame:
 def mat_not_normalised(copies: DataFrame, tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     """M6: label values when free-form spellings are kept."""
     fragment = F.trim(F.col("category")) == profile.merged_category_fragment
-    row = side_by_side(
-        distinct_labels(copies, "values_if_unhandled"),
-        distinct_labels(tickets, "values_correct"),
-        copies.filter(fragment).agg(total("copies").alias("bill_rows_orphaned")),
+    before = copies.agg(
+        *label_counts("values_if_unhandled"),
+        F.coalesce(F.sum(F.when(fragment, F.col("copies"))), F.lit(0).cast("bigint")).alias(
+            "bill_rows_orphaned"
+        ),
     )
+    row = side_by_side(before, tickets.agg(*label_counts("values_correct")))
     return row.select(
         "category_values_if_unhandled",
         "category_values_correct",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from queuelens.functions.numeric import round_to
@@ -16,34 +16,41 @@ from queuelens.plans.shapes import (
     weighted_quantile,
 )
 from queuelens.profile import TicketProfile
+from queuelens.sources.files import BROKEN_COLUMN
 
 
 def raw_row_counts(copies: DataFrame) -> DataFrame:
-    """Rows and distinct rows of the export, from its counted copies."""
-    return copies.agg(total("copies").alias("raw_rows"), F.count("*").alias("raw_distinct"))
+    """Rows, distinct rows and broken lines of the export, from its counted copies."""
+    broken = F.sum(F.when(F.col(BROKEN_COLUMN).isNotNull(), F.col("copies")))
+    return copies.agg(
+        total("copies").alias("raw_rows"),
+        F.count("*").alias("raw_distinct"),
+        F.coalesce(broken, F.lit(0).cast("bigint")).alias("broken_rows"),
+    )
 
 
 def qa_row_counts(copies: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Q1: rows before and after, duplicates removed, width of the clean table."""
+    """Q1: rows before and after, duplicates removed, broken lines, width of the clean table."""
     row = side_by_side(raw_row_counts(copies), tickets.agg(F.count("*").alias("clean_rows")))
     return row.select(
         "raw_rows",
         "raw_distinct",
         (F.col("raw_rows") - F.col("raw_distinct")).alias("duplicates_removed"),
+        "broken_rows",
         "clean_rows",
         F.lit(len(tickets.columns)).alias("clean_columns"),
     )
 
 
-def distinct_labels(df: DataFrame, suffix: str) -> DataFrame:
-    return df.agg(
-        *[F.countDistinct(name).alias(f"{name}_{suffix}") for name in ("channel", "category")]
-    )
+def label_counts(suffix: str) -> list[Column]:
+    return [F.countDistinct(name).alias(f"{name}_{suffix}") for name in ("channel", "category")]
 
 
 def qa_distinct_before_after(distinct_rows: DataFrame, tickets: DataFrame) -> DataFrame:
     """Q2: distinct channel and category values before and after."""
-    return side_by_side(distinct_labels(distinct_rows, "before"), distinct_labels(tickets, "after"))
+    return side_by_side(
+        distinct_rows.agg(*label_counts("before")), tickets.agg(*label_counts("after"))
+    )
 
 
 def qa_value_counts(tickets: DataFrame, column: str) -> DataFrame:

@@ -28,10 +28,11 @@ def _resolved() -> Column:
 
 
 def check_reconciliation(copies: DataFrame, tickets: DataFrame) -> DataFrame:
-    """V1: the clean table has exactly the distinct raw rows."""
+    """V1: the clean table has exactly the distinct raw rows, and none of them was broken."""
     row = side_by_side(raw_row_counts(copies), tickets.agg(F.count("*").alias("clean_rows")))
     return row.withColumn(
-        "reconciliation", _verdict(F.col("clean_rows") == F.col("raw_distinct"))
+        "reconciliation",
+        _verdict((F.col("clean_rows") == F.col("raw_distinct")) & (F.col("broken_rows") == 0)),
     )
 
 

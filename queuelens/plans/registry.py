@@ -17,7 +17,14 @@ from queuelens.operators import quality as q
 from queuelens.operators import segments as s
 from queuelens.operators import validation as v
 from queuelens.plans.workspace import Workspace
-from queuelens.sources.files import read_clean_tickets, write_clean, write_cuts
+from queuelens.sources.files import (
+    cells,
+    read_clean_csv,
+    read_clean_tickets,
+    slug,
+    write_clean,
+    write_cuts,
+)
 
 Query = Callable[[Workspace], DataFrame]
 
@@ -90,32 +97,36 @@ def _attribution_and_survey_flags(ws: Workspace) -> DataFrame:
 
 
 def _write_clean(ws: Workspace) -> DataFrame:
+    """Both exports, side by side, as read back: the Parquet rows and the CSV cells as text."""
     written = write_clean(ws.clean_plan(), f"{ws.folder}/export")
-    return read_clean_tickets(ws.spark, written["parquet"])
+    table = read_clean_tickets(ws.spark, written["parquet"])
+    text = read_clean_csv(ws.spark, written["csv"])
+    return table.withColumn("export", F.lit("parquet")).union(
+        text.withColumn("export", F.lit("csv"))
+    )
 
 
 def _segment_slice(dimension: str) -> Query:
     def run(ws: Workspace) -> DataFrame:
-        return s.segment_slice(s.segment_metrics(ws.tickets, ws.profile, [dimension]), dimension)
+        return s.segment_slice(ws.segments, dimension)
 
     return run
 
 
 def _by_priority(ws: Workspace) -> DataFrame:
-    return s.by_priority(s.segment_metrics(ws.tickets, ws.profile, ["priority"]), ws.profile)
+    return s.by_priority(ws.segments, ws.profile)
 
 
 def _by_team(ws: Workspace) -> DataFrame:
-    return s.by_team(s.segment_metrics(ws.tickets, ws.profile, ["team"]))
+    return s.by_team(ws.segments)
 
 
 def _uniformity_spread(ws: Workspace) -> DataFrame:
-    return s.uniformity_spread(
-        s.segment_metrics(ws.tickets, ws.profile, s.UNIFORMITY_DIMENSIONS)
-    )
+    chosen = F.col("dimension").isin(*s.UNIFORMITY_DIMENSIONS)
+    return s.uniformity_spread(ws.segments.filter(chosen))
 
 
-# Titles of the saved reports, and the query behind each.
+# Titles of the saved reports, and the query behind each.
 CUT_TITLES = {
     "By category": "by_category",
     "By channel": "by_channel",
@@ -146,29 +157,13 @@ CUT_TITLES = {
 
 def cuts(ws: Workspace) -> dict[str, DataFrame]:
     """Every titled report as a plan; the segment reports read one shared table."""
-    shared = {
-        "by_category": s.segment_slice(ws.segments, "category"),
-        "by_channel": s.segment_slice(ws.segments, "channel"),
-        "by_brand": s.segment_slice(ws.segments, "brand"),
-        "by_priority": s.by_priority(ws.segments, ws.profile),
-        "by_team": s.by_team(ws.segments),
-    }
-    return {
-        title: shared[name] if name in shared else QUERIES[name](ws)
-        for title, name in CUT_TITLES.items()
-    }
+    return {title: QUERIES[name](ws) for title, name in CUT_TITLES.items()}
 
 
 def _write_cuts(ws: Workspace) -> DataFrame:
-    folder = f"{ws.folder}/tables"
-    write_cuts(cuts(ws), folder)
-    lines = ws.spark.read.option("recursiveFileLookup", True).text(folder)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.csv/[^/]+$", 1)
-    return (
-        lines.groupBy(name.alias("cut"))
-        .agg((F.count("*") - F.count_distinct("_metadata.file_path")).alias("data_rows"))
-        .orderBy("cut")
-    )
+    """Every filled cell of the saved reports, as read back from the files."""
+    written = write_cuts(cuts(ws), f"{ws.folder}/tables")
+    return cells(ws.spark, {slug(title): path for title, path in written.items()})
 
 
 # Queries by the step of an analysis they belong to.
@@ -271,7 +266,6 @@ GROUPS: dict[str, dict[str, Query]] = {
         "gof_upper_scores": lambda ws: i.gof_upper_scores(ws.tickets, ws.profile),
         "gof_lower_scores": lambda ws: i.gof_lower_scores(ws.tickets, ws.profile),
         "gof_full_mixture": lambda ws: i.gof_full_mixture(ws.tickets, ws.profile),
-        "power_simulation": lambda ws: i.power_simulation(ws.tickets, ws.profile),
     },
     "figures": {
         "mart_score_cliff": lambda ws: r.mart_score_cliff(ws.tickets, ws.profile),

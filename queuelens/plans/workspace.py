@@ -15,13 +15,20 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from queuelens.operators.clean import clean_distinct_rows, count_copies, id_conflicts
+from queuelens.operators.clean import (
+    clean_distinct_rows,
+    count_copies,
+    heaviest_agent,
+    id_conflicts,
+    slots_for,
+)
 from queuelens.operators.segments import segment_metrics
 from queuelens.profile import TicketProfile, star_schema_profile
-from queuelens.session import shared_dir
-from queuelens.sources.files import read_agents, read_raw_tickets, write_text_csv
+from queuelens.session import remove_path, shared_dir
+from queuelens.sources.files import files_state, read_agents, read_raw_tickets, write_text_csv
 from queuelens.sources.star_schema import agent_feed, ticket_feed
 
 
@@ -63,6 +70,12 @@ class Workspace:
             path, schema = self._written[name]
         return self.spark.read.schema(schema).parquet(path)
 
+    def close(self) -> None:
+        """Remove the written stages; results read from them are no longer usable."""
+        with self._lock:
+            self._written.clear()
+            remove_path(self.spark, f"{self.folder}/stages")
+
     def use_written(self, name: str, path: str, schema: StructType) -> None:
         """Take an already written table for stage ``name``."""
         self._written[name] = (path, schema)
@@ -83,8 +96,20 @@ class Workspace:
         return self.stage("conflicts", lambda: id_conflicts(self.distinct_rows))
 
     def clean_plan(self) -> DataFrame:
-        """The cleaning step over the written stages, not yet run."""
-        return clean_distinct_rows(self.distinct_rows, self.conflicts, self.agents, self.profile)
+        """The cleaning step over the written stages, not yet run.
+
+        Their counts say beforehand how far the rows of one id or agent must be spread.
+        """
+        rows = self.conflicts.agg(F.max("id_rows")).first()[0]
+        agent_rows = heaviest_agent(self.distinct_rows).first()[0]
+        return clean_distinct_rows(
+            self.distinct_rows,
+            self.conflicts,
+            self.agents,
+            self.profile,
+            slots_for(F.lit(rows or 1)),
+            slots_for(F.lit(agent_rows or 1)),
+        )
 
     @property
     def tickets(self) -> DataFrame:
@@ -97,7 +122,7 @@ class Workspace:
         return self.stage("segments", lambda: segment_metrics(self.tickets, self.profile))
 
 
-_open: dict[tuple[str, str], Workspace] = {}
+_open: dict[tuple[str, str], tuple[str, Workspace]] = {}
 _open_lock = threading.Lock()
 
 
@@ -105,16 +130,31 @@ def star_schema_workspace(spark: SparkSession, table_dir: str) -> Workspace:
     """Workspace over the feed derived from ``orders`` and ``customer`` in ``table_dir``.
 
     The export is written on first use and shared by later calls of the same
-    application.
+    application, as long as the files of these tables stay the same.
     """
     key = (spark.sparkContext.applicationId, table_dir)
+    paths = [f"{table_dir}/{name}.parquet" for name in ("orders", "customer")]
+    state = files_state(spark, *paths)
     with _open_lock:
-        if key not in _open:
-            tag = hashlib.sha256(table_dir.encode()).hexdigest()[:12]
+        if key not in _open or _open[key][0] != state:
+            if key in _open:
+                _remove(_open.pop(key)[1])
+            tag = hashlib.sha256(f"{table_dir}\n{state}".encode()).hexdigest()[:12]
             ws = Workspace(spark, star_schema_profile(), f"{shared_dir(spark)}/feed-{tag}")
-            orders = spark.read.parquet(f"{table_dir}/orders.parquet")
-            customer = spark.read.parquet(f"{table_dir}/customer.parquet")
+            orders, customer = (spark.read.parquet(path) for path in paths)
             write_text_csv(ticket_feed(orders, customer), ws.raw_path)
             write_text_csv(agent_feed(orders), ws.agents_path)
-            _open[key] = ws
-        return _open[key]
+            _open[key] = state, ws
+        return _open[key][1]
+
+
+def _remove(ws: Workspace) -> None:
+    ws.close()
+    remove_path(ws.spark, ws.folder)
+
+
+def close_workspaces(spark: SparkSession) -> None:
+    """Remove what the workspaces of this application have written."""
+    with _open_lock:
+        for key in [k for k in _open if k[0] == spark.sparkContext.applicationId]:
+            _remove(_open.pop(key)[1])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,30 +46,55 @@ CLEAN_SCHEMA = T.StructType(
 )
 
 
-def _text_csv(spark: SparkSession, path: str, columns: Sequence[str] | None) -> DataFrame:
-    """Header CSV with every column as text; blank fields are NULL, inner spaces are kept.
+# The text of a line whose number of cells is not that of the header.
+BROKEN_COLUMN = "broken_record"
 
-    Files stay splittable (no multi-line records).  Given ``columns``, the header
-    of each file is checked against them instead of being trusted by position;
-    without, names and order come from the header.
+
+def _text_csv(
+    spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = False
+) -> DataFrame:
+    """Header CSV with every column as text; blank cells are NULL, inner spaces are kept.
+
+    Names and order come from the header, which every file must share; ``columns``
+    must be among them and come first in the result, any others follow.  Quotes are
+    doubled inside quoted cells.  A line with too few or too many cells keeps what could
+    be read of it, and its text in ``broken_record``.
+
+    Files stay splittable, so a line break inside quotes ends the line, and both halves are
+    broken records.  ``multi_line`` reads such cells whole, one task per file.
     """
-    reader = spark.read.option("header", True)
-    if columns is not None:
-        schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
-        reader = reader.schema(schema).option("enforceSchema", False)
-    return reader.csv(path)
+    reader = (
+        spark.read.option("header", True)
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+        .option("enforceSchema", False)
+        .option("columnPruning", False)
+        .option("columnNameOfCorruptRecord", BROKEN_COLUMN)
+    )
+    header = reader.csv(path).columns
+    missing = [name for name in columns if name not in header]
+    if missing:
+        raise ValueError(f"{path}: the header has no {', '.join(missing)}")
+    fields = [T.StructField(name, T.StringType()) for name in [*header, BROKEN_COLUMN]]
+    rows = reader.schema(T.StructType(fields)).csv(path)
+    others = [name for name in header if name not in columns]
+    cells = [F.nullif(F.col(f"`{name}`"), F.lit("")).alias(name) for name in [*columns, *others]]
+    return rows.select(*cells, BROKEN_COLUMN)
 
 
 def read_raw_tickets(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = RAW_TICKET_COLUMNS
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str] = RAW_TICKET_COLUMNS,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """The raw ticket export, untyped."""
-    return _text_csv(spark, path, columns)
+    """The raw ticket export, untyped: ``columns``, any others, and ``broken_record``."""
+    return _text_csv(spark, path, columns, multi_line)
 
 
 def read_agents(spark: SparkSession, path: str, profile: TicketProfile) -> DataFrame:
     """The agent dimension with a parsed hire date."""
-    agents = _text_csv(spark, path, RAW_AGENT_COLUMNS)
+    agents = _text_csv(spark, path, RAW_AGENT_COLUMNS).select(*RAW_AGENT_COLUMNS)
     return agents.withColumn("hire_date", parse_date(F.col("hire_date"), profile.date_format))
 
 
@@ -76,11 +102,36 @@ def read_clean_tickets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CLEAN_SCHEMA).parquet(path)
 
 
+def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_text_csv`` wrote, every cell as text."""
+    return (
+        spark.read.option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
+
+
+def read_clean_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The clean table from its CSV export, in its types."""
+    return (
+        spark.read.schema(CLEAN_SCHEMA)
+        .option("header", True)
+        .option("escape", '"')
+        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+        .option("mode", "FAILFAST")
+        .csv(path)
+    )
+
+
 def write_text_csv(df: DataFrame, path: str) -> None:
-    """CSV that reads back cell for cell: the writer would otherwise strip outer spaces."""
+    """Standard CSV that reads back cell for cell: quotes are doubled, outer spaces stay."""
     (
         df.write.mode("overwrite")
         .option("header", True)
+        .option("escape", '"')
+        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
@@ -103,17 +154,57 @@ def slug(title: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", title.lower()).strip("_")
 
 
-def write_cuts(cuts: Mapping[str, DataFrame], path: str) -> dict[str, str]:
+def write_cuts(
+    cuts: Mapping[str, DataFrame], path: str, at_once: int = CONCURRENT_WRITES
+) -> dict[str, str]:
     """S3: each titled cut as one CSV folder named after its title.
 
-    Cuts are report-sized aggregates, so each is brought into one file; their
-    jobs are independent and submitted side by side.
+    A cut may have a row for every free-form label, so nothing is gathered: adaptive
+    execution leaves small ones in one file by itself.  ``at_once`` of the independent
+    jobs are submitted side by side.
     """
     targets = {title: f"{path}/{slug(title)}.csv" for title in cuts}
 
     def write(title: str) -> None:
-        write_text_csv(cuts[title].coalesce(1), targets[title])
+        write_text_csv(cuts[title], targets[title])
 
-    with ThreadPoolExecutor(CONCURRENT_WRITES) as pool:
+    with ThreadPoolExecutor(at_once) as pool:
         list(pool.map(write, cuts))
     return targets
+
+
+def cells(spark: SparkSession, targets: Mapping[str, str]) -> DataFrame:
+    """Written CSV folders as (cut, row, column, value, number), one row per filled cell.
+
+    ``row`` names the row by its cells that are no numbers, in the order of their columns'
+    names; a cell that is a number is in ``number`` and not in ``value``.
+    """
+    frames = []
+    for cut, path in targets.items():
+        table = read_text_csv(spark, path)
+        names = sorted(table.columns)
+        text = {c: F.when(F.col(f"`{c}`").try_cast("double").isNull(), F.col(f"`{c}`")) for c in names}
+        entries = F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("column"),
+                    text[c].alias("value"),
+                    F.col(f"`{c}`").try_cast("double").alias("number"),
+                )
+                for c in names
+            ]
+        )
+        row = F.concat_ws("|", *text.values())
+        frames.append(table.select(F.lit(cut).alias("cut"), row.alias("row"), F.inline(entries)))
+    filled = F.coalesce(F.col("value"), F.col("number").cast("string")).isNotNull()
+    return reduce(DataFrame.union, frames).where(filled)
+
+
+def files_state(spark: SparkSession, *paths: str) -> str:
+    """Names, sizes and times of the files at ``paths``: changes when a table is replaced."""
+    found = []
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+        found += [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files]
+    return "\n".join(sorted(found))

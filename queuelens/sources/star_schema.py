@@ -1,8 +1,10 @@
 """A raw ticket feed, with its usual defects, derived from order and customer tables.
 
 Every column is modular arithmetic on the order key, so any engine produces the
-same rows: mixed timestamp formats, free-form labels, blanks, impossible and
-stale durations, exact copies and ids with conflicting rows.
+same rows: mixed timestamp formats, odd spaces and texts that are no time, free-form
+and unknown labels with quotes and commas, blanks, decimal and junk scores, agents nobody
+knows, missing ids, impossible and stale durations, exact copies and ids with conflicting
+rows.
 """
 
 from __future__ import annotations
@@ -23,6 +25,13 @@ CATEGORY_SPELLINGS = (
     "General Query",
 )
 TEAMS = ("Tier 1", "Tier 2", "Specialist")
+UNKNOWN_CHANNEL = ' Carrier "pigeon", e-mailed'
+UNKNOWN_CATEGORY = 'Refund request, "urgent" '
+ILLEGAL_PRIORITY = "Critical"
+UNKNOWN_AGENT = "A999"
+BLANK_AGENT = "  "
+DECIMAL_SCORE, JUNK_SCORE = "7.5", "n/a"
+NO_DATE = "not a date"
 LOCATIONS = ("Bucharest", "Lisbon", "Manila", "Remote")
 AGENT_COUNT = 59
 CONFLICT_CATEGORY = "General Query"
@@ -63,30 +72,44 @@ def ticket_feed(orders: DataFrame, customer: DataFrame) -> DataFrame:
             F.substring(iso, 1, 4),
             F.substring(iso, 11, 6),
         )
-        return F.when(k % 5 == 0, day_first).otherwise(iso)
+        text = F.when(k % 5 == 0, day_first).otherwise(iso)
+        spaced = F.concat(F.replace(text, F.lit(" "), F.lit("  ")), F.lit("\t"))
+        return F.when(k % 331 == 11, spaced).otherwise(text)
 
-    category = _pick(CATEGORY_SPELLINGS, F.col("o_custkey") % 6)
+    category = F.when(k % 211 == 5, F.lit(UNKNOWN_CATEGORY)).otherwise(
+        _pick(CATEGORY_SPELLINGS, F.col("o_custkey") % 6)
+    )
+    # an unknown category stays unknown in the conflicting copy, which is then an exact copy
+    conflict = F.when(k % 211 == 5, F.lit(UNKNOWN_CATEGORY)).otherwise(F.lit(CONFLICT_CATEGORY))
     score = F.when(k * 7901 % 7 < 2, k * 7883 % 10 + 1).otherwise(k * 7883 % 5 + 1)
     # one row per written copy: the ticket, its exact copy, its conflicting copy
     copies = F.array_compact(
         F.array(
             category,
             F.when(k % 85 == 0, category),
-            F.when(k % 970 == 1, F.lit(CONFLICT_CATEGORY)),
+            F.when(k % 970 == 1, conflict),
         )
     )
     return timed.select("*", F.explode(copies).alias("category")).select(
-        k.cast("string").alias("ticket_id"),
+        F.when(k % 505 != 12, k.cast("string")).alias("ticket_id"),
         F.col("c_mktsegment").alias("brand"),
-        _pick(CHANNEL_SPELLINGS, k % 6).alias("channel"),
+        F.when(k % 223 == 6, F.lit(UNKNOWN_CHANNEL))
+        .otherwise(_pick(CHANNEL_SPELLINGS, k % 6))
+        .alias("channel"),
         "category",
-        F.col("o_orderpriority").alias("priority"),
-        written("created").alias("created_at"),
+        F.when(k % 509 == 13, F.lit(ILLEGAL_PRIORITY))
+        .otherwise(F.col("o_orderpriority"))
+        .alias("priority"),
+        F.when(k % 401 == 10, F.lit(NO_DATE)).otherwise(written("created")).alias("created_at"),
         written("resolved").alias("resolved_at"),
-        F.when(k % 125 != 3, F.concat(F.lit("A"), (k * 31 % AGENT_COUNT).cast("string"))).alias(
-            "agent_id"
-        ),
-        F.when(k * 7907 % 11 >= 3, score.cast("string")).alias("satisfaction_score"),
+        F.when(k % 250 == 3, F.lit(BLANK_AGENT))
+        .when(k % 301 == 7, F.lit(UNKNOWN_AGENT))
+        .when(k % 125 != 3, F.concat(F.lit("A"), (k * 31 % AGENT_COUNT).cast("string")))
+        .alias("agent_id"),
+        F.when(k % 307 == 8, F.lit(DECIMAL_SCORE))
+        .when(k % 311 == 9, F.lit(JUNK_SCORE))
+        .when(k * 7907 % 11 >= 3, score.cast("string"))
+        .alias("satisfaction_score"),
     ).select(*RAW_TICKET_COLUMNS)
 
 

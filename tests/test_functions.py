@@ -66,6 +66,12 @@ def test_parse_first(spark, zone):
         ("03/04/2025 09:05",),
         ("3/4/2025 9:05",),
         (" 2025-1-1 1:00:00 ",),
+        ("2025-01-01  10:00:00",),
+        ("2025-01-01 10:00:00\t",),
+        ("\t1/2/25   7:08 ",),
+        ("12025-01-01 10:00:00",),
+        ("-2025-01-01 10:00:00",),
+        ("1/2/12025 7:08",),
         ("31/02/2025 09:05",),
         ("",),
         ("2025-01-01 10:00:00.5",),
@@ -83,7 +89,10 @@ def test_parse_first(spark, zone):
         ts(2025, 4, 3, 9, 5),
         ts(2025, 4, 3, 9, 5),
         ts(2025, 1, 1, 1, 0),
-        *[None] * 6,
+        ts(2025, 1, 1, 10),
+        ts(2025, 1, 1, 10),
+        ts(25, 2, 1, 7, 8),
+        *[None] * 9,
     ]
 
 

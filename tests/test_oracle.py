@@ -16,7 +16,7 @@ def con():
 
 def test_every_oracle_belongs_to_a_query():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
-    assert set(QUERIES) - set(ORACLE_SQL) == {"power_simulation"}
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

@@ -29,8 +29,7 @@ def test_no_cross_joins_and_no_forced_broadcast(ws, no_broadcast, name):
     plan = executed_plan(QUERIES[name](ws))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BroadcastHashJoin"):
         assert bad not in plan
-    if name != "power_simulation":
-        assert "Python" not in plan and "MapIn" not in plan
+    assert "Python" not in plan and "MapIn" not in plan
 
 
 @pytest.mark.parametrize("name", LAZY)
@@ -87,6 +86,52 @@ def test_salted_conflict_join_spreads_a_hot_id(spark, no_broadcast):
     assert {r["is_id_conflict"]: r["count"] for r in rows} == {True: 400, False: 800}
 
 
+def test_agent_join_spreads_hot_and_missing_agents(spark, no_broadcast, monkeypatch):
+    """Half of the rows without agent, a third under one: no partition gets much more than its share."""
+    from helpers import agents, raw_tickets
+    from pyspark.sql import functions as F
+
+    from queuelens.operators import clean as c
+
+    monkeypatch.setattr(c, "ROWS_PER_SLOT", 10)
+    rows = [{"ticket_id": f"n{i}", "agent_id": None} for i in range(1200)]
+    rows += [{"ticket_id": f"h{i}", "agent_id": "HOT"} for i in range(800)]
+    rows += [{"ticket_id": f"t{i}", "agent_id": f"A{i}"} for i in range(400)]
+    staff = [(f"A{i}", "Tier 1", "2024-06-01", "Lisbon") for i in range(300)]
+    staff.append(("HOT", "Tier 2", "2024-06-01", "Manila"))
+    out = c.enrich_agents(raw_tickets(spark, *rows), agents(spark, *staff))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sum(sizes) == 2400 and max(sizes) < 0.25 * 2400
+    teams = {r["team"]: r["count"] for r in out.groupBy("team").count().collect()}
+    assert teams == {None: 1300, "Tier 2": 800, "Tier 1": 300}
+
+
+def test_chi2_scans_tickets_once(ws):
+    """The plan that ran, subqueries included: what shows a scan again is the same stage."""
+    for name in ("chi2_low_score_by_dim", "chi2_scale_by_dim"):
+        df = QUERIES[name](ws)
+        df.collect()
+        final = executed_plan(df).split("== Initial Plan ==")[0]
+        stages = re.findall(r"Exchange hashpartitioning\(_by_0.*plan_id=(\d+)\]", final)
+        assert final.count("FileScan parquet") == len(stages) and len(set(stages)) == 1
+
+
+def test_labels_before_and_after_scan_each_table_once(ws):
+    plan = executed_plan(QUERIES["mat_not_normalised"](ws))
+    assert plan.count("FileScan parquet") == 2
+
+
+def test_slices_read_the_segment_table(ws):
+    for name in ("by_category", "by_channel", "by_brand", "by_priority", "by_team", "uniformity_spread"):
+        (file,) = {f.rsplit("/", 1)[0] for f in QUERIES[name](ws).inputFiles()}
+        assert file.endswith("stages/segments.parquet")
+
+
 def test_reports_share_the_segment_table(ws):
     from queuelens.plans.registry import cuts
 

@@ -6,10 +6,8 @@ import random
 
 import pytest
 from helpers import clean_rows, scored
-from pyspark.ml.linalg import DenseMatrix  # noqa: F401  (keeps the import cost out of the test)
 from pyspark.mllib.linalg import Matrices, Vectors
 from pyspark.mllib.stat import Statistics
-from pyspark.sql import functions as F
 
 from queuelens.operators import inference as i
 from queuelens.operators import mixture as x
@@ -125,52 +123,3 @@ def test_cell_against_total(spark):
     assert worst["z"] == pytest.approx(z, abs=1e-4)
     assert worst["p_value"] == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=1e-4)
     assert worst["bonferroni_threshold"] == 0.025 and worst["survives_correction"] is True
-
-
-def sizes(spark, n_short, n_long):
-    return spark.createDataFrame([(float(n_short), float(n_long))], "n_short double, n_long double")
-
-
-def test_simulated_trials_have_the_right_counts(spark):
-    trials = i.simulate_mixture_trials(sizes(spark, 1000, 500), PROFILE, trials=200).collect()
-    assert len(trials) == 600
-    assert {sum(t["observed"]) for t in trials} == {1500}
-    for tilt in i.POWER_TILTS:
-        mine = [t["observed"] for t in trials if t["tilt"] == tilt]
-        for score, p in enumerate(i._tilted_probabilities(tilt, 5)):
-            mean = sum(t[score] for t in mine) / len(mine)
-            assert mean == pytest.approx(1000 * p + 50, abs=4 * math.sqrt(1000 * p / len(mine)))
-
-
-def test_power_grows_with_tilt_and_size(spark):
-    def power(n):
-        trials = i.simulate_mixture_trials(sizes(spark, n, n / 2), PROFILE, (0.0, 0.2), 400)
-        p = i.chi2_tail("chi2", str(i._mixture_dof(PROFILE)))
-        found = (
-            trials.withColumn("chi2", i._mixture_chi2(PROFILE))
-            .groupBy("tilt")
-            .agg(F.avg((p < 0.05).cast("double")).alias("share"))
-        )
-        return {r["tilt"]: r["share"] for r in found.collect()}
-
-    small, large = power(400), power(4000)
-    # without an effect the test fires about as often as its level says
-    assert 0.02 < small[0.0] < 0.09 and 0.02 < large[0.0] < 0.09
-    assert small[0.0] < small[0.2] < large[0.2] and large[0.2] > 0.95
-
-
-def test_simulation_matches_draw_by_draw(spark):
-    """Counts drawn at once have the spread of counts drawn ticket by ticket."""
-    n, trials = 300, 400
-    drawn = i.simulate_mixture_trials(sizes(spark, n, 0), PROFILE, (0.3,), trials).collect()
-    rng = random.Random(11)
-    weights = i._tilted_probabilities(0.3, 5)
-    single = [rng.choices(range(5), weights, k=n).count(4) for _ in range(trials)]
-    at_once = [t["observed"][4] for t in drawn]
-
-    def moments(v):
-        mean = sum(v) / len(v)
-        return mean, sum((a - mean) ** 2 for a in v) / len(v)
-
-    (m1, v1), (m2, v2) = moments(at_once), moments(single)
-    assert m1 == pytest.approx(m2, abs=2.5) and v1 / v2 == pytest.approx(1.0, abs=0.35)
