@@ -15,7 +15,13 @@ from queuelens.functions.timecols import days_between, minutes_between, parse_fi
 from queuelens.operators.clean import valid_resolution
 from queuelens.operators.metrics import pick, ticket_counts, ticket_values
 from queuelens.operators.quality import label_counts
-from queuelens.plans.shapes import grouped_histogram, side_by_side, total, weighted_quantile
+from queuelens.plans.shapes import (
+    grouped_histogram,
+    side_by_side,
+    tickets_in,
+    total,
+    weighted_quantile,
+)
 from queuelens.profile import TicketProfile
 
 
@@ -175,11 +181,11 @@ def mat_missing_as_bad(tickets: DataFrame) -> DataFrame:
     """M5: unsurveyed resolved tickets counted as low scores."""
     unsurveyed = F.col("is_resolved") & ~F.col("has_satisfaction")
     row = tickets.agg(
-        F.count_if("is_bottom_box").alias("low"),
-        F.count_if("has_satisfaction").alias("scored"),
-        F.count_if(F.col("is_bottom_box") | unsurveyed).alias("low_or_unsurveyed"),
-        F.count_if("is_resolved").alias("resolved"),
-        F.count_if(unsurveyed).alias("unsurveyed_resolved"),
+        tickets_in(tickets, "is_bottom_box").alias("low"),
+        tickets_in(tickets, "has_satisfaction").alias("scored"),
+        tickets_in(tickets, F.col("is_bottom_box") | unsurveyed).alias("low_or_unsurveyed"),
+        tickets_in(tickets, "is_resolved").alias("resolved"),
+        tickets_in(tickets, unsurveyed).alias("unsurveyed_resolved"),
     )
     return row.select(
         pct(F.col("low"), F.col("scored")).alias("low_score_correct"),

@@ -8,10 +8,36 @@ from pyspark.sql import functions as F
 from queuelens.functions.numeric import bucketize, pct, round_to, severity_rank
 from queuelens.functions.timecols import month_start
 from queuelens.operators.clean import valid_resolution
-from queuelens.plans.shapes import grouped_histogram, total, unpivot_row, weighted_quantile
+from queuelens.plans.shapes import (
+    TICKETS,
+    grouped_histogram,
+    tickets_in,
+    total,
+    unpivot_row,
+    weighted_quantile,
+)
 from queuelens.profile import TicketProfile
 
 
+# What reports on the whole period or on priorities read of a ticket.
+PERIOD_COLUMNS = (
+    "priority",
+    "is_resolved",
+    "is_negative_duration",
+    "is_extreme_duration",
+    "resolution_hours",
+    "open_age_days",
+    "has_satisfaction",
+    "is_bottom_box",
+)
+
+
+def period_counts(tickets: DataFrame) -> DataFrame:
+    """Tickets by all of ``PERIOD_COLUMNS``: durations are minutes and ages days, so the
+    calendar bounds the rows, and one scan serves many reports."""
+    return tickets.groupBy(*PERIOD_COLUMNS).agg(F.count("*").alias(TICKETS))
+
+
 def ticket_values() -> dict[str, Column]:
     """The two quantities quantiles are taken of; a row has at most one of them."""
     return {
@@ -112,7 +138,7 @@ def duration_bins(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     return (
         tickets.filter(valid_resolution())
         .groupBy(label.alias("resolution_bucket"))
-        .agg(F.count("*").alias("n"))
+        .agg(tickets_in(tickets).alias("n"))
     )
 
 
@@ -130,7 +156,7 @@ def backlog_bins(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     bins = (
         tickets.filter(~F.col("is_resolved"))
         .groupBy(label.alias("age_bucket"))
-        .agg(F.count("*").alias("open_tickets"))
+        .agg(tickets_in(tickets).alias("open_tickets"))
     )
     backlog = F.sum("open_tickets").over(Window.partitionBy())
     return bins.withColumn("pct_of_backlog", pct(F.col("open_tickets"), backlog))
@@ -145,9 +171,9 @@ def speed_by_denominator(tickets: DataFrame, profile: TicketProfile) -> DataFram
     """K6: one numerator over two denominators."""
     counts = ticket_counts(profile)
     row = tickets.agg(
-        F.count_if(counts["fast"]).alias("fast"),
-        F.count_if(counts["resolved"]).alias("resolved"),
-        F.count("*").alias("everything"),
+        tickets_in(tickets, counts["fast"]).alias("fast"),
+        tickets_in(tickets, counts["resolved"]).alias("resolved"),
+        tickets_in(tickets).alias("everything"),
     )
     populations = {"resolved tickets only": "resolved", "ALL tickets (honest)": "everything"}
     return unpivot_row(

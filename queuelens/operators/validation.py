@@ -9,7 +9,7 @@ from queuelens.functions.numeric import bucketize, pct, round_to
 from queuelens.functions.timecols import date_lit, month_start
 from queuelens.operators.clean import valid_resolution
 from queuelens.operators.quality import raw_row_counts
-from queuelens.plans.shapes import group_by_each, side_by_side
+from queuelens.plans.shapes import group_by_each, side_by_side, tickets_in
 from queuelens.profile import TicketProfile
 
 RESPONSE_DIMENSIONS = ("brand", "channel", "priority")
@@ -39,7 +39,7 @@ def check_reconciliation(copies: DataFrame, tickets: DataFrame) -> DataFrame:
 def check_no_negatives(tickets: DataFrame) -> DataFrame:
     """V2: no impossible duration reaches a speed metric."""
     row = tickets.filter(valid_resolution()).agg(
-        F.count_if(F.col("resolution_hours") < 0).alias("negatives_in_metric_input")
+        tickets_in(tickets, F.col("resolution_hours") < 0).alias("negatives_in_metric_input")
     )
     return row.withColumn(
         "check_no_negatives", _verdict(F.col("negatives_in_metric_input") == 0)
@@ -99,8 +99,10 @@ def response_rate_by_speed(tickets: DataFrame, profile: TicketProfile) -> DataFr
         tickets.filter(valid_resolution())
         .groupBy(label.alias("speed_bucket"))
         .agg(
-            F.count("*").alias("resolved"),
-            pct(F.count_if("has_satisfaction"), F.count("*")).alias("response_rate_percentage"),
+            tickets_in(tickets).alias("resolved"),
+            pct(tickets_in(tickets, "has_satisfaction"), tickets_in(tickets)).alias(
+                "response_rate_percentage"
+            ),
         )
         .orderBy("speed_bucket")
     )
@@ -161,6 +163,6 @@ def check_duration_gap(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     return tickets.filter(valid_resolution()).agg(
         round_to(F.max(F.when(~extreme, hours)), 1).alias("last_ordinary_value"),
         round_to(F.min(F.when(extreme, hours)), 1).alias("first_extreme_value"),
-        F.count_if(hours.between(*profile.gap_hours)).alias("tickets_in_the_gap"),
-        F.count_if(extreme).alias("extreme_tickets"),
+        tickets_in(tickets, hours.between(*profile.gap_hours)).alias("tickets_in_the_gap"),
+        tickets_in(tickets, extreme).alias("extreme_tickets"),
     )

@@ -193,16 +193,16 @@ GROUPS: dict[str, dict[str, Query]] = {
         "qa_value_counts_category": lambda ws: q.qa_value_counts(ws.tickets, "category"),
         "qa_flag_counts": lambda ws: q.qa_flag_counts(ws.tickets),
         "qa_unparsed_created": lambda ws: q.qa_unparsed_created(ws.tickets),
-        "qa_resolution_summary": lambda ws: q.qa_resolution_summary(ws.tickets),
-        "qa_open_age_summary": lambda ws: q.qa_open_age_summary(ws.tickets, ws.profile),
+        "qa_resolution_summary": lambda ws: q.qa_resolution_summary(ws.period_counts),
+        "qa_open_age_summary": lambda ws: q.qa_open_age_summary(ws.period_counts, ws.profile),
     },
     "metrics": {
-        "headline_kpis": lambda ws: k.headline_kpis(ws.tickets, ws.profile),
+        "headline_kpis": lambda ws: k.headline_kpis(ws.period_counts, ws.profile),
         "scale_evidence_monthly": lambda ws: k.scale_evidence_monthly(ws.tickets, ws.profile),
         "score_histogram": lambda ws: k.score_histogram(ws.tickets),
-        "resolution_distribution": lambda ws: k.resolution_distribution(ws.tickets, ws.profile),
-        "backlog_age_profile": lambda ws: k.backlog_age_profile(ws.tickets, ws.profile),
-        "speed_by_denominator": lambda ws: k.speed_by_denominator(ws.tickets, ws.profile),
+        "resolution_distribution": lambda ws: k.resolution_distribution(ws.period_counts, ws.profile),
+        "backlog_age_profile": lambda ws: k.backlog_age_profile(ws.period_counts, ws.profile),
+        "speed_by_denominator": lambda ws: k.speed_by_denominator(ws.period_counts, ws.profile),
     },
     "segments": {
         "segment_metrics": lambda ws: s.segment_metrics(ws.tickets, ws.profile),
@@ -215,22 +215,22 @@ GROUPS: dict[str, dict[str, Query]] = {
         "monthly_trend": lambda ws: s.monthly_trend(ws.tickets, ws.profile),
         "backlog_by_creation_month": lambda ws: s.backlog_by_creation_month(ws.tickets),
         "arrivals_by_weekday": lambda ws: s.arrivals_by_weekday(ws.tickets),
-        "backlog_age_by_priority": lambda ws: k.backlog_age_by_priority(ws.tickets, ws.profile),
-        "backlog_age_summary": lambda ws: k.backlog_age_summary(ws.tickets, ws.profile),
+        "backlog_age_by_priority": lambda ws: k.backlog_age_by_priority(ws.period_counts, ws.profile),
+        "backlog_age_summary": lambda ws: k.backlog_age_summary(ws.period_counts, ws.profile),
         "agent_low_score_spread": lambda ws: s.agent_low_score_spread(ws.tickets, ws.profile),
         "resolution_satisfaction_corr": lambda ws: s.resolution_satisfaction_corr(ws.tickets),
     },
     "checks": {
         "check_reconciliation": lambda ws: v.check_reconciliation(ws.copies, ws.tickets),
-        "check_no_negatives": lambda ws: v.check_no_negatives(ws.tickets),
+        "check_no_negatives": lambda ws: v.check_no_negatives(ws.period_counts),
         "response_rate_by_segment": lambda ws: v.response_rate_by_segment(ws.tickets),
         "check_domains": lambda ws: v.check_domains(ws.tickets, ws.profile),
         "check_window_bounds": lambda ws: v.check_window_bounds(ws.tickets),
-        "response_rate_by_speed": lambda ws: v.response_rate_by_speed(ws.tickets, ws.profile),
+        "response_rate_by_speed": lambda ws: v.response_rate_by_speed(ws.period_counts, ws.profile),
         "response_rate_by_month": lambda ws: v.response_rate_by_month(ws.tickets),
         "check_future_timestamps": lambda ws: v.check_future_timestamps(ws.tickets, ws.profile),
         "activity_on_both_clocks": lambda ws: v.activity_on_both_clocks(ws.tickets),
-        "check_duration_gap": lambda ws: v.check_duration_gap(ws.tickets, ws.profile),
+        "check_duration_gap": lambda ws: v.check_duration_gap(ws.period_counts, ws.profile),
     },
     "materiality": {
         "mat_duplicates": lambda ws: m.mat_duplicates(ws.copies, ws.tickets),
@@ -240,10 +240,10 @@ GROUPS: dict[str, dict[str, Query]] = {
         "mat_date_rows_dropped": lambda ws: m.mat_date_rows_dropped(
             ws.distinct_rows, ws.tickets, ws.profile
         ),
-        "mat_mean_vs_median": lambda ws: m.mat_mean_vs_median(ws.tickets),
-        "mat_missing_as_bad": lambda ws: m.mat_missing_as_bad(ws.tickets),
+        "mat_mean_vs_median": lambda ws: m.mat_mean_vs_median(ws.period_counts),
+        "mat_missing_as_bad": lambda ws: m.mat_missing_as_bad(ws.period_counts),
         "mat_not_normalised": lambda ws: m.mat_not_normalised(ws.copies, ws.tickets, ws.profile),
-        "mat_survivorship": lambda ws: m.mat_survivorship(ws.tickets, ws.profile),
+        "mat_survivorship": lambda ws: m.mat_survivorship(ws.period_counts, ws.profile),
         "mat_bill_billing": lambda ws: m.mat_bill_billing(ws.distinct_rows, ws.tickets, ws.profile),
         "mat_pre_hire": lambda ws: m.mat_pre_hire(ws.tickets, ws.agents),
     },
@@ -269,12 +269,12 @@ GROUPS: dict[str, dict[str, Query]] = {
     },
     "figures": {
         "mart_score_cliff": lambda ws: r.mart_score_cliff(ws.tickets, ws.profile),
-        "mart_bins": lambda ws: r.mart_bins(ws.tickets, ws.profile),
+        "mart_bins": lambda ws: r.mart_bins(ws.period_counts, ws.profile),
         "mart_trend_labels": lambda ws: r.mart_trend_labels(ws.tickets, ws.profile),
         "mart_swing_ranked": lambda ws: r.mart_swing_ranked(ws.tickets, ws.profile),
         "mart_scale_cutover": lambda ws: r.mart_scale_cutover(ws.tickets, ws.profile),
-        "mart_dashboard_tiles": lambda ws: r.mart_dashboard_tiles(ws.tickets, ws.profile),
-        "mart_priority_panel": lambda ws: r.mart_priority_panel(ws.tickets, ws.profile),
+        "mart_dashboard_tiles": lambda ws: r.mart_dashboard_tiles(ws.period_counts, ws.profile),
+        "mart_priority_panel": lambda ws: r.mart_priority_panel(ws.period_counts, ws.profile),
     },
     "saved reports": {
         "write_cuts": _write_cuts,

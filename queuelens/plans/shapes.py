@@ -31,18 +31,21 @@ def grouped_histogram(
     gets its input as (value, frequency) pairs.  Durations are whole minutes
     and ages whole days, which bounds that input by the calendar, not the rows.
 
+    ``df`` holds tickets, or counts of them with the number in ``tickets``.
     ``counts`` maps a name to a condition; ``finals`` are aggregates over the
     level-one columns, where ``total(name)`` adds a count up and ``n`` is the
     row count.  Given ``dimensions``, the keys are (dimension, segment) pairs as
     :func:`group_by_each` makes them.
     """
-    aggregates = [F.count("*").alias("n"), *[F.sum(name).alias(name) for name in counts]]
+    weight = _weight(df)
+    aggregates = [F.sum("n").alias("n"), *[F.sum(name).alias(name) for name in counts]]
+    flags = [weight.alias("n"), *_flags(counts, weight)]
     if dimensions is None:
-        staged = df.select(*keys, *[v.alias(k) for k, v in values.items()], *_flags(counts))
+        staged = df.select(*keys, *[v.alias(k) for k, v in values.items()], *flags)
         level_one = staged.groupBy(*keys, *values).agg(*aggregates)
     else:
         keys = ["dimension", "segment"]
-        level_one = group_by_each(df, dimensions, aggregates, values, _flags(counts))
+        level_one = group_by_each(df, dimensions, aggregates, values, flags)
     return level_one.groupBy(*keys).agg(*finals)
 
 
@@ -84,9 +87,26 @@ def group_by_each(
     )
 
 
-def _flags(counts: Mapping[str, Column]) -> list[Column]:
-    one = F.lit(1).cast("bigint")
-    return [F.when(c, one).otherwise(0).alias(name) for name, c in counts.items()]
+# Column of a table of counts: how many tickets a row stands for.
+TICKETS = "tickets"
+
+
+def _weight(df: DataFrame) -> Column:
+    return F.col(TICKETS) if TICKETS in df.columns else F.lit(1).cast("bigint")
+
+
+def _flags(counts: Mapping[str, Column], weight: Column) -> list[Column]:
+    return [F.when(c, weight).otherwise(0).alias(name) for name, c in counts.items()]
+
+
+def tickets_in(df: DataFrame, condition: Column | str | None = None) -> Column:
+    """Number of tickets, of those that meet ``condition``, in ticket rows or counts of them."""
+    if isinstance(condition, str):
+        condition = F.col(condition)
+    if TICKETS not in df.columns:
+        return F.count("*") if condition is None else F.count_if(condition)
+    counted = F.col(TICKETS) if condition is None else F.when(condition, F.col(TICKETS))
+    return F.coalesce(F.sum(counted), F.lit(0).cast("bigint"))
 
 
 def total(name: str) -> Column:

@@ -25,6 +25,7 @@ from queuelens.operators.clean import (
     id_conflicts,
     slots_for,
 )
+from queuelens.operators.metrics import period_counts
 from queuelens.operators.segments import segment_metrics
 from queuelens.profile import TicketProfile, star_schema_profile
 from queuelens.session import remove_path, shared_dir
@@ -116,6 +117,11 @@ class Workspace:
         """The clean table."""
         return self.stage("clean", self.clean_plan)
 
+    @property
+    def period_counts(self) -> DataFrame:
+        """Tickets counted by what reports on the whole period or on priorities read."""
+        return self.stage("period_counts", lambda: period_counts(self.tickets))
+
     @property
     def segments(self) -> DataFrame:
         """Metrics of every (dimension, segment): a few dozen rows that many reports share."""

@@ -132,6 +132,19 @@ def test_slices_read_the_segment_table(ws):
         assert file.endswith("stages/segments.parquet")
 
 
+def test_reports_share_the_counted_period(ws):
+    """Of all queries on clean tickets, a good third read counts of them instead."""
+    sources = {}
+    for name in LAZY:
+        files = QUERIES[name](ws).inputFiles()
+        sources[name] = {f.split("/stages/")[1].split("/")[0] for f in files if "/stages/" in f}
+    counted = [name for name, used in sources.items() if "period_counts.parquet" in used]
+    assert len(counted) == 17
+    assert all(sources[name] == {"period_counts.parquet"} for name in counted)
+    # the others need more columns of the clean table, or its rows
+    assert sum("clean.parquet" in used for used in sources.values()) <= 43
+
+
 def test_reports_share_the_segment_table(ws):
     from queuelens.plans.registry import cuts
 
