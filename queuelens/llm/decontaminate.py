@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.stages import text_or_empty
+from queuelens.llm.stages import small_batches, text_or_empty
 from queuelens.llm.tokens import word_hashes
 
 K1, B = 1.2, 0.75
@@ -255,6 +255,7 @@ def find_leaks(
 ) -> DataFrame:
     """One row for each document and leaked item: doc_id, item_id, start (word offset of the
     passage), score (share of the item's own BM25 score), question_overlap, answer_overlap."""
+    small_batches(docs.sparkSession)
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")
     )
@@ -309,6 +310,7 @@ def without_leaks(
     item_col: str = "item_id",
 ) -> DataFrame:
     """Rows of ``docs`` in which no test item is found, as they were; nothing is shuffled."""
+    small_batches(docs.sparkSession)
     for index in _indexes(items, index_bytes, item_col):
         docs = docs.mapInArrow(_clean(index, text_col, least_score, least_overlap), docs.schema)
     return docs

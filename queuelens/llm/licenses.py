@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.stages import Stages, text_or_empty
+from queuelens.llm.stages import Stages, small_batches, text_or_empty
 
 LEAST_COSINE = 0.5
 
@@ -163,6 +163,7 @@ def scan_licenses(
 ) -> DataFrame:
     """Per file: file_id, path, own_license, cosine, line, license, declared_in (the directory
     it was inherited from) and basis: header, directory or none."""
+    small_batches(files.sparkSession)
     stages = Stages(files.sparkSession, "licenses")
     found = stages.write(
         files.select(

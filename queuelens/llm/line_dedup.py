@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from queuelens.llm.stages import Stages, free_name, text_or_empty
+from queuelens.llm.stages import RowBatches, Stages, free_name, small_batches, text_or_empty
 
 DEPTH = 3
 LEAST_DOCS = 3
@@ -72,43 +72,45 @@ def leaf(tokens: list[str], depth: int) -> int:
 
 def _lines(depth: int, least_tokens: int):
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = RowBatches(
+            {"row": pa.int64(), "line": pa.int32(), "leaf": pa.int64(), "form": pa.int64()}
+        )
         for batch in batches:
-            rows = []
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
                 for number, line in enumerate(text.as_py().split("\n")):
                     tokens = masked(line)
                     if len(tokens) >= least_tokens:
-                        rows.append((row, number, leaf(tokens, depth), _hash(tokens)))
-            columns = list(zip(*rows)) if rows else [()] * 4
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["row", "line", "leaf", "form"]
-            )
+                        yield from out.add((row, number, leaf(tokens, depth), _hash(tokens)))
+        yield from out.rest()
 
     return of_partition
 
 
 def _tokens(depth: int):
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = RowBatches(
+            {
+                "row": pa.int64(),
+                "line": pa.int32(),
+                "leaf": pa.int64(),
+                "length": pa.int32(),
+                "place": pa.int32(),
+                "token": pa.int64(),
+                "stands": pa.bool_(),
+            }
+        )
         for batch in batches:
-            rows = []
             texts, wanted = batch.column("text"), batch.column("lines").to_pylist()
             for row, text, lines in zip(batch.column("row").to_pylist(), texts, wanted):
                 split = text.as_py().split("\n")
                 for number, stands in ((x["line"], x["stands"]) for x in lines):
                     tokens = masked(split[number])
                     own = leaf(tokens, depth)
-                    rows += [
-                        (row, number, own, len(tokens), place, _hash([token], place), stands)
-                        for place, token in enumerate(tokens)
-                        if token != VARIABLE
-                    ]
-            columns = list(zip(*rows)) if rows else [()] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)],
-                names=["row", "line", "leaf", "length", "place", "token", "stands"],
-            )
+                    for place, token in enumerate(tokens):
+                        if token != VARIABLE:
+                            at = _hash([token], place)
+                            yield from out.add((row, number, own, len(tokens), place, at, stands))
+        yield from out.rest()
 
     return of_partition
 
@@ -139,6 +141,7 @@ def recurring_lines(
     text_col: str = "text",
 ) -> DataFrame:
     """(row, line) to drop; ``row`` is the key of id and text, ``line`` counts from 0."""
+    small_batches(docs.sparkSession)
     stages = Stages(docs.sparkSession, "line-dedup")
     base = _identified(docs, id_col, text_col)
     texts = base.select("row", "text")

@@ -47,7 +47,14 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from queuelens.llm.graph import components
-from queuelens.llm.stages import Stages, power_of_two, shuffle_width, text_or_empty, without_ids
+from queuelens.llm.stages import (
+    Stages,
+    power_of_two,
+    shuffle_width,
+    small_batches,
+    text_or_empty,
+    without_ids,
+)
 from queuelens.llm.tokens import mix, rolling_hash, word_hashes
 
 WORDS = 5
@@ -56,7 +63,7 @@ PERCENT = 75
 BAND = 3
 #: Parts of the domain for each member of the largest set in a band.
 PARTS_PER_MEMBER = 0.75
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
@@ -122,6 +129,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], words: int):
                 block, size = [], 0
     if block:
         yield block
+    pa.default_memory_pool().release_unused()
 
 
 def _digest(members: np.ndarray) -> bytes:
@@ -336,6 +344,7 @@ def jaccard_components(
     ``task_members`` is the number of set members compared in one task.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     stages = Stages(spark, "ngram-join")
     width = shuffle_width(spark)
     base = docs.where(F.col(id_col).isNotNull()).select(
@@ -375,7 +384,7 @@ def jaccard_components(
     )
 
     # copies hang on the smallest id with the same set
-    copies = (
+    copies = stages.write(
         sizes.where("size > 0")
         .groupBy("digest")
         .agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("n"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.stages import text_or_empty
+from queuelens.llm.stages import small_batches, text_or_empty
 from queuelens.llm.tokens import mix, word_hashes
 
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+")
@@ -165,6 +165,7 @@ def score(
     text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, score) of every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +192,7 @@ def accepted(
     text_col: str = "text",
 ) -> DataFrame:
     """Rows of ``docs`` with a score of ``least`` or more, as they were; nothing is shuffled."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

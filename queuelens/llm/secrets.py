@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.stages import text_or_empty
+from queuelens.llm.stages import small_batches, text_or_empty
 
 KINDS = ("assign", "access", "hex", "guess")
 LEAST_GUESSES = 10.0
@@ -191,6 +191,8 @@ def find_secrets(
     """Per document: numbers of base spans by kind, the SHA-256 of their list, all spans, the
     number of values that are hard to guess and the largest log10 of guesses among them."""
 
+    small_batches(docs.sparkSession)
+
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

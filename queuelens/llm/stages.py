@@ -6,8 +6,11 @@ again from files that all executors see.
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,47 @@ class Stages:
         remove_path(self.spark, df.stage_path)
 
 
+#: Texts that a task exchanges with its Python worker at a time.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to a size that holds for long texts too.
+
+    A batch stands in memory on both sides, and up to 10,000 texts are a lot.  A
+    setting that is smaller already stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.sub(r"\D", "", spark.conf.get(name)))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+class RowBatches:
+    """Rows gathered into Arrow batches of bounded size."""
+
+    def __init__(self, fields: dict[str, pa.DataType], rows: int = 20_000):
+        self.fields = fields
+        self.rows = rows
+        self.pending: list[tuple] = []
+
+    def add(self, row: tuple) -> Iterator[pa.RecordBatch]:
+        self.pending.append(row)
+        if len(self.pending) >= self.rows:
+            yield self._batch()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.pending:
+            yield self._batch()
+        pa.default_memory_pool().release_unused()
+
+    def _batch(self) -> pa.RecordBatch:
+        columns = zip(*self.pending)
+        arrays = [pa.array(c, t) for c, t in zip(columns, self.fields.values())]
+        self.pending = []
+        return pa.RecordBatch.from_arrays(arrays, names=list(self.fields))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from queuelens.llm.stages import power_of_two, shuffle_width, text_or_empty
+from queuelens.llm.stages import power_of_two, shuffle_width, small_batches, text_or_empty
 from queuelens.llm.tokens import BASE_A, BASE_B, rolling_hash, split_words, word_hashes
 
 WINDOW = 20
@@ -213,6 +213,7 @@ def remove_repeats(
     is the text that a task holds at a time; one document is never split.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = shuffle_width(spark)
