@@ -50,8 +50,9 @@ def small_batches(spark: SparkSession) -> None:
     setting that is smaller already stays.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(re.sub(r"\D", "", spark.conf.get(name)))
-    if not 0 < now <= BATCH_BYTES:
+    number, unit = re.match(r"(\d+)([kmgtp]?)", spark.conf.get(name).lower()).groups()
+    now = int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit]
+    if now > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 

@@ -7,8 +7,9 @@ into maximal intervals, and the words inside go.
 
 Plan
 ----
-1. Documents are dealt into parts of consecutive ids (bounds are percentiles of
-   the id column), so "earlier part" means "earlier document".
+1. Documents are dealt into parts of consecutive ids (bounds are percentiles of the id
+   column, and beyond 4,096 parts even pieces between them), so "earlier part" means
+   "earlier document".
 2. Each part sends its distinct window hashes, in one sorted binary run per
    bucket of the hash domain.  Copies within a part meet there, so a window that
    stands in a third of all documents adds one entry per part.
@@ -42,6 +43,9 @@ from queuelens.llm.tokens import BASE_A, BASE_B, rolling_hash, split_words, word
 
 WINDOW = 20
 
+#: Ranges of ids of about equally many documents; more parts than these cut them evenly.
+RANGES = 4096
+
 RUN_SCHEMA = "bucket int, part int, run binary"
 ANSWER_SCHEMA = "bucket int, part int, bits binary"
 RESULT_SCHEMA = T.StructType(
@@ -183,14 +187,26 @@ def _cut(window: int, bucket_bits: int):
     return of_part
 
 
-def _number_parts(bounds: list[int]):
-    edges = np.array(bounds, np.int64)
+def part_numbers(ids: np.ndarray, bounds: list[int], low: int, high: int, split: int) -> np.ndarray:
+    """Parts in the order of ids: ranges up to each of ``bounds``, each cut into ``split``
+    equally wide pieces."""
+    ends = np.array([*bounds, high], np.int64)
+    starts = np.array([low, *(b + 1 for b in bounds)], np.int64)
+    place = np.searchsorted(ends[:-1], ids, "left")
+    width = np.maximum(1.0, (ends - starts).astype(float) + 1)
+    piece = np.floor((ids - starts[place]).astype(float) / width[place] * split)
+    return place * split + np.clip(piece, 0, split - 1).astype(np.int64)
+
 
+def _number_parts(bounds: list[int], low: int, high: int, split: int):
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            part = np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False), "left")
-            part = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(edges), part)
+            known = ids.fill_null(high).to_numpy(zero_copy_only=False)
+            part = part_numbers(known, bounds, low, high, split)
+            # rows without id come last
+            last = (len(bounds) + 1) * split - 1
+            part = np.where(ids.is_null().to_numpy(zero_copy_only=False), last, part)
             yield pa.RecordBatch.from_arrays(
                 [ids, batch.column("text"), pa.array(part.astype(np.int32))],
                 names=["doc_id", "text", "part"],
@@ -219,12 +235,16 @@ def remove_repeats(
     width = shuffle_width(spark)
     n_parts = max(width, -(-total // part_bytes))
     # every part sends a run to every bucket, so buckets hold more than parts
-    bucket_bits = power_of_two(max(width, total // (4 * part_bytes))).bit_length() - 1
-    quantiles = [i / n_parts for i in range(1, n_parts)]
-    # a few bytes a part: 100 TB in parts of 64 MB have 12 MB of bounds
-    bounds = base.agg(F.percentile_approx("doc_id", quantiles, 10 * n_parts)).first()[0] or []
+    bucket_bits = power_of_two(max(2, width, total // (4 * part_bytes))).bit_length() - 1
+    ranges = min(n_parts, RANGES)
+    quantiles = [i / ranges for i in range(1, ranges)] or [1.0]
+    bounds, low, high = base.agg(
+        F.percentile_approx("doc_id", quantiles, 10 * ranges), F.min("doc_id"), F.max("doc_id")
+    ).first()
+    inner = sorted(b for b in set(bounds or ()) if b < high)
     parted = base.mapInArrow(
-        _number_parts(sorted(set(bounds))), "doc_id long, text string, part int"
+        _number_parts(inner, low or 0, high or 0, -(-n_parts // ranges)),
+        "doc_id long, text string, part int",
     )
     runs = parted.groupBy("part").applyInArrow(_runs(window, bucket_bits), RUN_SCHEMA)
     answers = runs.groupBy("bucket").applyInArrow(_earlier_elsewhere, ANSWER_SCHEMA)

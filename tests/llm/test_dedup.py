@@ -75,13 +75,24 @@ def test_substrings(spark, edge_docs, tables):
         assert sorted(map(tuple, got), key=str) == brute.substrings(pairs(docs))
 
 
-def test_substrings_in_small_parts(spark):
+def test_substrings_in_small_parts(spark, monkeypatch):
     docs = mutated_docs(spark)
+    monkeypatch.setattr(substring_dedup, "RANGES", 5)
     small = substring_dedup.remove_repeats(docs, window=7, part_bytes=500)
     got = substring_dedup.digest_rows(small).collect()
     assert sorted(map(tuple, got), key=str) == brute.substrings(pairs(docs), 7)
 
 
+@given(
+    st.lists(st.integers(-(2**62), 2**62), min_size=1, max_size=40), st.integers(1, 5), st.data()
+)
+def test_parts_follow_the_order_of_ids(ids, split, data):
+    ids = np.sort(np.array(ids))
+    inner = sorted(set(data.draw(st.lists(st.sampled_from(ids.tolist()), max_size=4))) - {ids[-1]})
+    parts = substring_dedup.part_numbers(ids, inner, int(ids[0]), int(ids[-1]), split)
+    assert (np.diff(parts) >= 0).all() and 0 <= parts[0] and parts[-1] < (len(inner) + 1) * split
+
+
 @given(st.lists(st.booleans(), max_size=60), st.integers(1, 8))
 def test_merged_windows_cover_what_the_windows_cover(starts, window):
     covered = {i + j for i, s in enumerate(starts) if s for j in range(window)}
