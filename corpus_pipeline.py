@@ -58,6 +58,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents`` table; each result is written and read again."""
     stages = Stages(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = stages.write(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            stages.remove(before)
+        before = docs
     return docs

@@ -102,6 +102,8 @@ def exact_groups(
         below = level.select("run", *IDENTITY, to.alias("team"))
         above = answers.withColumnRenamed("run", "team")
         answers = stages.write(below.join(above, ["team", *IDENTITY]).drop("team"), "answers")
+    for level in levels[: -1 if len(levels) > 1 else 0]:
+        stages.remove(level)
     return rows.join(answers, ["run", *IDENTITY], "left").select(
         "doc_id",
         F.when(F.col("stays").isNull(), F.col("doc_id"))

@@ -218,13 +218,17 @@ def recurring_lines(
         "matched",
     )
     template = ["kind", "leaf", "template"]
-    first = (
+    for table in (lines, forms, open_leaf, tokens):
+        stages.remove(table)
+    # written, so that the join deals both sides anew and can split a hot template
+    first = stages.write(
         matched.groupBy(*template, "rank", "row")
         .agg(F.lit(1).alias("x"))
         .groupBy(*template)
         .agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("rank", "row")).alias("first"))
         .where(F.col("docs") >= least_docs)
-        .select(*template, F.col("first.row").alias("first"))
+        .select(*template, F.col("first.row").alias("first")),
+        "first",
     )
     return matched.join(first, template).where("row <> first").select("row", "line").distinct()
 

@@ -378,7 +378,10 @@ def jaccard_components(
         .select("signature", "doc_id")
     )
     leading = stages.write(leading, "leading")
-    smallest = leading.groupBy("signature").agg(F.min("doc_id").alias("b"))
+    # written, so that the joins below deal both sides anew and can split a hot key
+    smallest = stages.write(
+        leading.groupBy("signature").agg(F.min("doc_id").alias("b")), "smallest"
+    )
     candidates = leading.join(smallest, "signature").where("doc_id <> b").select(
         F.col("doc_id").alias("a"), "b"
     )
@@ -389,7 +392,8 @@ def jaccard_components(
         .groupBy("digest")
         .agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .drop("n")
+        .drop("n"),
+        "repeated-sets",
     )
     copy_links = stages.write(
         sizes.where("size > 0").join(copies, "digest").where("doc_id <> b").select(
@@ -406,6 +410,8 @@ def jaccard_components(
         .withColumnRenamed("component", "cluster"),
         "standing",
     )
+    for table in (leading, smallest, copies):
+        stages.remove(table)
     loads = standing.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("docs"), F.sum("size").alias("members")
     )
