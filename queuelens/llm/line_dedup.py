@@ -179,11 +179,9 @@ def recurring_lines(
         .groupBy("row")
         .agg(F.collect_list(F.struct("line", "stands")).alias("lines"))
     )
-    one_text = texts.join(wanted, "row").groupBy("row").agg(
-        F.first("text").alias("text"), F.first("lines").alias("lines")
-    )
+    # hashing the line numbers spares sorting the texts
     tokens = stages.write(
-        one_text.mapInArrow(
+        texts.join(wanted.hint("shuffle_hash"), "row").mapInArrow(
             _tokens(depth),
             "row long, line int, leaf long, length int, place int, token long, stands boolean",
         ),
@@ -202,12 +200,10 @@ def recurring_lines(
         tokens.where(~F.col("stands"))
         .join(supported, at, "left_semi")
         .groupBy("row", "line", "leaf", "length")
-        .agg(
-            F.count(F.lit(1)).alias("fixed"),
-            F.xxhash64(F.sort_array(F.collect_list(F.struct("place", "token")))).alias("template"),
-        )
-        .where(F.col("fixed") >= F.col("length") * F.lit(least_fixed))
-        .select("row", "line", "leaf", "template")
+        # a set: equal rows of the table give the same tokens
+        .agg(F.sort_array(F.collect_set(F.struct("place", "token"))).alias("fixed"))
+        .where(F.size("fixed") >= F.col("length") * F.lit(least_fixed))
+        .select("row", "line", "leaf", F.xxhash64("fixed").alias("template"))
     )
     exact = lines.join(
         forms.where(F.col("docs") >= least_docs).select("leaf", "form"), ["leaf", "form"]
@@ -243,7 +239,7 @@ def drop_lines(
     per_row = dropped.groupBy(F.col("row").alias(row)).agg(F.collect_list("line").alias(gone))
     text = text_or_empty(text_col)
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), text))
-    joined = keyed.join(per_row, F.col(key) == F.col(row), "left")
+    joined = keyed.join(per_row.hint("shuffle_hash"), F.col(key) == F.col(row), "left")
     split = F.split(text, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
     cut = F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n")
