@@ -369,3 +369,44 @@ def test_notices_are_found_in_documents(spark):
         ):
             if words in texts[r["doc_id"]]:
                 assert r["own_license"] == name
+
+
+@pytest.mark.parametrize(
+    "text, names, line",
+    [
+        (
+            "code\n# This program is free software; you can redistribute it and/or modify\n# it under the terms of "
+            "the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of "
+            "the License, or\n# (at your option) any later version.",
+            ["GPL-2.0"],
+            1,
+        ),
+        (
+            " * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free "
+            "Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.",
+            ["LGPL-2.1"],
+            0,
+        ),
+        (
+            "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and "
+            "associated documentation files (the Software), to deal\nin the Software without restriction",
+            ["MIT"],
+            0,
+        ),
+        (f"{'words ' * 15} Licensed under the Apache License, Version 2.0 {'more ' * 15}", ["Apache-2.0"], 0),
+        ("x\nMIT License\ny\nLicensed under the Apache License, Version 2.0.", ["MIT", "Apache-2.0"], 1),
+        ("Copyright X. All rights reserved.\nReleased under the\nMIT License.", ["MIT", "Proprietary"], 1),
+        ("all the rights of a license, and the general public", [], None),
+    ],
+)
+def test_notices_across_lines_and_inside_them(text, names, line):
+    found = licenses.Templates().notices(text, licenses.LEAST_COSINE)
+    assert [n for _, n, _ in found] == names
+    assert (licenses._line_of(text, found[0][2]) if found else None) == line
+
+
+def test_all_licenses_of_a_file_are_returned(spark):
+    rows = [(1, "a", "MIT License\nx\nLicensed under the Apache License, Version 2.0."), (2, "b", None)]
+    files = spark.createDataFrame(rows, "file_id long, path string, text string")
+    got = {r["file_id"]: r["own_licenses"] for r in licenses.scan_licenses(files).collect()}
+    assert got == {1: ["MIT", "Apache-2.0"], 2: []}
