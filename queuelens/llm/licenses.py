@@ -122,6 +122,30 @@ def _gnu() -> Iterator[tuple[str, str]]:
             yield name, f"*{tag}v* *{version}*"
 
 
+def _creative_commons() -> Iterator[tuple[str, str]]:
+    """Notices of the six Creative Commons licenses in their five versions."""
+    words = {
+        "BY": "*Attribution*", "SA": "*ShareAlike*", "NC": "*NonCommercial*", "ND": "*NoDerivatives*"
+    }
+    for parts in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        short = "-".join(f"*{p}*" for p in parts.split("-"))
+        spoken = [words[p] for p in parts.split("-")]
+        for version in ("4.0", "3.0", "2.5", "2.0", "1.0"):
+            name = f"CC-{parts}-{version}"
+            yield name, f"Licensed under *CC* {short} *{version}*."
+            yield name, f"*CC* {short} *{version}*"
+            yield name, f"*creativecommons*.org/licenses/{short.lower()}/*{version}*"
+            kind = {"4.0": "International", "3.0": "Unported"}.get(version, "Generic")
+            spelled = "-".join(spoken)
+            variants = {spelled: 0, spelled.replace("NonC", "Non-C").replace("ShareA", "Share-A"): 0}
+            for joined in [*variants, *(v.replace("Derivatives", "Derivs") for v in variants if "ND" in parts)]:
+                joined = joined.replace("*Non-", "*Non*-*").replace("*Share-", "*Share*-*")
+                yield name, (
+                    f"This work is licensed under a Creative *Commons* {joined} *{version}* {kind} License."
+                )
+                yield name, f"Creative *Commons* {joined} *{version}*"
+
+
 #: Comes after every other license: it also stands in the headers of free ones.
 LAST = "Proprietary"
 _WORD = re.compile(r"([^\W\d_]+|\d+(?:\.[1-9]\d*)?)(?:\.0+\b)*|\d+")
@@ -145,7 +169,7 @@ class Templates:
     """TF-IDF vectors of the forms of notices, found by the words that they need."""
 
     def __init__(self, templates=TEMPLATES, short_forms=SHORT_FORMS):
-        forms = [*templates.items(), *_gnu()]
+        forms = [*templates.items(), *_gnu(), *_creative_commons()]
         forms += [(name, text) for name, more in short_forms.items() for text in more]
         # of the same words, the first form stands
         forms = list({tuple(_words(text)): (name, text) for name, text in reversed(forms)}.values())[::-1]

@@ -410,3 +410,46 @@ def test_all_licenses_of_a_file_are_returned(spark):
     files = spark.createDataFrame(rows, "file_id long, path string, text string")
     got = {r["file_id"]: r["own_licenses"] for r in licenses.scan_licenses(files).collect()}
     assert got == {1: ["MIT", "Apache-2.0"], 2: []}
+
+
+#: every notice line of the given tables
+LINES = {
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "All rights reserved.": "Proprietary",
+    "Released under the MIT License.": "MIT",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+}
+
+
+def test_every_notice_line_of_the_tables_is_found(spark):
+    notices = re.compile(r"licen[cs]e|rights reserved|copyright|public domain|spdx", re.I)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in registry.QUERIES["op2_license_scans"](spark, SF).collect()}
+    for doc_id, text in texts.items():
+        lines = [x for x in (text or "").split("\n") if notices.search(x)]
+        assert set(got[doc_id]["own_licenses"]) == {LINES[x] for x in lines}
+
+
+@pytest.mark.parametrize("parts", ["BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"])
+@pytest.mark.parametrize("version", ["4.0", "3.0", "2.5", "2.0", "1.0"])
+def test_creative_commons(parts, version):
+    words = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+    spoken = "-".join(words[p] for p in parts.split("-"))
+    for text in (
+        f"Licensed under CC {parts} {version}.",
+        f"SPDX-License-Identifier: CC-{parts}-{version}",
+        f"This work is licensed under a Creative Commons {spoken} {version} International License.",
+        f"https://creativecommons.org/licenses/{parts.lower()}/{version}/",
+    ):
+        found = licenses.Templates().notices(text, licenses.LEAST_COSINE)
+        assert [n for _, n, _ in found] == [f"CC-{parts}-{version}"]
+
+
+@pytest.mark.parametrize(
+    "name", [*licenses.TEMPLATES, "GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "EUPL-1.2", "CC0-1.0"]
+)
+def test_spdx_identifiers(name):
+    if name != "Proprietary":
+        found = licenses.Templates().notices(f"// SPDX-License-Identifier: {name}", licenses.LEAST_COSINE)
+        assert [n for _, n, _ in found] == [name]
