@@ -453,3 +453,15 @@ def test_spdx_identifiers(name):
     if name != "Proprietary":
         found = licenses.Templates().notices(f"// SPDX-License-Identifier: {name}", licenses.LEAST_COSINE)
         assert [n for _, n, _ in found] == [name]
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "ü 漢字 <|endoftext|>\n<|endoftext|>x", "a <|endoftext b"])
+def test_added_tokens_have_the_ids_of_a_fresh_tokenizer(spark, text):
+    from tokenizers import Tokenizer
+
+    vocabulary = packing.default_vocabulary()
+    ids = Tokenizer.from_file(vocabulary).encode(text, add_special_tokens=False).ids
+    assert packing.token_ids(text, vocabulary).tolist() == ids
+    (piece,) = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    crc = zlib.crc32(np.array([*ids, packing.END], "<u4").tobytes())
+    assert (piece["doc_tokens"], piece["ids_crc32"]) == (len(ids) + 1, crc)
