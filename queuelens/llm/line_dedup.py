@@ -2,7 +2,8 @@
 
 A line is parsed as a log parser would: by its number of tokens, then by its leading
 ``depth`` tokens, to a leaf.  Tokens with a digit, an at sign or a scheme are variable fields
-from the start.  Within a leaf, a token that fewer than ``least_docs`` documents have at its
+from the start, unless less than ``least_fixed`` of the line would be left: such lines are
+compared as they are written.  Within a leaf, a token that fewer than ``least_docs`` documents have at its
 place is a variable field too.  What remains is the template of the line.  Templates of
 ``least_tokens`` tokens or more, at least ``least_fixed`` of them fixed, that stand in
 ``least_docs`` or more documents are recurring; their lines are dropped from all documents but
@@ -49,11 +50,14 @@ VARIABLE = "<*>"
 _EVIDENT = re.compile(r"\d|@|://")
 
 
-def masked(line: str) -> list[str]:
-    """Tokens of a line, the evident variable fields as ``<*>``."""
+def masked(line: str, least_fixed: float = LEAST_FIXED) -> list[str]:
+    """Tokens of a line, the evident variable fields as ``<*>``; all tokens as they are where
+    less than ``least_fixed`` of them would stay."""
     tokens = line.split()
     if _EVIDENT.search(line):
-        tokens = [VARIABLE if _EVIDENT.search(t) else t for t in tokens]
+        found = [VARIABLE if _EVIDENT.search(t) else t for t in tokens]
+        if len(found) - found.count(VARIABLE) >= least_fixed * len(found):
+            return found
     return tokens
 
 
@@ -70,7 +74,7 @@ def leaf(tokens: list[str], depth: int) -> int:
     return _hash(tokens[:depth], len(tokens))
 
 
-def _lines(depth: int, least_tokens: int):
+def _lines(depth: int, least_tokens: int, least_fixed: float):
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = RowBatches(
             {"row": pa.int64(), "line": pa.int32(), "leaf": pa.int64(), "form": pa.int64()}
@@ -78,7 +82,7 @@ def _lines(depth: int, least_tokens: int):
         for batch in batches:
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
                 for number, line in enumerate(text.as_py().split("\n")):
-                    tokens = masked(line)
+                    tokens = masked(line, least_fixed)
                     if len(tokens) >= least_tokens:
                         yield from out.add((row, number, leaf(tokens, depth), _hash(tokens)))
         yield from out.rest()
@@ -86,7 +90,7 @@ def _lines(depth: int, least_tokens: int):
     return of_partition
 
 
-def _tokens(depth: int):
+def _tokens(depth: int, least_fixed: float):
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = RowBatches(
             {
@@ -104,7 +108,7 @@ def _tokens(depth: int):
             for row, text, lines in zip(batch.column("row").to_pylist(), texts, wanted):
                 split = text.as_py().split("\n")
                 for number, stands in ((x["line"], x["stands"]) for x in lines):
-                    tokens = masked(split[number])
+                    tokens = masked(split[number], least_fixed)
                     own = leaf(tokens, depth)
                     for place, token in enumerate(tokens):
                         if token != VARIABLE:
@@ -147,7 +151,7 @@ def recurring_lines(
     texts = base.select("row", "text")
     lines = stages.write(
         texts.mapInArrow(
-            _lines(depth, least_tokens), "row long, line int, leaf long, form long"
+            _lines(depth, least_tokens, least_fixed), "row long, line int, leaf long, form long"
         ),
         "lines",
     )
@@ -182,7 +186,7 @@ def recurring_lines(
     # hashing the line numbers spares sorting the texts
     tokens = stages.write(
         texts.join(wanted.hint("shuffle_hash"), "row").mapInArrow(
-            _tokens(depth),
+            _tokens(depth, least_fixed),
             "row long, line int, leaf long, length int, place int, token long, stands boolean",
         ),
         "tokens",

@@ -167,6 +167,16 @@ def test_lines_with_variable_fields(spark):
     assert [got[k]["n_dropped"] for k in (1, 2, 3)] == [2, 2, 2]
 
 
+def test_lines_of_numbers_are_compared_as_written(spark):
+    texts = [f"text {w} has its own line\n{k} 7.{k} 2024-01-0{k} 88{k}\n1 2 3 4" for k, w in enumerate("abcd")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.drop_lines(docs).collect()}
+    for k in range(4):
+        assert f"{k} 7.{k} 2024-01-0{k} 88{k}" in got[k]
+        assert ("1 2 3 4" in got[k]) == (k == 0)
+    assert line_dedup.masked("Seen at 10:00 by us all") == ["Seen", "at", "<*>", "by", "us", "all"]
+
+
 def test_empty_tables(no_docs):
     assert exact_dedup.exact_groups(no_docs).count() == 0
     assert substring_dedup.remove_repeats(no_docs).count() == 0
