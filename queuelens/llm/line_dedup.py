@@ -9,6 +9,10 @@ place is a variable field too.  What remains is the template of the line.  Templ
 ``least_docs`` or more documents are recurring; their lines are dropped from all documents but
 the first, the one with the smallest id.
 
+With ``verbatim``, lines that recur as they are need less: those under ``least_tokens``
+tokens go from ``least_docs`` documents on, those of ``long_tokens`` or more from two.  The
+minimum of tokens then holds for templates alone.
+
 The tree is not grown line by line: leaves and supports are counted by Spark, so templates
 do not depend on an order, and no leaf has to fit in one task.
 
@@ -21,8 +25,8 @@ Plan
    those lines, and one line for each recurring one, are read again.
 3. Documents meet their dropped line numbers; the texts are shuffled once for this.
 
-Defined results: lines end at line feeds; blank lines and lines under ``least_tokens``
-tokens stay; null and empty texts have no lines and stay as they are; a null id counts as the
+Defined results: lines end at line feeds; blank lines stay, and without
+``verbatim`` lines under ``least_tokens`` tokens; null and empty texts have no lines and stay as they are; a null id counts as the
 largest; rows equal in id and text are one document and lose the same lines; a document left
 without any line has an empty text; an empty table gives an empty result.  Other columns of
 the input are passed on untouched by ``drop_lines``.
@@ -44,6 +48,8 @@ DEPTH = 3
 LEAST_DOCS = 3
 LEAST_TOKENS = 4
 LEAST_FIXED = 0.7
+#: For ``verbatim``: lines of so many tokens go from two documents on.
+LONG_TOKENS = 50
 VARIABLE = "<*>"
 
 
@@ -74,17 +80,24 @@ def leaf(tokens: list[str], depth: int) -> int:
     return _hash(tokens[:depth], len(tokens))
 
 
-def _lines(depth: int, least_tokens: int, least_fixed: float):
+def _lines(depth: int, least_tokens: int, least_fixed: float, long_tokens: int | None):
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = RowBatches(
             {"row": pa.int64(), "line": pa.int32(), "leaf": pa.int64(), "form": pa.int64()}
+            | {"same": pa.int64()}
         )
         for batch in batches:
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
                 for number, line in enumerate(text.as_py().split("\n")):
                     tokens = masked(line, least_fixed)
-                    if len(tokens) >= least_tokens:
-                        yield from out.add((row, number, leaf(tokens, depth), _hash(tokens)))
+                    short = len(tokens) < least_tokens
+                    same = None
+                    if tokens and long_tokens is not None and (short or len(tokens) >= long_tokens):
+                        same = _hash(line.split())
+                    if not short:
+                        yield from out.add((row, number, leaf(tokens, depth), _hash(tokens), same))
+                    elif same is not None:
+                        yield from out.add((row, number, None, None, same))
         yield from out.rest()
 
     return of_partition
@@ -141,6 +154,8 @@ def recurring_lines(
     least_docs: int = LEAST_DOCS,
     least_tokens: int = LEAST_TOKENS,
     least_fixed: float = LEAST_FIXED,
+    verbatim: bool = False,
+    long_tokens: int = LONG_TOKENS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -149,12 +164,14 @@ def recurring_lines(
     stages = Stages(docs.sparkSession, "line-dedup")
     base = _identified(docs, id_col, text_col)
     texts = base.select("row", "text")
-    lines = stages.write(
+    written = stages.write(
         texts.mapInArrow(
-            _lines(depth, least_tokens, least_fixed), "row long, line int, leaf long, form long"
+            _lines(depth, least_tokens, least_fixed, long_tokens if verbatim else None),
+            "row long, line int, leaf long, form long, same long",
         ),
         "lines",
     )
+    lines = written.where("leaf is not null").select("row", "line", "leaf", "form")
     forms = stages.write(_in_documents(lines, "leaf", "form"), "forms")
     recurring_leaf = _in_documents(lines, "leaf").where(F.col("docs") >= least_docs).select("leaf")
     # leaves that recur and hold lines which do not recur as they are
@@ -212,13 +229,26 @@ def recurring_lines(
     exact = lines.join(
         forms.where(F.col("docs") >= least_docs).select("leaf", "form"), ["leaf", "form"]
     ).select("row", "line", "leaf", F.col("form").alias("template"))
+    found = exact.withColumn("kind", F.lit(0)).union(general.withColumn("kind", F.lit(1)))
+    # kind 2: short lines as they are; kind 3: long ones
+    least = F.when(F.col("kind") == 3, F.lit(2)).otherwise(F.lit(least_docs))
+    if verbatim:
+        as_is = written.where("same is not null").select(
+            "row", "line", "same", F.when(F.col("leaf").isNull(), 2).otherwise(3).alias("kind")
+        )
+        repeated = stages.write(
+            _in_documents(as_is, "kind", "same").where(F.col("docs") >= least).select("kind", "same"),
+            "repeated",
+        )
+        found = found.union(
+            as_is.join(repeated, ["kind", "same"]).select(
+                "row", "line", F.lit(0).cast("long"), "same", "kind"
+            )
+        )
     ranks = base.select("row", "rank").distinct()
-    matched = stages.write(
-        exact.withColumn("kind", F.lit(0)).union(general.withColumn("kind", F.lit(1))).join(ranks, "row"),
-        "matched",
-    )
+    matched = stages.write(found.join(ranks, "row"), "matched")
     template = ["kind", "leaf", "template"]
-    for table in (lines, forms, open_leaf, tokens):
+    for table in (written, forms, open_leaf, tokens):
         stages.remove(table)
     # written, so that the join deals both sides anew and can split a hot template
     first = stages.write(
@@ -226,7 +256,7 @@ def recurring_lines(
         .agg(F.lit(1).alias("x"))
         .groupBy(*template)
         .agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("rank", "row")).alias("first"))
-        .where(F.col("docs") >= least_docs)
+        .where(F.col("docs") >= least)
         .select(*template, F.col("first.row").alias("first")),
         "first",
     )

@@ -82,7 +82,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_lines(_table(spark, sf_dir, "documents")).select(
+    return line_dedup.drop_lines(_table(spark, sf_dir, "documents"), verbatim=True).select(
         "doc_id",
         "n_lines",
         "n_dropped",

@@ -1,6 +1,7 @@
 """Exact, substring, line and n-gram de-duplication against plain versions."""
 
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -177,6 +178,41 @@ def test_lines_of_numbers_are_compared_as_written(spark):
     assert line_dedup.masked("Seen at 10:00 by us all") == ["Seen", "at", "<*>", "by", "us", "all"]
 
 
+def holders(docs):
+    out = defaultdict(set)
+    for doc_id, text in docs:
+        for line in (text or "").split("\n"):
+            if line.split():
+                out[tuple(line.split())].add((doc_id, text if doc_id is None else None))
+    return out
+
+
+def test_verbatim_lines(spark, tables, no_docs):
+    table = spark.read.parquet(f"{tables}/documents.parquet")
+    before = holders(pairs(table))
+    gone = [x for x, d in before.items() if len(d) >= (3 if len(x) < 50 else 2)]
+    assert any(len(x) < 4 for x in gone) and any(len(x) >= 50 and len(before[x]) == 2 for x in gone)
+    after = holders(pairs(line_dedup.drop_lines(table, verbatim=True)))
+    assert all(len(after[x]) <= 1 for x in gone)
+    # a short line stays in its first document; only templates can take the others
+    assert all(min(before[x]) in after[x] for x in gone if len(x) < 4)
+    assert all(after[x] == d for x, d in before.items() if len(x) < 4 and len(d) < 3)
+    long = " ".join(f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(50))
+    rows = [(k, f"{long if k < 2 else long[:-3]}\nAnd {'abc'[k]}.\nLes.\n{'' if k else 'Two.'}") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(docs, verbatim=True).collect()}
+    assert got[0] == rows[0][1] and got[1] == "And b.\n" and got[2].endswith("And c.\n")
+    assert line_dedup.drop_lines(no_docs, verbatim=True).count() == 0
+
+
+def test_line_query_drops_short_lines(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    cut = line_dedup.drop_lines(docs, verbatim=True)
+    expected = {r["doc_id"]: r["n_dropped"] for r in cut.collect()}
+    got = registry.QUERIES["op10_line_dedup"](spark, tables).collect()
+    assert {r["doc_id"]: r["n_dropped"] for r in got} == expected
+
+
 def test_empty_tables(no_docs):
     assert exact_dedup.exact_groups(no_docs).count() == 0
     assert substring_dedup.remove_repeats(no_docs).count() == 0
