@@ -15,6 +15,7 @@ from queuelens.llm import (
     line_dedup,
     ngram_join,
     packing,
+    periodic_runs,
     quality,
     secrets,
     sharding,
@@ -90,6 +91,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = periodic_runs.with_planted_period()
+    docs = _table(spark, sf_dir, "documents")
+    return periodic_runs.collapse_runs(docs, text_col=text, digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_license_scans": op2_license_scans,
@@ -101,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
+    "op11_periodic_run_detection": op11_periodic_run_detection,
     "pipeline": corpus_pipeline.run,
 }
 
