@@ -11,6 +11,7 @@ import corpus_pipeline
 from queuelens.llm import (
     decontaminate,
     exact_dedup,
+    hard_negatives,
     licenses,
     line_dedup,
     ngram_join,
@@ -97,6 +98,13 @@ def op11_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.collapse_runs(docs, text_col=text, digest=True)
 
 
+def op12_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(
+        _table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_license_scans": op2_license_scans,
@@ -109,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
     "op11_periodic_run_detection": op11_periodic_run_detection,
+    "op12_hard_negative_mining": op12_hard_negative_mining,
     "pipeline": corpus_pipeline.run,
 }
 
