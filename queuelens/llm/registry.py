@@ -15,6 +15,7 @@ from queuelens.llm import (
     licenses,
     line_dedup,
     ngram_join,
+    nn_descent,
     packing,
     periodic_runs,
     quality,
@@ -105,6 +106,10 @@ def op12_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_license_scans": op2_license_scans,
@@ -118,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_periodic_run_detection": op11_periodic_run_detection,
     "op12_hard_negative_mining": op12_hard_negative_mining,
+    "op13_approximate_nearest_neighbours": op13_approximate_nearest_neighbours,
     "pipeline": corpus_pipeline.run,
 }
 
