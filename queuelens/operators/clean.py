@@ -18,11 +18,58 @@ from queuelens.sources.files import CLEAN_SCHEMA
 
 # Rows of one join key that a task is meant to get at most.
 ROWS_PER_SLOT = 1_000_000
+# Keys look up their number of slots by hash, in a table of this fixed size.
+SPREAD_BUCKETS = 1 << 16
 
 
-def slots_for(heaviest: Column) -> Column:
-    """Join keys to spread the rows of the heaviest key over."""
-    return F.greatest(F.lit(1), F.ceil(heaviest / ROWS_PER_SLOT)).cast("int")
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SPREAD_BUCKETS)).cast("int")
+
+
+def spread_table(loads: DataFrame, key: str, rows: str) -> DataFrame:
+    """One row, ``slots``: over how many join keys the rows of a key are spread.
+
+    ``loads`` has the number of ``rows`` per ``key``.  Entry b of the array holds for keys of
+    hash bucket b: 1 for nearly all, more where a key has over ``ROWS_PER_SLOT`` rows.  Its
+    size is fixed, so rows look their slots up in constant time, without a join, whatever
+    the number of heavy keys.  A light key that shares a bucket with a heavy one is spread
+    like it, which costs rows but changes no result.
+    """
+    heavy = loads.filter(F.col(rows) > ROWS_PER_SLOT).select(
+        _bucket(F.col(key)).alias("bucket"),
+        F.ceil(F.col(rows) / ROWS_PER_SLOT).cast("int").alias("slots"),
+    )
+    every = loads.sparkSession.range(SPREAD_BUCKETS).select(
+        F.col("id").cast("int").alias("bucket"), F.lit(1).alias("slots")
+    )
+    widest = every.unionByName(heavy).groupBy("bucket").agg(F.max("slots").alias("slots"))
+    ordered = F.array_sort(F.collect_list(F.struct("bucket", "slots")))
+    return widest.agg(F.transform(ordered, lambda e: e["slots"]).alias("slots"))
+
+
+def _slots_of(key: Column, slots: Column) -> Column:
+    return F.get(slots, _bucket(key))
+
+
+def in_all_slots(keys: DataFrame, key: str, slots: Column) -> DataFrame:
+    """The rows of a side with one row per key, one for each ``_slot`` of its key."""
+    last = (_slots_of(F.col(key), slots) - 1).cast("bigint")
+    return keys.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_slot"))
+
+
+def _salt(df: DataFrame, key: str, slots: Column) -> Column:
+    """Slot of a row: that of its other columns for a heavy key, 0 for the others.
+
+    Rows without key, which match nothing, are dealt over all values.
+    """
+    own = _slots_of(F.col(key), slots)
+    others = [c for c in RAW_TICKET_COLUMNS if c != key and c in df.columns]
+    mixed = F.xxhash64(*others)
+    return (
+        F.when(F.col(key).isNull(), mixed)
+        .when(own > 1, F.pmod(mixed, own))
+        .otherwise(F.lit(0).cast("bigint"))
+    )
 
 
 def dedup_exact(raw: DataFrame) -> DataFrame:
@@ -80,34 +127,23 @@ def id_conflicts(distinct_rows: DataFrame, key: str = "ticket_id") -> DataFrame:
     return distinct_rows.groupBy(key).agg(F.count("*").alias("id_rows")).filter("id_rows > 1")
 
 
-def _salt(df: DataFrame, key: str, slots: Column) -> Column:
-    """Slot of a row by its other columns; rows without key are spread over all values."""
-    others = [c for c in RAW_TICKET_COLUMNS if c != key and c in df.columns]
-    mixed = F.xxhash64(*others)
-    return F.when(F.col(key).isNull(), mixed).otherwise(F.pmod(mixed, slots))
-
-
-def _slots(count: Column) -> Column:
-    return F.explode(F.sequence(F.lit(0).cast("bigint"), (count - 1).cast("bigint")))
-
-
 def flag_id_conflicts(
     df: DataFrame, conflicts: DataFrame, key: str = "ticket_id", slots: Column | None = None
 ) -> DataFrame:
     """Mark rows whose id is in ``conflicts``; a NULL id stays NULL.
 
     Few ids conflict, so adaptive execution normally turns this into a
-    broadcast once it has measured that side.  When it cannot, the rows of an id
-    are spread over ``slots`` keys, by default as many as the rows of the heaviest
-    id ask for, so no id lands in one task.  The
+    broadcast once it has measured that side.  When it cannot, the rows of a heavy id
+    are spread over the ``slots`` that :func:`spread_table` gives it, so no id lands in
+    one task, and the conflict side grows by the slots of heavy ids only.  The
     null-safe match keeps an ``IS NOT NULL`` filter from being pushed into the
     conflict side, where it would stop that side from reusing the shuffle of
     the exact de-duplication.
     """
     if slots is None:
-        slots = slots_for(F.coalesce(conflicts.agg(F.max("id_rows")).scalar(), F.lit(1)))
-    marked = conflicts.select(
-        F.col(key).alias("_key"), F.lit(True).alias("_conflict"), _slots(slots).alias("_slot")
+        slots = spread_table(conflicts, key, "id_rows").scalar()
+    marked = in_all_slots(conflicts, key, slots).select(
+        F.col(key).alias("_key"), F.lit(True).alias("_conflict"), "_slot"
     )
     salt = _salt(df, key, slots)
     matched = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_slot"))
@@ -120,10 +156,10 @@ def flag_id_conflicts(
     )
 
 
-def heaviest_agent(df: DataFrame) -> DataFrame:
-    """Rows of the agent with most rows; one row, NULL without agents."""
-    known = df.filter(F.trim("agent_id") != "").groupBy(F.trim("agent_id").alias("agent"))
-    return known.agg(F.count("*").alias("rows")).agg(F.max("rows").alias("rows"))
+def agent_loads(df: DataFrame) -> DataFrame:
+    """Rows per agent, of raw or typed tickets; those without agent do not count."""
+    agent = F.trim("agent_id")
+    return df.filter(agent != "").groupBy(agent.alias("agent_id")).agg(F.count("*").alias("rows"))
 
 
 def enrich_agents(df: DataFrame, agents: DataFrame, slots: Column | None = None) -> DataFrame:
@@ -131,13 +167,13 @@ def enrich_agents(df: DataFrame, agents: DataFrame, slots: Column | None = None)
 
     No broadcast hint: Spark broadcasts the dimension while its size allows.  When it
     has outgrown that, rows without agent are dealt over all tasks, since they
-    match nothing, and those of one agent over ``slots`` keys.
+    match nothing, and those of a heavy agent over its ``slots``, by a hash of the other
+    columns that ``df`` has.
     """
     if slots is None:
-        slots = slots_for(F.coalesce(heaviest_agent(df).scalar(), F.lit(1)))
-    known = agents.select(
-        F.col("agent_id").alias("_agent"), "team", "hire_date", "location", _slots(slots).alias("_slot")
-    )
+        slots = spread_table(agent_loads(df), "agent_id", "rows").scalar()
+    known = agents.select("agent_id", "team", "hire_date", "location")
+    known = in_all_slots(known, "agent_id", slots).withColumnRenamed("agent_id", "_agent")
     salted = df.withColumn("_salt", _salt(df, "agent_id", slots))
     matched = (F.col("agent_id") == F.col("_agent")) & (F.col("_salt") == F.col("_slot"))
     return salted.join(known, matched, "left").drop("_salt", "_agent", "_slot")
@@ -210,7 +246,7 @@ def clean_distinct_rows(
     typed = type_rows(distinct_rows, profile)
     out = flag_id_conflicts(typed, conflicts, slots=conflict_slots)
     if agent_slots is None:
-        agent_slots = slots_for(F.coalesce(heaviest_agent(distinct_rows).scalar(), F.lit(1)))
+        agent_slots = spread_table(agent_loads(distinct_rows), "agent_id", "rows").scalar()
     out = enrich_agents(out, agents, agent_slots)
     out = add_resolution_time(out, profile)
     out = add_open_age(out, profile)

@@ -58,9 +58,8 @@ def _typed(ws: Workspace) -> DataFrame:
 
 
 def _enrich_agents(ws: Workspace) -> DataFrame:
-    return c.enrich_agents(_typed(ws), ws.agents).select(
-        "ticket_id", "category", "agent_id", "team", "hire_date", "location"
-    )
+    rows = _typed(ws).select("ticket_id", "category", "agent_id")
+    return c.enrich_agents(rows, ws.agents, ws.agent_slots)
 
 
 def _resolution_time(ws: Workspace) -> DataFrame:
@@ -84,7 +83,10 @@ def _open_age(ws: Workspace) -> DataFrame:
 
 
 def _attribution_and_survey_flags(ws: Workspace) -> DataFrame:
-    enriched = c.enrich_agents(_typed(ws), ws.agents)
+    rows = _typed(ws).select(
+        "ticket_id", "category", "created_at", "agent_id", "satisfaction_score"
+    )
+    enriched = c.enrich_agents(rows, ws.agents, ws.agent_slots)
     return c.add_attribution_and_survey_flags(enriched, ws.profile).select(
         "ticket_id",
         "category",

@@ -14,16 +14,15 @@ import threading
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from queuelens.operators.clean import (
+    agent_loads,
     clean_distinct_rows,
     count_copies,
-    heaviest_agent,
     id_conflicts,
-    slots_for,
+    spread_table,
 )
 from queuelens.operators.metrics import period_counts
 from queuelens.operators.segments import segment_metrics
@@ -96,20 +95,35 @@ class Workspace:
         on a broadcast before it shuffles the other side."""
         return self.stage("conflicts", lambda: id_conflicts(self.distinct_rows))
 
+    @property
+    def conflict_slots(self) -> Column:
+        """Over how many join keys the rows of conflicting ids are spread."""
+        build = lambda: spread_table(self.conflicts, "ticket_id", "id_rows")
+        return self.stage("conflict_slots", build).scalar()
+
+    @property
+    def agent_loads(self) -> DataFrame:
+        """Distinct raw rows per agent."""
+        return self.stage("agent_loads", lambda: agent_loads(self.distinct_rows))
+
+    @property
+    def agent_slots(self) -> Column:
+        """Over how many join keys the rows of agents are spread."""
+        build = lambda: spread_table(self.agent_loads, "agent_id", "rows")
+        return self.stage("agent_slots", build).scalar()
+
     def clean_plan(self) -> DataFrame:
         """The cleaning step over the written stages, not yet run.
 
         Their counts say beforehand how far the rows of one id or agent must be spread.
         """
-        rows = self.conflicts.agg(F.max("id_rows")).first()[0]
-        agent_rows = heaviest_agent(self.distinct_rows).first()[0]
         return clean_distinct_rows(
             self.distinct_rows,
             self.conflicts,
             self.agents,
             self.profile,
-            slots_for(F.lit(rows or 1)),
-            slots_for(F.lit(agent_rows or 1)),
+            self.conflict_slots,
+            self.agent_slots,
         )
 
     @property

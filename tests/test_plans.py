@@ -111,6 +111,62 @@ def test_agent_join_spreads_hot_and_missing_agents(spark, no_broadcast, monkeypa
     assert teams == {None: 1300, "Tier 2": 800, "Tier 1": 300}
 
 
+def test_only_heavy_keys_are_copied(spark):
+    """100,000 ids of two rows beside one of fifty million: the conflict side hardly grows."""
+    from pyspark.sql import functions as F
+
+    from queuelens.operators import clean as c
+
+    light = spark.range(100_000).select(
+        F.concat(F.lit("t"), "id").alias("ticket_id"), F.lit(2).cast("long").alias("id_rows")
+    )
+    heavy = spark.createDataFrame([("hot", 50_000_000), (None, 7_000_000)], "ticket_id string, id_rows long")
+    loads = light.union(heavy)
+    table = c.spread_table(loads, "ticket_id", "id_rows")
+    slots = table.first()["slots"]
+    assert len(slots) == c.SPREAD_BUCKETS and sorted(slots)[-3:] == [1, 7, 50]
+    spread = c.in_all_slots(loads, "ticket_id", table.scalar())
+    of = {r["ticket_id"]: r["count"] for r in spread.groupBy("ticket_id").count().collect()}
+    assert of["hot"] == 50 and 100_057 <= sum(of.values()) < 100_057 + 500
+    every = spread.groupBy("ticket_id").agg(F.countDistinct("_slot").alias("n"), F.max("_slot").alias("m"))
+    assert every.where("n <> m + 1").isEmpty()
+
+
+def test_heavy_keys_change_no_result(spark, no_broadcast, monkeypatch):
+    """Slots so small that many ids and agents are spread: the rows stay what they were."""
+    from helpers import agents, raw_tickets
+
+    from queuelens.operators import clean as c
+    from queuelens.profile import TicketProfile
+
+    rows = [{"ticket_id": f"t{i % 23 if i % 3 else i}", "agent_id": f"A{i * i % 7}", "priority": f"{i}"}
+            for i in range(500)]
+    rows += [{"ticket_id": None, "agent_id": " ", "priority": f"n{i}"} for i in range(50)]
+    staff = agents(spark, *[(f"A{i}", f"Tier {i}", "2024-06-01", "Lisbon") for i in range(5)])
+
+    def cleaned():
+        return sorted(map(str, c.clean_tickets(raw_tickets(spark, *rows), staff, TicketProfile()).collect()))
+
+    before = cleaned()
+    monkeypatch.setattr(c, "ROWS_PER_SLOT", 3)
+    assert cleaned() == before and len(before) == 550
+
+
+def test_agents_are_joined_on_three_columns(ws, no_broadcast):
+    plan = executed_plan(QUERIES["enrich_agents"](ws))
+    read = [r for r in re.findall(r"ReadSchema: struct<([^>]*)", plan) if "ticket_id" in r]
+    assert read and all("created_at" not in r and "brand" not in r for r in read)
+    assert "try_to_timestamp(created_at" not in plan
+
+
+def test_building_the_clean_plan_runs_no_job(ws):
+    ws.clean_plan()  # its stages are written now
+    tracker = ws.spark.sparkContext.statusTracker()
+    before = max(tracker.getJobIdsForGroup(None))
+    ws.clean_plan()
+    assert max(tracker.getJobIdsForGroup(None)) == before
+
+
 def test_chi2_scans_tickets_once(ws):
     """The plan that ran, subqueries included: what shows a scan again is the same stage."""
     for name in ("chi2_low_score_by_dim", "chi2_scale_by_dim"):
