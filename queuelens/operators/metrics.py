@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from queuelens.functions.numeric import bucketize, pct, round_to, severity_rank
-from queuelens.functions.timecols import month_start
 from queuelens.operators.clean import valid_resolution
 from queuelens.plans.shapes import (
     TICKETS,
@@ -98,26 +97,6 @@ def above_short_scale(profile: TicketProfile) -> Column:
     return F.col("satisfaction_score") > profile.short_scale_max
 
 
-def monthly_scale_share(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
-    """K2 without its order."""
-    scored = F.count_if("has_satisfaction")
-    return (
-        tickets.filter(~F.col("is_partial_month"))
-        .groupBy(month_start(F.col("created_at")).alias("month"))
-        .agg(
-            scored.alias("scored"),
-            F.min("satisfaction_score").alias("min_score"),
-            F.max("satisfaction_score").alias("max_score"),
-            pct(F.count_if(above_short_scale(profile)), scored).alias("score_above_5_percentage"),
-        )
-    )
-
-
-def scale_evidence_monthly(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
-    """K2: per full month, the scored count, score range and share above the short scale."""
-    return monthly_scale_share(tickets, profile).orderBy("month")
-
-
 def score_frequencies(tickets: DataFrame) -> DataFrame:
     """K3 without its order."""
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,23 @@ def raw_row_counts(copies: DataFrame) -> DataFrame:
     )
 
 
+def fingerprint(columns: Sequence[str], times: Column | None = None) -> Column:
+    """Order-free sum of row hashes, a row counting ``times``; 0 over no rows."""
+    value = F.xxhash64(*columns).cast("decimal(38,0)")
+    if times is not None:
+        value = value * times.cast("decimal(18,0)")
+    return F.coalesce(F.sum(value.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+
+
+def control_totals(lines: DataFrame, raw: DataFrame) -> DataFrame:
+    """One row: filled lines of the files without headers, and a fingerprint of the rows read.
+
+    ``lines`` are those of ``sources.files.export_lines``, which no CSV parser has touched.
+    """
+    read = raw.agg(fingerprint(raw.columns).alias("read_print"))
+    return side_by_side(lines.agg(F.count("*").alias("export_lines")), read)
+
+
 def qa_row_counts(copies: DataFrame, tickets: DataFrame) -> DataFrame:
     """Q1: rows before and after, duplicates removed, broken lines, width of the clean table."""
     row = side_by_side(raw_row_counts(copies), tickets.agg(F.count("*").alias("clean_rows")))

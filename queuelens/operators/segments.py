@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from queuelens.functions.numeric import pct, ratio, round_to, safe_corr, severity_rank
-from queuelens.functions.timecols import month_start, weekday_name, weekday_number
 from queuelens.operators.clean import valid_resolution
 from queuelens.operators.metrics import pick, ticket_counts, ticket_values
+from queuelens.operators.months import by_month
 from queuelens.plans.shapes import group_by_each, grouped_histogram, total, weighted_quantile
 from queuelens.profile import TicketProfile
 
@@ -86,53 +86,33 @@ def uniformity_spread(metrics: DataFrame) -> DataFrame:
     )
 
 
-def monthly_trend(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
+def monthly_trend(cube: DataFrame) -> DataFrame:
     """Volume, median hours and low-score rate per full month."""
-    return grouped_histogram(
-        tickets.filter(~F.col("is_partial_month")).withColumn(
-            "month", month_start(F.col("created_at"))
-        ),
-        ["month"],
-        _hours_only(),
-        pick(ticket_counts(profile), "scored", "low"),
-        [
-            total("n").alias("volume"),
-            round_to(weighted_quantile("hours", 0.5), 2).alias("median_hrs"),
-            pct(total("low"), total("scored")).alias("low_score_percentage"),
-        ],
-    ).orderBy("month")
+    months = by_month(cube).groupBy("month").agg(
+        total("n").alias("volume"),
+        round_to(weighted_quantile("hours", 0.5), 2).alias("median_hrs"),
+        pct(total("low"), total("scored")).alias("low_score_percentage"),
+    )
+    return months.orderBy("month")
 
 
-def backlog_by_creation_month(tickets: DataFrame) -> DataFrame:
+def backlog_by_creation_month(cube: DataFrame) -> DataFrame:
     """What each monthly cohort left open."""
-    still_open = F.count_if(~F.col("is_resolved"))
-    return (
-        tickets.filter(~F.col("is_partial_month"))
-        .groupBy(month_start(F.col("created_at")).alias("month"))
-        .agg(
-            F.count("*").alias("created"),
-            still_open.alias("still_open"),
-            pct(still_open, F.count("*")).alias("pct_still_open"),
-        )
-        .orderBy("month")
+    months = by_month(cube).groupBy("month").agg(
+        total("n").alias("created"),
+        total("open").alias("still_open"),
+        pct(total("open"), total("n")).alias("pct_still_open"),
     )
+    return months.orderBy("month")
 
 
-def arrivals_by_weekday(tickets: DataFrame) -> DataFrame:
+def arrivals_by_weekday(cube: DataFrame) -> DataFrame:
     """Volume and median hours per weekday, Sunday first."""
-    created = F.col("created_at")
-    return grouped_histogram(
-        tickets.withColumns(
-            {"day_of_week": weekday_number(created), "day_name": weekday_name(created)}
-        ),
-        ["day_of_week", "day_name"],
-        _hours_only(),
-        {},
-        [
-            total("n").alias("volume"),
-            round_to(weighted_quantile("hours", 0.5), 2).alias("median_hrs"),
-        ],
-    ).orderBy(F.asc_nulls_last("day_of_week"))
+    days = cube.filter(F.col("reading") == "weekday").groupBy("day_of_week", "day_name").agg(
+        total("n").alias("volume"),
+        round_to(weighted_quantile("hours", 0.5), 2).alias("median_hrs"),
+    )
+    return days.orderBy(F.asc_nulls_last("day_of_week"))
 
 
 def agent_low_score_spread(tickets: DataFrame, profile: TicketProfile) -> DataFrame:

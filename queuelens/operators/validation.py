@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from queuelens.functions.numeric import bucketize, pct, round_to
-from queuelens.functions.timecols import date_lit, month_start
+from queuelens.functions.timecols import date_lit
 from queuelens.operators.clean import valid_resolution
-from queuelens.operators.quality import raw_row_counts
-from queuelens.plans.shapes import group_by_each, side_by_side, tickets_in
+from queuelens.operators.months import by_month
+from queuelens.operators.quality import fingerprint, raw_row_counts
+from queuelens.plans.shapes import group_by_each, side_by_side, tickets_in, total
 from queuelens.profile import TicketProfile
 
 RESPONSE_DIMENSIONS = ("brand", "channel", "priority")
@@ -27,12 +28,38 @@ def _resolved() -> Column:
     return F.count_if("is_resolved")
 
 
-def check_reconciliation(copies: DataFrame, tickets: DataFrame) -> DataFrame:
-    """V1: the clean table has exactly the distinct raw rows, and none of them was broken."""
-    row = side_by_side(raw_row_counts(copies), tickets.agg(F.count("*").alias("clean_rows")))
-    return row.withColumn(
-        "reconciliation",
-        _verdict((F.col("clean_rows") == F.col("raw_distinct")) & (F.col("broken_rows") == 0)),
+def check_reconciliation(copies: DataFrame, tickets: DataFrame, control: DataFrame) -> DataFrame:
+    """V1: no row was lost, split, changed or invented on the way from the files to the clean table.
+
+    ``control`` is the one row of ``control_totals``, taken from the files without the stages
+    that are checked.  The export has as many filled lines as the counted copies stand for
+    and none of them is broken; counted copies have the rows of the files, by an order-free
+    fingerprint; and the clean table has the ids of the distinct rows, each as often.
+    """
+    ids = ["ticket_id"]
+    counted = copies.agg(
+        fingerprint([c for c in copies.columns if c != "copies"], F.col("copies")).alias("counted_print"),
+        fingerprint(ids).alias("distinct_ids"),
+    )
+    cleaned = tickets.agg(F.count("*").alias("clean_rows"), fingerprint(ids).alias("clean_ids"))
+    row = side_by_side(raw_row_counts(copies), counted, cleaned, control)
+    same = (F.col("counted_print") == F.col("read_print")) & (
+        F.col("distinct_ids") == F.col("clean_ids")
+    )
+    passed = (
+        (F.col("clean_rows") == F.col("raw_distinct"))
+        & (F.col("broken_rows") == 0)
+        & (F.col("raw_rows") == F.col("export_lines"))
+        & same
+    )
+    return row.select(
+        "raw_rows",
+        "raw_distinct",
+        "broken_rows",
+        "clean_rows",
+        "export_lines",
+        F.coalesce(same, F.lit(False)).alias("same_rows"),
+        _verdict(passed).alias("reconciliation"),
     )
 
 
@@ -108,17 +135,13 @@ def response_rate_by_speed(tickets: DataFrame, profile: TicketProfile) -> DataFr
     )
 
 
-def response_rate_by_month(tickets: DataFrame) -> DataFrame:
+def response_rate_by_month(cube: DataFrame) -> DataFrame:
     """V7: is survey coverage drifting?"""
-    return (
-        tickets.filter(~F.col("is_partial_month"))
-        .groupBy(month_start(F.col("created_at")).alias("month"))
-        .agg(
-            _resolved().alias("resolved"),
-            pct(_answered(), _resolved()).alias("response_rate_percentage"),
-        )
-        .orderBy("month")
+    months = by_month(cube).groupBy("month").agg(
+        total("resolved").alias("resolved"),
+        pct(total("answered"), total("resolved")).alias("response_rate_percentage"),
     )
+    return months.orderBy("month")
 
 
 def check_future_timestamps(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
@@ -135,24 +158,19 @@ def check_future_timestamps(tickets: DataFrame, profile: TicketProfile) -> DataF
     )
 
 
-def activity_on_both_clocks(tickets: DataFrame) -> DataFrame:
-    """V9: creations and resolutions on one month axis, from one scan."""
-    clocks = group_by_each(
-        tickets,
-        {
-            "created": month_start(F.col("created_at")),
-            "resolved": month_start(F.col("resolved_at")),
-        },
-        [F.count("*").alias("n")],
-    )
+def activity_on_both_clocks(cube: DataFrame) -> DataFrame:
+    """V9: creations and resolutions on one month axis."""
+    closed = F.col("reading") == "closed"
+    month = F.when(closed, F.col("resolved_month")).otherwise(F.col("month"))
+    clocks = cube.filter(closed | (F.col("reading") == "speed")).withColumn("month", month)
 
-    def on(clock: str) -> Column:
-        return F.sum(F.when(F.col("dimension") == clock, F.col("n")).otherwise(0))
+    def on(clock: Column) -> Column:
+        return F.sum(F.when(clock, F.col("n")).otherwise(0))
 
     return (
-        clocks.filter(F.col("segment").isNotNull())
-        .groupBy(F.col("segment").alias("month"))
-        .agg(on("created").alias("tickets_created"), on("resolved").alias("tickets_resolved"))
+        clocks.filter(month.isNotNull())
+        .groupBy("month")
+        .agg(on(~closed).alias("tickets_created"), on(closed).alias("tickets_resolved"))
         .orderBy("month")
     )
 

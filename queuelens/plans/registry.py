@@ -13,6 +13,7 @@ from queuelens.operators import marts as r
 from queuelens.operators import materiality as m
 from queuelens.operators import metrics as k
 from queuelens.operators import mixture as x
+from queuelens.operators import months as mo
 from queuelens.operators import quality as q
 from queuelens.operators import segments as s
 from queuelens.operators import validation as v
@@ -200,7 +201,7 @@ GROUPS: dict[str, dict[str, Query]] = {
     },
     "metrics": {
         "headline_kpis": lambda ws: k.headline_kpis(ws.period_counts, ws.profile),
-        "scale_evidence_monthly": lambda ws: k.scale_evidence_monthly(ws.tickets, ws.profile),
+        "scale_evidence_monthly": lambda ws: mo.scale_evidence_monthly(ws.month_cube, ws.profile),
         "score_histogram": lambda ws: k.score_histogram(ws.tickets),
         "resolution_distribution": lambda ws: k.resolution_distribution(ws.period_counts, ws.profile),
         "backlog_age_profile": lambda ws: k.backlog_age_profile(ws.period_counts, ws.profile),
@@ -214,24 +215,26 @@ GROUPS: dict[str, dict[str, Query]] = {
         "by_priority": _by_priority,
         "by_team": _by_team,
         "uniformity_spread": _uniformity_spread,
-        "monthly_trend": lambda ws: s.monthly_trend(ws.tickets, ws.profile),
-        "backlog_by_creation_month": lambda ws: s.backlog_by_creation_month(ws.tickets),
-        "arrivals_by_weekday": lambda ws: s.arrivals_by_weekday(ws.tickets),
+        "monthly_trend": lambda ws: s.monthly_trend(ws.month_cube),
+        "backlog_by_creation_month": lambda ws: s.backlog_by_creation_month(ws.month_cube),
+        "arrivals_by_weekday": lambda ws: s.arrivals_by_weekday(ws.month_cube),
         "backlog_age_by_priority": lambda ws: k.backlog_age_by_priority(ws.period_counts, ws.profile),
         "backlog_age_summary": lambda ws: k.backlog_age_summary(ws.period_counts, ws.profile),
         "agent_low_score_spread": lambda ws: s.agent_low_score_spread(ws.tickets, ws.profile),
         "resolution_satisfaction_corr": lambda ws: s.resolution_satisfaction_corr(ws.tickets),
     },
     "checks": {
-        "check_reconciliation": lambda ws: v.check_reconciliation(ws.copies, ws.tickets),
+        "check_reconciliation": lambda ws: v.check_reconciliation(
+            ws.copies, ws.tickets, ws.control_totals
+        ),
         "check_no_negatives": lambda ws: v.check_no_negatives(ws.period_counts),
         "response_rate_by_segment": lambda ws: v.response_rate_by_segment(ws.tickets),
         "check_domains": lambda ws: v.check_domains(ws.tickets, ws.profile),
         "check_window_bounds": lambda ws: v.check_window_bounds(ws.tickets),
         "response_rate_by_speed": lambda ws: v.response_rate_by_speed(ws.period_counts, ws.profile),
-        "response_rate_by_month": lambda ws: v.response_rate_by_month(ws.tickets),
+        "response_rate_by_month": lambda ws: v.response_rate_by_month(ws.month_cube),
         "check_future_timestamps": lambda ws: v.check_future_timestamps(ws.tickets, ws.profile),
-        "activity_on_both_clocks": lambda ws: v.activity_on_both_clocks(ws.tickets),
+        "activity_on_both_clocks": lambda ws: v.activity_on_both_clocks(ws.month_cube),
         "check_duration_gap": lambda ws: v.check_duration_gap(ws.period_counts, ws.profile),
     },
     "materiality": {
@@ -272,9 +275,9 @@ GROUPS: dict[str, dict[str, Query]] = {
     "figures": {
         "mart_score_cliff": lambda ws: r.mart_score_cliff(ws.tickets, ws.profile),
         "mart_bins": lambda ws: r.mart_bins(ws.period_counts, ws.profile),
-        "mart_trend_labels": lambda ws: r.mart_trend_labels(ws.tickets, ws.profile),
+        "mart_trend_labels": lambda ws: r.mart_trend_labels(ws.month_cube),
         "mart_swing_ranked": lambda ws: r.mart_swing_ranked(ws.tickets, ws.profile),
-        "mart_scale_cutover": lambda ws: r.mart_scale_cutover(ws.tickets, ws.profile),
+        "mart_scale_cutover": lambda ws: r.mart_scale_cutover(ws.month_cube, ws.profile),
         "mart_dashboard_tiles": lambda ws: r.mart_dashboard_tiles(ws.period_counts, ws.profile),
         "mart_priority_panel": lambda ws: r.mart_priority_panel(ws.period_counts, ws.profile),
     },

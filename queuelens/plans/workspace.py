@@ -25,10 +25,12 @@ from queuelens.operators.clean import (
     spread_table,
 )
 from queuelens.operators.metrics import period_counts
+from queuelens.operators.months import month_cube
+from queuelens.operators.quality import control_totals
 from queuelens.operators.segments import segment_metrics
 from queuelens.profile import TicketProfile, star_schema_profile
 from queuelens.session import remove_path, shared_dir
-from queuelens.sources.files import files_state, read_agents, read_raw_tickets, write_text_csv
+from queuelens.sources.files import export_lines, files_state, read_agents, read_raw_tickets, write_text_csv
 from queuelens.sources.star_schema import agent_feed, ticket_feed
 
 
@@ -136,6 +138,19 @@ class Workspace:
         """Tickets counted by what reports on the whole period or on priorities read."""
         return self.stage("period_counts", lambda: period_counts(self.tickets))
 
+    @property
+    def month_cube(self) -> DataFrame:
+        """Tickets counted by month and by weekday, for the reports by calendar."""
+        return self.stage("month_cube", lambda: month_cube(self.tickets, self.profile))
+
+    @property
+    def control_totals(self) -> DataFrame:
+        """Lines and fingerprint of the export, taken from its files once more."""
+        return self.stage(
+            "control_totals",
+            lambda: control_totals(export_lines(self.spark, self.raw_path), self.raw),
+        )
+
     @property
     def segments(self) -> DataFrame:
         """Metrics of every (dimension, segment): a few dozen rows that many reports share."""

@@ -92,6 +92,16 @@ def read_raw_tickets(
     return _text_csv(spark, path, columns, multi_line)
 
 
+def export_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The filled lines of the files at ``path`` as plain text, without those that are the header.
+
+    All files share one header, so the first line of any of them tells it; nothing is parsed.
+    """
+    lines = spark.read.text(path)
+    header = lines.limit(1).agg(F.max("value")).scalar()
+    return lines.filter(F.col("value").rlike(r"[^\x00-\x20]") & (F.col("value") != header))
+
+
 def read_agents(spark: SparkSession, path: str, profile: TicketProfile) -> DataFrame:
     """The agent dimension with a parsed hire date."""
     agents = _text_csv(spark, path, RAW_AGENT_COLUMNS).select(*RAW_AGENT_COLUMNS)

@@ -10,6 +10,7 @@ from queuelens.operators import clean as c
 from queuelens.profile import RAW_TICKET_COLUMNS, TicketProfile
 from queuelens.sources.files import (
     CLEAN_SCHEMA,
+    export_lines,
     read_clean_csv,
     read_clean_tickets,
     read_raw_tickets,
@@ -169,7 +170,7 @@ def test_standard_quoting_is_read_whole(spark, tmp_path):
 
 
 def test_broken_lines_are_kept_counted_and_fail_the_check(spark, tmp_path):
-    from queuelens.operators.quality import qa_row_counts
+    from queuelens.operators.quality import control_totals, qa_row_counts
     from queuelens.operators.validation import check_reconciliation
 
     path = standard_csv(
@@ -185,11 +186,50 @@ def test_broken_lines_are_kept_counted_and_fail_the_check(spark, tmp_path):
     cleaned = c.clean_tickets(raw, agents(spark, ("A1", "Tier 1", "2024-06-01", "Lisbon")), PROFILE)
     counts = qa_row_counts(copies, cleaned).first()
     assert (counts["raw_rows"], counts["raw_distinct"], counts["broken_rows"]) == (6, 5, 5)
-    assert check_reconciliation(copies, cleaned).first()["reconciliation"] == "FAIL"
+    control = control_totals(export_lines(spark, path), raw)
+    assert check_reconciliation(copies, cleaned, control).first()["reconciliation"] == "FAIL"
     whole = read_raw_tickets(spark, path, multi_line=True).filter("ticket_id = 'T4'").first()
     assert whole["category"] == "two\nlines" and whole["broken_record"] is None
 
 
+def reconciled(spark, path, read=None, count=None, clean=None):
+    """The check, with one of the steps before it replaced by a faulty one."""
+    from queuelens.operators.quality import control_totals
+    from queuelens.operators.validation import check_reconciliation
+
+    raw = read_raw_tickets(spark, path)
+    kept = read(raw) if read else raw
+    copies = c.count_copies(kept)
+    copies = count(copies) if count else copies
+    staff = agents(spark, ("A1", "Tier 1", "2024-06-01", "Lisbon"))
+    rows = c.clean_tickets(copies.drop("copies"), staff, PROFILE)
+    control = control_totals(export_lines(spark, path), kept)
+    return check_reconciliation(copies, clean(rows) if clean else rows, control).first()
+
+
+def test_faults_fail_the_reconciliation(spark, tmp_path):
+    lines = [f"T{i % 5},KAYAK,chat,Bill,Low,2025-01-0{i % 3 + 1} 10:00:00,,A1,4" for i in range(40)]
+    path = standard_csv(tmp_path / "raw", *lines, "", "   ")
+    (tmp_path / "raw" / "more.csv").write_text("\n".join([HEADER, lines[0], lines[1]]) + "\n")
+    first = F.col("ticket_id") == "T1"
+    good = reconciled(spark, path)
+    assert (good["export_lines"], good["raw_rows"], good["raw_distinct"]) == (42, 42, 15)
+    assert good["reconciliation"] == "PASS" and good["same_rows"]
+    other = F.when(first, F.lit("T2")).otherwise(F.col("ticket_id"))
+    faults = {
+        "the reader drops a row": {"read": lambda raw: raw.limit(41)},
+        "the reader splits rows": {"read": lambda raw: raw.union(raw.limit(1))},
+        "a count is too high": {"count": lambda x: x.withColumn("copies", F.col("copies") + first.cast("int"))},
+        "a cell is changed": {"count": lambda x: x.withColumn("priority", F.when(~first, F.col("priority")))},
+        "an id is lost": {"clean": lambda rows: rows.where(~first)},
+        "an id is changed": {"clean": lambda rows: rows.withColumn("ticket_id", other)},
+    }
+    for what, step in faults.items():
+        assert reconciled(spark, path, **step)["reconciliation"] == "FAIL", what
+    empty = standard_csv(tmp_path / "empty")
+    assert reconciled(spark, empty)["reconciliation"] == "PASS"
+
+
 def test_written_csv_is_standard(spark, tmp_path):
     import csv
 

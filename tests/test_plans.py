@@ -198,7 +198,26 @@ def test_reports_share_the_counted_period(ws):
     assert len(counted) == 17
     assert all(sources[name] == {"period_counts.parquet"} for name in counted)
     # the others need more columns of the clean table, or its rows
-    assert sum("clean.parquet" in used for used in sources.values()) <= 43
+    assert sum("clean.parquet" in used for used in sources.values()) <= 36
+
+
+def test_reports_by_calendar_share_the_month_cube(ws):
+    for name in ("monthly_trend", "backlog_by_creation_month", "arrivals_by_weekday",
+                 "scale_evidence_monthly", "response_rate_by_month", "activity_on_both_clocks",
+                 "mart_trend_labels", "mart_scale_cutover"):
+        df = QUERIES[name](ws)
+        (file,) = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        assert file.endswith("stages/month_cube.parquet"), name
+        assert executed_plan(df).count("FileScan") == 1, name
+
+
+def test_the_month_cube_takes_one_scan(ws):
+    from queuelens.operators.months import month_cube
+
+    plan = executed_plan(month_cube(ws.tickets, ws.profile))
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 1
+    schema = re.search(r"ReadSchema: struct<([^>]*)", plan).group(1)
+    assert "ticket_id" not in schema and "agent_id" not in schema
 
 
 def test_reports_share_the_segment_table(ws):
