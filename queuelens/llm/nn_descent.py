@@ -191,18 +191,39 @@ LIST_SCHEMA = (
 )
 
 
-def _merged(lists: DataFrame, k: int) -> DataFrame:
-    """One list per node from rows (node, block, ids, dists, olds) of its old one and offers."""
+def _packed(lists: DataFrame, old: bool) -> DataFrame:
+    """Rows of one node each as rows of ``_merged``'s input."""
+    return lists.select(
+        "block",
+        F.array("node").alias("nodes"),
+        F.array(F.size("ids")).alias("sizes"),
+        "ids",
+        "dists",
+        F.lit(old).alias("old"),
+    )
+
+
+OFFER_SCHEMA = "block long, nodes array<long>, sizes array<int>, ids array<long>, dists array<double>"
+
+
+def _merged(offers: DataFrame, k: int) -> DataFrame:
+    """One list per node, the best of all its lists and offers.
+
+    Rows are (block, nodes, sizes, ids, dists, old): lists of several nodes of a block, one
+    after the other, each as long as ``sizes`` says.
+    """
 
     def merge(table: pa.Table) -> pa.Table:
-        column = {c: table.column(c).combine_chunks() for c in ("ids", "dists", "olds")}
-        sizes = np.diff(column["ids"].offsets)
-        own = table.column("node").to_numpy()
-        flat = {c: v.flatten().to_numpy(zero_copy_only=False) for c, v in column.items()}
+        flat = {
+            c: table.column(c).combine_chunks().flatten().to_numpy()
+            for c in ("nodes", "sizes", "ids", "dists")
+        }
+        entries = np.diff(table.column("ids").combine_chunks().offsets)
+        olds = np.repeat(table.column("old").to_numpy(zero_copy_only=False).astype(bool), entries)
         node, other, dist, old = _best(
-            np.repeat(own, sizes), flat["ids"], flat["dists"], flat["olds"].astype(bool), k
+            np.repeat(flat["nodes"], flat["sizes"]), flat["ids"], flat["dists"], olds, k
         )
-        names = np.unique(own)
+        names = np.unique(flat["nodes"])
         ends = np.searchsorted(node, names, side="right").astype(np.int32)
         offsets = np.concatenate(([0], ends)).astype(np.int32)
         full = np.diff(offsets) >= k
@@ -216,8 +237,7 @@ def _merged(lists: DataFrame, k: int) -> DataFrame:
             "kth": kth, "n_new": fresh[offsets[1:]] - fresh[offsets[:-1]],
         })
 
-    rows = lists.select("node", "block", "ids", "dists", "olds")
-    return rows.groupBy("block").applyInArrow(merge, LIST_SCHEMA)
+    return offers.groupBy("block").applyInArrow(merge, LIST_SCHEMA)
 
 
 def _edges(lists: DataFrame, blocks: DataFrame, reverse: int, turn: int) -> DataFrame:
@@ -235,15 +255,15 @@ def _edges(lists: DataFrame, blocks: DataFrame, reverse: int, turn: int) -> Data
 
 
 def _offers(edges: DataFrame, members: DataFrame, dim: int, k: int) -> DataFrame:
-    """(node, block, ids, dists): nearer neighbours found among neighbours of neighbours.
+    """Nearer neighbours found among neighbours of neighbours, packed by the block they go to.
 
     ``members`` has (at_block, node, block, vec, kth): the vectors that a block needs.
     """
 
     def local_join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([
-            ("node", pa.int64()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())),
-            ("dists", pa.list_(pa.float64())),
+            ("block", pa.int64()), ("nodes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
+            ("ids", pa.list_(pa.int64())), ("dists", pa.list_(pa.float64())),
         ])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
@@ -282,18 +302,22 @@ def _offers(edges: DataFrame, members: DataFrame, dim: int, k: int) -> DataFrame
             if sum(len(f[0]) for f in found) > 1 << 21:
                 found = [_kept(found, k)]
         first, second, dist = _kept(found, k) if found else (np.empty(0, int),) * 3
-        names, starts = np.unique(first, return_index=True)
-        offsets = np.append(starts, len(first)).astype(np.int32)
-        return pa.Table.from_arrays([
-            pa.array(ids[names], pa.int64()), pa.array(home[names], pa.int64()),
-            pa.ListArray.from_arrays(offsets, pa.array(ids[second], pa.int64())),
-            pa.ListArray.from_arrays(offsets, pa.array(dist, pa.float64())),
-        ], schema=schema)
+        order = np.argsort(home[first], kind="stable")  # by block, and by node in it
+        first, second, dist = first[order], second[order], dist[order]
+        blocks, starts = np.unique(home[first], return_index=True)
+        rows = []
+        for to, start, end in zip(blocks.tolist(), starts, [*starts[1:], len(first)]):
+            names, sizes = np.unique(first[start:end], return_counts=True)
+            rows.append({
+                "block": to, "nodes": ids[names], "sizes": sizes,
+                "ids": ids[second[start:end]], "dists": dist[start:end],
+            })
+        return pa.Table.from_pylist(rows, schema)
 
     return (
         edges.groupBy("block")
         .cogroup(members.groupBy("at_block"))
-        .applyInArrow(local_join, "node long, block long, ids array<long>, dists array<double>")
+        .applyInArrow(local_join, OFFER_SCHEMA)
     )
 
 
@@ -337,21 +361,16 @@ def build_index(
     trees = coded.select("node", "vec", F.posexplode("codes").alias("tree", "code"))
     groups = _cut(trees, ["tree", "code"], s.group, "part")
     first = _nearest_in_groups(groups, dim, max(2, s.neighbours // 2)).join(blocks, "node")
-    new = F.transform("ids", lambda _: F.lit(False)).alias("olds")
-    lists = stages.write(
-        _merged(first.select("node", "block", "ids", "dists", new), s.neighbours), "lists"
-    )
+    lists = stages.write(_merged(_packed(first, old=False), s.neighbours), "lists")
     for turn in range(s.rounds):
         edges = stages.write(_edges(lists, blocks, s.reverse, turn), "edges")
         kth = lists.select(F.col("node").alias("of"), "kth")
         need = edges.select(F.col("block").alias("at_block"), F.col("member").alias("of")).distinct()
         need = need.join(nodes.withColumnRenamed("node", "of"), "of").join(kth, "of")
         need = need.select("at_block", F.col("of").alias("node"), "block", "vec", "kth")
-        offers = _offers(edges, need, dim, s.neighbours)
-        offers = offers.select("node", "block", "ids", "dists", new)
-        used = F.transform("ids", lambda _: F.lit(True)).alias("olds")
-        before = lists.select("node", "block", "ids", "dists", used)
-        following = stages.write(_merged(before.union(offers), s.neighbours), "lists")
+        offers = _offers(edges, need, dim, s.neighbours).withColumn("old", F.lit(False))
+        both = _packed(lists, old=True).unionByName(offers)
+        following = stages.write(_merged(both, s.neighbours), "lists")
         stages.remove(lists)
         stages.remove(edges)
         lists = following
