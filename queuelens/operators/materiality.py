@@ -16,11 +16,11 @@ from queuelens.operators.clean import valid_resolution
 from queuelens.operators.metrics import pick, ticket_counts, ticket_values
 from queuelens.operators.quality import label_counts
 from queuelens.plans.shapes import (
-    grouped_histogram,
     side_by_side,
     tickets_in,
     total,
     weighted_quantile,
+    whole_table,
 )
 from queuelens.profile import TicketProfile
 
@@ -57,31 +57,29 @@ def mat_date_misparsed(
         parse_first(F.col("resolved_at"), [iso]).alias("resolved"),
     )
     hours = minutes_between(F.col("created"), F.col("resolved")) / F.lit(60.0)
-    wrong = grouped_histogram(
+    wrong = whole_table(
         read,
-        [],
         {"hours": F.when(hours >= 0, hours)},
         {
             "lost": F.col("slashed") & F.col("month_first").isNull(),
             "misread": F.col("slashed") & F.col("month_first").isNotNull(),
             "negative": hours < 0,
         },
-        [
-            total("lost").alias("rows_lost_entirely"),
-            total("misread").alias("rows_silently_misparsed"),
-            round_to(weighted_quantile("hours", 0.9), 2).alias("p90_if_unhandled"),
-            total("negative").alias("negatives_manufactured"),
-        ],
+        {"p90": ("hours", 0.9)},
+    ).select(
+        F.col("lost").alias("rows_lost_entirely"),
+        F.col("misread").alias("rows_silently_misparsed"),
+        round_to(F.col("p90"), 2).alias("p90_if_unhandled"),
+        F.col("negative").alias("negatives_manufactured"),
     )
-    right = grouped_histogram(
+    right = whole_table(
         tickets,
-        [],
         pick(ticket_values(), "hours"),
         {"negative": F.col("is_negative_duration")},
-        [
-            round_to(weighted_quantile("hours", 0.9), 2).alias("p90_correct"),
-            total("negative").alias("negatives_real"),
-        ],
+        {"p90": ("hours", 0.9)},
+    ).select(
+        round_to(F.col("p90"), 2).alias("p90_correct"),
+        F.col("negative").alias("negatives_real"),
     )
     return side_by_side(wrong, right).select(
         "rows_lost_entirely",
@@ -160,21 +158,23 @@ def mat_date_rows_dropped(
 
 def mat_mean_vs_median(tickets: DataFrame) -> DataFrame:
     """M4: what a few stale tickets do to the mean."""
-    hour_sum = F.sum(F.col("hours") * F.col("n"))
-    mean = ratio(hour_sum, F.sum(F.when(F.col("hours").isNotNull(), F.col("n"))))
-    median = weighted_quantile("hours", 0.5)
-    return grouped_histogram(
+    row = whole_table(
         tickets.filter(valid_resolution()),
-        [],
         {"hours": F.col("resolution_hours")},
         {"extreme": F.col("is_extreme_duration")},
+        {"median": ("hours", 0.5)},
         [
-            round_to(mean, 1).alias("mean_hours"),
-            round_to(median, 1).alias("median_hours"),
-            round_to(F.try_divide(mean, median), 1).alias("mean_is_x_times_median"),
-            total("extreme").alias("outliers_responsible"),
+            F.sum(F.col("hours") * F.col("n")).alias("hour_sum"),
+            F.sum(F.when(F.col("hours").isNotNull(), F.col("n"))).alias("timed"),
         ],
     )
+    mean, median = ratio(F.col("hour_sum"), F.col("timed")), F.col("median")
+    return row.select(
+        round_to(mean, 1).alias("mean_hours"),
+        round_to(median, 1).alias("median_hours"),
+        round_to(F.try_divide(mean, median), 1).alias("mean_is_x_times_median"),
+        F.col("extreme").alias("outliers_responsible"),
+    )
 
 
 def mat_missing_as_bad(tickets: DataFrame) -> DataFrame:
@@ -199,13 +199,11 @@ def mat_missing_as_bad(tickets: DataFrame) -> DataFrame:
 def mat_not_normalised(copies: DataFrame, tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     """M6: label values when free-form spellings are kept."""
     fragment = F.trim(F.col("category")) == profile.merged_category_fragment
-    before = copies.agg(
-        *label_counts("values_if_unhandled"),
-        F.coalesce(F.sum(F.when(fragment, F.col("copies"))), F.lit(0).cast("bigint")).alias(
-            "bill_rows_orphaned"
-        ),
+    orphaned = {"bill_rows_orphaned": F.when(fragment, F.col("copies"))}
+    row = side_by_side(
+        label_counts(copies, "values_if_unhandled", orphaned),
+        label_counts(tickets, "values_correct"),
     )
-    row = side_by_side(before, tickets.agg(*label_counts("values_correct")))
     return row.select(
         "category_values_if_unhandled",
         "category_values_correct",
@@ -217,17 +215,17 @@ def mat_not_normalised(copies: DataFrame, tickets: DataFrame, profile: TicketPro
 
 def mat_survivorship(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     """M7: speed when tickets that never closed are left out."""
-    return grouped_histogram(
+    row = whole_table(
         tickets,
-        [],
         pick(ticket_values(), "age"),
         pick(ticket_counts(profile), "fast", "resolved", "open"),
-        [
-            pct(total("fast"), total("resolved")).alias("pct_24h_if_unhandled"),
-            pct(total("fast"), total("n")).alias("pct_24h_correct"),
-            total("open").alias("tickets_hidden_by_the_filter"),
-            round_to(weighted_quantile("age", 0.5)).alias("median_age_of_the_hidden"),
-        ],
+        {"median": ("age", 0.5)},
+    )
+    return row.select(
+        pct(F.col("fast"), F.col("resolved")).alias("pct_24h_if_unhandled"),
+        pct(F.col("fast"), F.col("n")).alias("pct_24h_correct"),
+        F.col("open").alias("tickets_hidden_by_the_filter"),
+        round_to(F.col("median")).alias("median_age_of_the_hidden"),
     )
 
 

@@ -14,6 +14,7 @@ from queuelens.plans.shapes import (
     total,
     unpivot_row,
     weighted_quantile,
+    whole_table,
 )
 from queuelens.profile import TicketProfile
 
@@ -68,27 +69,27 @@ def headline_kpis(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     """K1: thirteen whole-period measures in one row."""
     counts = ticket_counts(profile)
     counts.pop("fresh")
-    everything = total("n")
-    return grouped_histogram(
+    row = whole_table(
         tickets,
-        [],
         ticket_values(),
         counts,
-        [
-            everything.alias("total_tickets"),
-            total("resolved").alias("resolved_tickets"),
-            total("open").alias("open_tickets"),
-            pct(total("open"), everything).alias("backlog_percentage"),
-            round_to(weighted_quantile("hours", 0.5), 2).alias("median_res_hours"),
-            round_to(weighted_quantile("hours", 0.9), 1).alias("p90_res_hours"),
-            pct(total("fast"), everything).alias("pct_all_resolved_24h"),
-            pct(total("fast"), total("resolved")).alias("pct_resolved_only_24h"),
-            round_to(weighted_quantile("age", 0.5)).alias("median_open_age_days"),
-            total("stale").alias("open_over_180d"),
-            total("answered").alias("surveyed_tickets"),
-            pct(total("answered"), total("resolved")).alias("response_rate_percentage"),
-            pct(total("low"), total("scored")).alias("low_score_percentage"),
-        ],
+        {"p50": ("hours", 0.5), "p90": ("hours", 0.9), "age_p50": ("age", 0.5)},
+    )
+    everything = F.col("n")
+    return row.select(
+        everything.alias("total_tickets"),
+        F.col("resolved").alias("resolved_tickets"),
+        F.col("open").alias("open_tickets"),
+        pct(F.col("open"), everything).alias("backlog_percentage"),
+        round_to(F.col("p50"), 2).alias("median_res_hours"),
+        round_to(F.col("p90"), 1).alias("p90_res_hours"),
+        pct(F.col("fast"), everything).alias("pct_all_resolved_24h"),
+        pct(F.col("fast"), F.col("resolved")).alias("pct_resolved_only_24h"),
+        round_to(F.col("age_p50")).alias("median_open_age_days"),
+        F.col("stale").alias("open_over_180d"),
+        F.col("answered").alias("surveyed_tickets"),
+        pct(F.col("answered"), F.col("resolved")).alias("response_rate_percentage"),
+        pct(F.col("low"), F.col("scored")).alias("low_score_percentage"),
     )
 
 
@@ -190,19 +191,20 @@ def backlog_age_by_priority(tickets: DataFrame, profile: TicketProfile) -> DataF
 
 def backlog_age_summary(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     """B2: size and age of the backlog in one row."""
-    return grouped_histogram(
+    row = whole_table(
         tickets,
-        [],
         ticket_values(),
         pick(ticket_counts(profile), "open", "stale", "fresh"),
-        [
-            total("open").alias("open_tickets"),
-            round_to(weighted_quantile("age", 0.5)).alias("median_age_days"),
-            F.max("age").alias("max_age_days"),
-            total("stale").alias("over_180_days"),
-            pct(total("stale"), total("open")).alias("over_180_percentage"),
-            total("fresh").alias("under_7_days"),
-            pct(total("fresh"), total("open")).alias("under_7_percentage"),
-            round_to(weighted_quantile("hours", 0.5), 1).alias("median_close_hours"),
-        ],
+        {"age_p50": ("age", 0.5), "p50": ("hours", 0.5)},
+        [F.max("age").alias("max_age_days")],
+    )
+    return row.select(
+        F.col("open").alias("open_tickets"),
+        round_to(F.col("age_p50")).alias("median_age_days"),
+        "max_age_days",
+        F.col("stale").alias("over_180_days"),
+        pct(F.col("stale"), F.col("open")).alias("over_180_percentage"),
+        F.col("fresh").alias("under_7_days"),
+        pct(F.col("fresh"), F.col("open")).alias("under_7_percentage"),
+        round_to(F.col("p50"), 1).alias("median_close_hours"),
     )

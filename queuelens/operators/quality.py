@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,11 +11,11 @@ from queuelens.functions.numeric import round_to
 from queuelens.operators.clean import valid_resolution
 from queuelens.operators.metrics import pick, ticket_counts, ticket_values
 from queuelens.plans.shapes import (
-    grouped_histogram,
+    group_by_each,
     side_by_side,
     total,
     unpivot_row,
-    weighted_quantile,
+    whole_table,
 )
 from queuelens.profile import TicketProfile
 from queuelens.sources.files import BROKEN_COLUMN
@@ -61,15 +61,37 @@ def qa_row_counts(copies: DataFrame, tickets: DataFrame) -> DataFrame:
     )
 
 
-def label_counts(suffix: str) -> list[Column]:
-    return [F.countDistinct(name).alias(f"{name}_{suffix}") for name in ("channel", "category")]
+LABELS = ("channel", "category")
+
+
+def label_counts(df: DataFrame, suffix: str, sums: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row: distinct channels and categories, and the ``sums`` of columns over all rows.
+
+    Values are counted per column first, by grouping sets, and then the values: two plain
+    aggregates, of which the second sees one row per value.
+    """
+    sums = sums or {}
+    values = group_by_each(
+        df,
+        {name: F.col(name) for name in LABELS},
+        [F.count("*").alias("n"), *[F.sum(column).alias(name) for name, column in sums.items()]],
+    )
+    known, once = F.col("segment").isNotNull(), F.col("dimension") == LABELS[0]
+    return values.agg(
+        *[
+            F.count_if(known & (F.col("dimension") == name)).alias(f"{name}_{suffix}")
+            for name in LABELS
+        ],
+        *[
+            F.coalesce(F.sum(F.when(once, F.col(name))), F.lit(0).cast("bigint")).alias(name)
+            for name in sums
+        ],
+    )
 
 
 def qa_distinct_before_after(distinct_rows: DataFrame, tickets: DataFrame) -> DataFrame:
     """Q2: distinct channel and category values before and after."""
-    return side_by_side(
-        distinct_rows.agg(*label_counts("before")), tickets.agg(*label_counts("after"))
-    )
+    return side_by_side(label_counts(distinct_rows, "before"), label_counts(tickets, "after"))
 
 
 def qa_value_counts(tickets: DataFrame, column: str) -> DataFrame:
@@ -110,31 +132,33 @@ def qa_unparsed_created(tickets: DataFrame) -> DataFrame:
 def qa_resolution_summary(tickets: DataFrame) -> DataFrame:
     """Q6: durations of ordinary resolutions (neither negative nor extreme)."""
     ordinary = tickets.filter(valid_resolution() & ~F.col("is_extreme_duration"))
-    return grouped_histogram(
+    row = whole_table(
         ordinary,
-        [],
         {"hours": F.col("resolution_hours")},
         {},
-        [
-            round_to(weighted_quantile("hours", 0.5), 2).alias("p50"),
-            round_to(weighted_quantile("hours", 0.9), 1).alias("p90"),
-            round_to(F.min("hours"), 2).alias("min_h"),
-            round_to(F.max("hours"), 1).alias("max_h"),
-        ],
+        {"p50": ("hours", 0.5), "p90": ("hours", 0.9)},
+        [F.min("hours").alias("least"), F.max("hours").alias("most")],
+    )
+    return row.select(
+        round_to(F.col("p50"), 2).alias("p50"),
+        round_to(F.col("p90"), 1).alias("p90"),
+        round_to(F.col("least"), 2).alias("min_h"),
+        round_to(F.col("most"), 1).alias("max_h"),
     )
 
 
 def qa_open_age_summary(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
     """Q7: size and age of the backlog at the extract date."""
-    return grouped_histogram(
+    row = whole_table(
         tickets.filter(~F.col("is_resolved")),
-        [],
         {"age": ticket_values()["age"]},
         pick(ticket_counts(profile), "stale"),
-        [
-            total("n").alias("open_tickets"),
-            round_to(weighted_quantile("age", 0.5)).alias("median_age_days"),
-            F.max("age").alias("max_age_days"),
-            total("stale").alias("older_than_180d"),
-        ],
+        {"p50": ("age", 0.5)},
+        [F.max("age").alias("max_age_days")],
+    )
+    return row.select(
+        F.col("n").alias("open_tickets"),
+        round_to(F.col("p50")).alias("median_age_days"),
+        "max_age_days",
+        F.col("stale").alias("older_than_180d"),
     )

@@ -11,12 +11,21 @@ from queuelens.functions.numeric import pct, ratio, round_to, safe_corr, severit
 from queuelens.operators.clean import valid_resolution
 from queuelens.operators.metrics import pick, ticket_counts, ticket_values
 from queuelens.operators.months import by_month
-from queuelens.plans.shapes import group_by_each, grouped_histogram, total, weighted_quantile
+from queuelens.plans.shapes import (
+    group_by_each,
+    grouped_histogram,
+    select_quantiles,
+    side_by_side,
+    total,
+    weighted_quantile,
+)
 from queuelens.profile import TicketProfile
 
 SEGMENT_DIMENSIONS = ("category", "channel", "brand", "priority", "team")
 UNIFORMITY_DIMENSIONS = ("category", "channel", "brand", "priority")
 ALL_TICKETS = "ALL"
+# Agents are ranked by rate inside buckets of so many percentage points.
+POINTS_PER_RATE_BUCKET = 0.25
 
 
 def _hours_only() -> dict[str, Column]:
@@ -129,13 +138,19 @@ def agent_low_score_spread(tickets: DataFrame, profile: TicketProfile) -> DataFr
         .groupBy("rate")
         .agg(F.count("*").alias("n"))
     )
-    return rates.agg(
-        total("n").alias("agents"),
-        round_to(F.min("rate"), 1).alias("min_percentage"),
-        round_to(weighted_quantile("rate", 0.25), 1).alias("q25_percentage"),
-        round_to(weighted_quantile("rate", 0.5), 1).alias("median_percentage"),
-        round_to(weighted_quantile("rate", 0.75), 1).alias("q75_percentage"),
-        round_to(F.max("rate"), 1).alias("max_percentage"),
+    spread = rates.agg(
+        total("n").alias("agents"), F.min("rate").alias("least"), F.max("rate").alias("most")
+    )
+    quartiles = select_quantiles(
+        rates, "rate", {"q25": 0.25, "median": 0.5, "q75": 0.75}, POINTS_PER_RATE_BUCKET
+    )
+    return side_by_side(spread, quartiles).select(
+        "agents",
+        round_to(F.col("least"), 1).alias("min_percentage"),
+        round_to(F.col("q25"), 1).alias("q25_percentage"),
+        round_to(F.col("median"), 1).alias("median_percentage"),
+        round_to(F.col("q75"), 1).alias("q75_percentage"),
+        round_to(F.col("most"), 1).alias("max_percentage"),
     )
 
 

@@ -165,8 +165,10 @@ def cuts(ws: Workspace) -> dict[str, DataFrame]:
 
 def _write_cuts(ws: Workspace) -> DataFrame:
     """Every filled cell of the saved reports, as read back from the files."""
-    written = write_cuts(cuts(ws), f"{ws.folder}/tables")
-    return cells(ws.spark, {slug(title): path for title, path in written.items()})
+    plans = cuts(ws)
+    written = write_cuts(plans, f"{ws.folder}/tables")
+    names = {slug(title): plan.columns for title, plan in plans.items()}
+    return cells(ws.spark, {slug(title): path for title, path in written.items()}, names)
 
 
 # Queries by the step of an analysis they belong to.

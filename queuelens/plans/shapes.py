@@ -1,6 +1,7 @@
 """Plan shapes several operators share.
 
-``grouped_histogram``  exact quantiles next to counts without a wide buffer
+``grouped_histogram``  exact quantiles per group next to counts
+``whole_table``        exact quantiles of all rows next to counts, in no single buffer
 ``group_by_each``      one scan and one shuffle for aggregates over many dimensions
 ``side_by_side``       one row out of several one-row frames, without a join
 ``unpivot_row``        a one-row frame as labelled rows
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,6 +50,84 @@ def grouped_histogram(
     return level_one.groupBy(*keys).agg(*finals)
 
 
+# Width of the buckets of values in which ranks are looked for: hours in days.
+BUCKET_WIDTH = 24.0
+
+
+def select_quantiles(
+    counts: DataFrame, value: str, wanted: Mapping[str, float], width: float = BUCKET_WIDTH
+) -> DataFrame:
+    """One row of exact interpolated quantiles of (value, n) rows, by distributed selection.
+
+    Values fall into buckets of ``width``.  One row per bucket tells which bucket holds a rank;
+    inside the bucket, a running count finds the value.  So no task sees all distinct values,
+    only those of a bucket, or one row per bucket.  NULL values do not count; without any
+    value the quantiles are NULL.
+    """
+    known = counts.filter(F.col(value).isNotNull()).groupBy(value).agg(F.sum("n").alias("n"))
+    bucketed = known.withColumn("bucket", F.floor(F.col(value) / F.lit(float(width))))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        bucketed.groupBy("bucket")
+        .agg(F.sum("n").alias("in_bucket"))
+        .select(
+            F.col("bucket").alias("offset_of"),
+            F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("offset"),
+            F.sum("in_bucket").over(Window.partitionBy()).alias("total"),
+        )
+    )
+    upto = F.sum("n").over(Window.partitionBy("bucket").orderBy(value))
+    # the null-safe match lets both sides read the same shuffle
+    placed = bucketed.withColumn("upto", upto).join(
+        offsets, F.col("bucket").eqNullSafe(F.col("offset_of"))
+    )
+    last = F.col("offset") + F.col("upto") - 1
+    first = last - F.col("n") + 1
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((first <= rank) & (rank <= last), F.col(value).cast("double")))
+
+    found, finals = [F.max("total").alias("total")], []
+    for name, q in wanted.items():
+        position = F.lit(float(q)) * (F.col("total") - 1)
+        found += [at(F.floor(position)).alias(f"{name}_lo"), at(F.ceil(position)).alias(f"{name}_hi")]
+        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        between = (F.ceil(position) - position) * lo + (position - F.floor(position)) * hi
+        finals.append(F.when(lo == hi, lo).otherwise(between).alias(name))
+    return placed.agg(*found).select(*finals)
+
+
+def whole_table(
+    df: DataFrame,
+    values: Mapping[str, Column],
+    counts: Mapping[str, Column],
+    quantiles: Mapping[str, tuple[str, float]],
+    extras: Sequence[Column] = (),
+) -> DataFrame:
+    """One row over all of ``df``: ``n``, the ``counts``, ``extras`` and exact ``quantiles``.
+
+    Like :func:`grouped_histogram` without keys, but ``quantiles`` (name to value and q) are
+    selected by :func:`select_quantiles`, so no buffer holds all distinct values.
+    ``extras`` are aggregates over (values, n, counts) rows.
+    """
+    weight = _weight(df)
+    staged = df.select(
+        *[v.alias(k) for k, v in values.items()], weight.alias("n"), *_flags(counts, weight)
+    )
+    sums = [F.sum("n").alias("n"), *[F.sum(name).alias(name) for name in counts]]
+    level_one = staged.groupBy(*values).agg(*sums)
+    frames = [
+        level_one.agg(
+            total("n").alias("n"), *[total(name).alias(name) for name in counts], *extras
+        )
+    ]
+    for value in values:
+        wanted = {name: q for name, (of, q) in quantiles.items() if of == value}
+        if wanted:
+            frames.append(select_quantiles(level_one, value, wanted))
+    return side_by_side(*frames)
+
+
 def group_by_each(
     df: DataFrame,
     dimensions: Mapping[str, Column],

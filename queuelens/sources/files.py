@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from queuelens.functions.timecols import parse_date
 from queuelens.profile import RAW_AGENT_COLUMNS, RAW_TICKET_COLUMNS, TicketProfile
 
-CONCURRENT_WRITES = 8
+CONCURRENT_WRITES = 12
 
 CLEAN_SCHEMA = T.StructType(
     [
@@ -112,10 +112,13 @@ def read_clean_tickets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CLEAN_SCHEMA).parquet(path)
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """What ``write_text_csv`` wrote, every cell as text."""
+def read_text_csv(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> DataFrame:
+    """What ``write_text_csv`` wrote, every cell as text; known ``columns`` save a look at it."""
+    reader = spark.read
+    if columns:
+        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     return (
-        spark.read.option("header", True)
+        reader.option("header", True)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
@@ -183,15 +186,19 @@ def write_cuts(
     return targets
 
 
-def cells(spark: SparkSession, targets: Mapping[str, str]) -> DataFrame:
+def cells(
+    spark: SparkSession, targets: Mapping[str, str], columns: Mapping[str, Sequence[str]]
+) -> DataFrame:
     """Written CSV folders as (cut, row, column, value, number), one row per filled cell.
 
+    ``columns`` are those of each cut, so that its file is not opened to find them.
+
     ``row`` names the row by its cells that are no numbers, in the order of their columns'
     names; a cell that is a number is in ``number`` and not in ``value``.
     """
     frames = []
     for cut, path in targets.items():
-        table = read_text_csv(spark, path)
+        table = read_text_csv(spark, path, columns[cut])
         names = sorted(table.columns)
         text = {c: F.when(F.col(f"`{c}`").try_cast("double").isNull(), F.col(f"`{c}`")) for c in names}
         entries = F.array(

@@ -178,8 +178,41 @@ def test_chi2_scans_tickets_once(ws):
 
 
 def test_labels_before_and_after_scan_each_table_once(ws):
-    plan = executed_plan(QUERIES["mat_not_normalised"](ws))
-    assert plan.count("FileScan parquet") == 2
+    for name in ("qa_distinct_before_after", "mat_not_normalised"):
+        assert executed_plan(QUERIES[name](ws)).count("FileScan parquet") == 2
+
+
+GLOBAL_QUANTILES = ("headline_kpis", "backlog_age_summary", "qa_resolution_summary",
+                    "qa_open_age_summary", "mat_date_misparsed", "mat_mean_vs_median",
+                    "mat_survivorship", "agent_low_score_spread")
+
+
+@pytest.mark.parametrize("name", GLOBAL_QUANTILES)
+def test_quantiles_of_all_rows_gather_no_values(ws, name):
+    """Ranks are found in buckets of values; there is no percentile buffer."""
+    plan = executed_plan(QUERIES[name](ws))
+    assert "percentile" not in plan and "Window" in plan
+
+
+def test_labels_are_counted_in_two_levels(ws):
+    for name in ("qa_distinct_before_after", "mat_not_normalised"):
+        plan = executed_plan(QUERIES[name](ws))
+        assert "distinct" not in plan.replace("count(distinct", "") and "count(distinct" not in plan
+        assert plan.count("Expand") == 2, name
+
+
+def test_cuts_are_read_back_without_a_look_at_each_file(ws):
+    """Writing takes jobs; the plan over the 24 files takes none."""
+    from queuelens.plans.registry import cuts
+    from queuelens.sources.files import cells, slug, write_cuts
+
+    plans = {title: plan for title, plan in cuts(ws).items() if title.startswith("By ")}
+    written = write_cuts(plans, f"{ws.folder}/some")
+    tracker = ws.spark.sparkContext.statusTracker()
+    before = max(tracker.getJobIdsForGroup(None))
+    names = {slug(t): p.columns for t, p in plans.items()}
+    df = cells(ws.spark, {slug(t): path for t, path in written.items()}, names)
+    assert max(tracker.getJobIdsForGroup(None)) == before and df.count() > 0
 
 
 def test_slices_read_the_segment_table(ws):

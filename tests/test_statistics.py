@@ -123,3 +123,24 @@ def test_cell_against_total(spark):
     assert worst["z"] == pytest.approx(z, abs=1e-4)
     assert worst["p_value"] == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=1e-4)
     assert worst["bonferroni_threshold"] == 0.025 and worst["survives_correction"] is True
+
+
+@pytest.mark.parametrize("width", [0.5, 24.0, 1e9])
+def test_selected_quantiles_are_exact(spark, width):
+    """Against the built-in percentile, with ties, gaps, negatives, NULL and few values."""
+    import random
+
+    from queuelens.plans.shapes import select_quantiles, weighted_quantile
+
+    rng = random.Random(6)
+    cases = [[(None, 3)], [(5.0, 1)], [(5.0, 1), (7.0, 1)], []]
+    cases += [
+        [(rng.choice([None, rng.randrange(-90, 900) / 7, 3.0]), rng.randrange(1, 9)) for _ in range(n)]
+        for n in (3, 40, 300)
+    ]
+    qs = {"low": 0.0, "a": 0.1, "half": 0.5, "b": 0.75, "high": 1.0}
+    for rows in cases:
+        df = spark.createDataFrame(rows, "v double, n long")
+        got = select_quantiles(df, "v", qs, width).first()
+        expected = df.agg(*[weighted_quantile("v", q).alias(name) for name, q in qs.items()]).first()
+        assert got.asDict() == expected.asDict()
