@@ -41,12 +41,18 @@ def build_session(
 def shared_dir(spark: SparkSession) -> str:
     """Folder of this application below a place every executor can reach.
 
-    The place is ``spark.checkpoint.dir``; where that is unset, a folder inside
-    ``spark.sql.warehouse.dir``, which Spark's own tables already require to be
-    shared.  The rule is the same for every master.
+    The place is ``spark.checkpoint.dir``.  On a cluster it has to be set: any default would
+    be a folder of one machine.  With a local master, where the driver's folders are the
+    executors' too, it may be unset; a folder in ``spark.sql.warehouse.dir`` serves then.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
+    if not root:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(
+                f"spark.checkpoint.dir is not set; master {master} needs a folder that all machines share"
+            )
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
     return f"{root.rstrip('/')}/queuelens-{spark.sparkContext.applicationId}"
 
 

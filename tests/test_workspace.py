@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from conftest import SMALL_TABLES
 
 from queuelens.plans.workspace import star_schema_workspace
@@ -19,15 +21,19 @@ class Conf:
 class Session:
     """What ``shared_dir`` asks a session for."""
 
-    def __init__(self, **settings):
+    def __init__(self, master="local[4]", **settings):
         self.conf = Conf(**settings)
-        self.sparkContext = type("Context", (), {"applicationId": "app-1"})
+        self.sparkContext = type("Context", (), {"applicationId": "app-1", "master": master})
 
 
-def test_one_rule_for_the_shared_folder():
+def test_the_shared_folder():
     both = Session(spark_checkpoint_dir="store:/shared/", spark_sql_warehouse_dir="file:/w")
     assert shared_dir(both) == "store:/shared/queuelens-app-1"
     assert shared_dir(Session(spark_sql_warehouse_dir="file:/w/")) == "file:/w/stages/queuelens-app-1"
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(Session(master, spark_sql_warehouse_dir="file:/w"))
+        assert shared_dir(Session(master, spark_checkpoint_dir="s:/c")) == "s:/c/queuelens-app-1"
 
 
 def copy_tables(spark, folder, orders):
