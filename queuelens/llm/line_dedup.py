@@ -18,10 +18,10 @@ do not depend on an order, and no leaf has to fit in one task.
 
 Plan
 ----
-1. One scan writes a row of hashes for each line.  Documents per leaf and per line come
-   from distinct (hash, document) pairs, so a line that stands in a third of all
-   documents is counted in many tasks.
-2. Only leaves that recur and hold lines which do not recur as they are need their tokens:
+1. One scan writes a row of hashes for each line, with the rank of its document.  Documents
+   per line come from distinct (hash, document) pairs, so a line that stands in a third of
+   all documents is counted in many tasks; leaves are summed up from these counts.
+2. Only leaves that can recur and hold lines which do not recur as they are need their tokens:
    those lines, and one line for each recurring one, are read again.
 3. Documents meet their dropped line numbers; the texts are shuffled once for this.
 
@@ -83,11 +83,12 @@ def leaf(tokens: list[str], depth: int) -> int:
 def _lines(depth: int, least_tokens: int, least_fixed: float, long_tokens: int | None):
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = RowBatches(
-            {"row": pa.int64(), "line": pa.int32(), "leaf": pa.int64(), "form": pa.int64()}
-            | {"same": pa.int64()}
+            {"row": pa.int64(), "rank": pa.int64(), "line": pa.int32(), "leaf": pa.int64()}
+            | {"form": pa.int64(), "same": pa.int64()}
         )
         for batch in batches:
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
+            rows, ranks = (batch.column(c).to_pylist() for c in ("row", "rank"))
+            for row, rank, text in zip(rows, ranks, batch.column("text")):
                 for number, line in enumerate(text.as_py().split("\n")):
                     tokens = masked(line, least_fixed)
                     short = len(tokens) < least_tokens
@@ -95,9 +96,10 @@ def _lines(depth: int, least_tokens: int, least_fixed: float, long_tokens: int |
                     if tokens and long_tokens is not None and (short or len(tokens) >= long_tokens):
                         same = _hash(line.split())
                     if not short:
-                        yield from out.add((row, number, leaf(tokens, depth), _hash(tokens), same))
+                        own = leaf(tokens, depth)
+                        yield from out.add((row, rank, number, own, _hash(tokens), same))
                     elif same is not None:
-                        yield from out.add((row, number, None, None, same))
+                        yield from out.add((row, rank, number, None, None, same))
         yield from out.rest()
 
     return of_partition
@@ -108,6 +110,7 @@ def _tokens(depth: int, least_fixed: float):
         out = RowBatches(
             {
                 "row": pa.int64(),
+                "rank": pa.int64(),
                 "line": pa.int32(),
                 "leaf": pa.int64(),
                 "length": pa.int32(),
@@ -117,8 +120,8 @@ def _tokens(depth: int, least_fixed: float):
             }
         )
         for batch in batches:
-            texts, wanted = batch.column("text"), batch.column("lines").to_pylist()
-            for row, text, lines in zip(batch.column("row").to_pylist(), texts, wanted):
+            columns = (batch.column(c).to_pylist() for c in ("row", "rank", "lines"))
+            for row, rank, lines, text in zip(*columns, batch.column("text")):
                 split = text.as_py().split("\n")
                 for number, stands in ((x["line"], x["stands"]) for x in lines):
                     tokens = masked(split[number], least_fixed)
@@ -126,7 +129,9 @@ def _tokens(depth: int, least_fixed: float):
                     for place, token in enumerate(tokens):
                         if token != VARIABLE:
                             at = _hash([token], place)
-                            yield from out.add((row, number, own, len(tokens), place, at, stands))
+                            yield from out.add(
+                                (row, rank, number, own, len(tokens), place, at, stands)
+                            )
         yield from out.rest()
 
     return of_partition
@@ -163,23 +168,22 @@ def recurring_lines(
     small_batches(docs.sparkSession)
     stages = Stages(docs.sparkSession, "line-dedup")
     base = _identified(docs, id_col, text_col)
-    texts = base.select("row", "text")
     written = stages.write(
-        texts.mapInArrow(
+        base.mapInArrow(
             _lines(depth, least_tokens, least_fixed, long_tokens if verbatim else None),
-            "row long, line int, leaf long, form long, same long",
+            "row long, rank long, line int, leaf long, form long, same long",
         ),
         "lines",
     )
-    lines = written.where("leaf is not null").select("row", "line", "leaf", "form")
+    lines = written.where("leaf is not null").select("row", "rank", "line", "leaf", "form")
     forms = stages.write(_in_documents(lines, "leaf", "form"), "forms")
-    recurring_leaf = _in_documents(lines, "leaf").where(F.col("docs") >= least_docs).select("leaf")
-    # leaves that recur and hold lines which do not recur as they are
+    # leaves that hold lines which do not recur as they are, and lines enough to recur: documents
+    # are counted once per form here, so no leaf with enough documents is missed
     open_leaf = stages.write(
-        forms.where(F.col("docs") < least_docs)
-        .join(recurring_leaf, "leaf", "left_semi")
-        .select("leaf")
-        .distinct(),
+        forms.groupBy("leaf")
+        .agg(F.sum("docs").alias("holders"), F.min("docs").alias("rarest"))
+        .where((F.col("holders") >= least_docs) & (F.col("rarest") < least_docs))
+        .select("leaf"),
         "open-leaves",
     )
     in_open = lines.join(open_leaf, "leaf", "left_semi").join(forms, ["leaf", "form"])
@@ -202,9 +206,9 @@ def recurring_lines(
     )
     # hashing the line numbers spares sorting the texts
     tokens = stages.write(
-        texts.join(wanted.hint("shuffle_hash"), "row").mapInArrow(
+        base.join(wanted.hint("shuffle_hash"), "row").mapInArrow(
             _tokens(depth, least_fixed),
-            "row long, line int, leaf long, length int, place int, token long, stands boolean",
+            "row long, rank long, line int, leaf long, length int, place int, token long, stands boolean",
         ),
         "tokens",
     )
@@ -220,21 +224,21 @@ def recurring_lines(
     general = (
         tokens.where(~F.col("stands"))
         .join(supported, at, "left_semi")
-        .groupBy("row", "line", "leaf", "length")
+        .groupBy("row", "rank", "line", "leaf", "length")
         # a set: equal rows of the table give the same tokens
         .agg(F.sort_array(F.collect_set(F.struct("place", "token"))).alias("fixed"))
         .where(F.size("fixed") >= F.col("length") * F.lit(least_fixed))
-        .select("row", "line", "leaf", F.xxhash64("fixed").alias("template"))
+        .select("row", "rank", "line", "leaf", F.xxhash64("fixed").alias("template"))
     )
     exact = lines.join(
         forms.where(F.col("docs") >= least_docs).select("leaf", "form"), ["leaf", "form"]
-    ).select("row", "line", "leaf", F.col("form").alias("template"))
+    ).select("row", "rank", "line", "leaf", F.col("form").alias("template"))
     found = exact.withColumn("kind", F.lit(0)).union(general.withColumn("kind", F.lit(1)))
     # kind 2: short lines as they are; kind 3: long ones
     least = F.when(F.col("kind") == 3, F.lit(2)).otherwise(F.lit(least_docs))
     if verbatim:
         as_is = written.where("same is not null").select(
-            "row", "line", "same", F.when(F.col("leaf").isNull(), 2).otherwise(3).alias("kind")
+            "row", "rank", "line", "same", F.when(F.col("leaf").isNull(), 2).otherwise(3).alias("kind")
         )
         repeated = stages.write(
             _in_documents(as_is, "kind", "same").where(F.col("docs") >= least).select("kind", "same"),
@@ -242,11 +246,10 @@ def recurring_lines(
         )
         found = found.union(
             as_is.join(repeated, ["kind", "same"]).select(
-                "row", "line", F.lit(0).cast("long"), "same", "kind"
+                "row", "rank", "line", F.lit(0).cast("long"), "same", "kind"
             )
         )
-    ranks = base.select("row", "rank").distinct()
-    matched = stages.write(found.join(ranks, "row"), "matched")
+    matched = stages.write(found, "matched")
     template = ["kind", "leaf", "template"]
     for table in (written, forms, open_leaf, tokens):
         stages.remove(table)
@@ -268,6 +271,12 @@ def drop_lines(
 ) -> DataFrame:
     """``docs`` with recurring lines dropped from the text, and the numbers of lines before and
     of lines dropped as columns n_lines and n_dropped; columns of these names are replaced."""
+    return _without_dropped(docs, id_col, text_col, "n_lines", "n_dropped", options)
+
+
+def _without_dropped(
+    docs: DataFrame, id_col: str, text_col: str, n_lines: str, n_dropped: str, options: dict
+) -> DataFrame:
     dropped = recurring_lines(docs, id_col=id_col, text_col=text_col, **options)
     row, key, gone = (free_name(docs, c) for c in ("_row", "_key", "_lines"))
     per_row = dropped.groupBy(F.col("row").alias(row)).agg(F.collect_list("line").alias(gone))
@@ -277,13 +286,14 @@ def drop_lines(
     split = F.split(text, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
     cut = F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n")
-    feeds = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    # a line feed is one byte, and bytes are known without counting characters
+    feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     count = F.when(text == "", F.lit(0)).otherwise(feeds + 1).cast("long")
     found = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")
     return joined.withColumns(
         {
-            "n_lines": count,
-            "n_dropped": found,
+            n_lines: count,
+            n_dropped: found,
             text_col: F.when(F.col(gone).isNotNull(), cut).otherwise(F.col(text_col)),
         }
     ).drop(key, row, gone)
@@ -298,12 +308,10 @@ def without_recurring_lines(
 ) -> DataFrame:
     """``docs`` in its own columns, with recurring lines dropped, without the documents that
     lose all their text this way; a column ``length_col`` follows the text."""
-    named = [free_name(docs, c) for c in ("n_lines", "n_dropped")]
-    cut = drop_lines(docs, id_col, text_col, **options)
-    if named != ["n_lines", "n_dropped"]:
-        raise ValueError("documents have columns named n_lines or n_dropped; rename them before")
+    n_lines, n_dropped = (free_name(docs, c) for c in ("n_lines", "n_dropped"))
+    cut = _without_dropped(docs, id_col, text_col, n_lines, n_dropped, options)
+    some = F.col(n_dropped) > 0
     if length_col in docs.columns:
-        length = F.when(F.col("n_dropped") > 0, F.length(text_col)).otherwise(F.col(length_col))
+        length = F.when(some, F.length(text_col)).otherwise(F.col(length_col))
         cut = cut.withColumn(length_col, length.cast(docs.schema[length_col].dataType))
-    emptied = (F.col("n_dropped") > 0) & (F.trim(text_col) == "")
-    return cut.where(~emptied).select(*docs.columns)
+    return cut.where(~(some & (F.trim(text_col) == ""))).select(*docs.columns)

@@ -62,7 +62,9 @@ def jaccard_groups(docs, percent=75):
     return {d: (len(s), root(d)) for d, s in sets.items()}
 
 
-def kept_lines(docs, masked, depth=3, least_docs=3, least_tokens=4, least_fixed=0.7):
+def kept_lines(
+    docs, masked, depth=3, least_docs=3, least_tokens=4, least_fixed=0.7, verbatim=False, long_tokens=50
+):
     """{(doc_id, text): remaining text} of (doc_id, text) rows."""
     rows = sorted({(d, t or "") for d, t in docs}, key=lambda d: (id_order(d[0]), d[1]))
     lines, leaves = {}, defaultdict(lambda: defaultdict(set))
@@ -92,12 +94,25 @@ def kept_lines(docs, masked, depth=3, least_docs=3, least_tokens=4, least_fixed=
     for (place, _), form in lines.items():
         if form in template:
             where[template[form]].add(place)
+    as_is = defaultdict(set)
+    for place, (_, text) in enumerate(rows):
+        for line in text.split("\n"):
+            as_is[tuple(line.split())].add(place)
+
+    def recurs(words, place):
+        """Whether a short or long line stands in an earlier document and in enough of them."""
+        if not verbatim or not words or least_tokens <= len(words) < long_tokens:
+            return False
+        least = 2 if len(words) >= long_tokens else least_docs
+        return len(as_is[words]) >= least and place != min(as_is[words])
+
     out = {}
     for place, (doc_id, text) in enumerate(rows):
         kept = []
         for number, line in enumerate(text.split("\n")):
             own = where.get(template.get(lines.get((place, number))), ())
-            if len(own) < least_docs or place == min(own):
+            dropped = len(own) >= least_docs and place != min(own)
+            if not dropped and not recurs(tuple(line.split()), place):
                 kept.append(line)
         out[doc_id, text] = "\n".join(kept)
     return out
