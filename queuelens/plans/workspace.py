@@ -70,7 +70,8 @@ class Workspace:
                 plan.write.mode("overwrite").parquet(path)
                 self.use_written(name, path, plan.schema)
             path, schema = self._written[name]
-        return self.spark.read.schema(schema).parquet(path)
+        # a table laid out in folders has a column of its own for them
+        return self.spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
     def close(self) -> None:
         """Remove the written stages; results read from them are no longer usable."""

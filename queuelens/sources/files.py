@@ -108,8 +108,24 @@ def read_agents(spark: SparkSession, path: str, profile: TicketProfile) -> DataF
     return agents.withColumn("hire_date", parse_date(F.col("hire_date"), profile.date_format))
 
 
-def read_clean_tickets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CLEAN_SCHEMA).parquet(path)
+# Month of creation as yyyy-MM, by which the clean table is laid out; NULL where undated.
+MONTH_COLUMN = "created_month"
+
+
+def read_clean_tickets(
+    spark: SparkSession, path: str, first: str | None = None, last: str | None = None
+) -> DataFrame:
+    """The clean table; ``first`` and ``last`` (yyyy-MM, inclusive) bound the month of creation.
+
+    A bound leaves out whole folders, and undated tickets with them.
+    """
+    schema = T.StructType([*CLEAN_SCHEMA.fields, T.StructField(MONTH_COLUMN, T.StringType())])
+    rows = spark.read.schema(schema).parquet(path)
+    if first is not None:
+        rows = rows.filter(F.col(MONTH_COLUMN) >= first)
+    if last is not None:
+        rows = rows.filter(F.col(MONTH_COLUMN) <= last)
+    return rows.select(*CLEAN_SCHEMA.fieldNames())
 
 
 def read_text_csv(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> DataFrame:
@@ -154,11 +170,14 @@ def write_text_csv(df: DataFrame, path: str) -> None:
 def write_clean(clean: DataFrame, path: str) -> dict[str, str]:
     """C14: the clean table as Parquet and CSV folders below ``path``.
 
-    The CSV is written from the Parquet just produced, so the cleaning plan runs
+    The Parquet is laid out by month of creation.  Rows are rebalanced by month, so that a month
+    is in few files, while adaptive execution splits one that would overfill a task.  The CSV is written from the Parquet just produced, so the cleaning plan runs
     once.
     """
     targets = {"parquet": f"{path}/tickets_clean.parquet", "csv": f"{path}/tickets_clean.csv"}
-    clean.write.mode("overwrite").parquet(targets["parquet"])
+    month = F.date_format("created_at", "yyyy-MM")
+    laid = clean.withColumn(MONTH_COLUMN, month).hint("rebalance", F.col(MONTH_COLUMN))
+    laid.write.mode("overwrite").partitionBy(MONTH_COLUMN).parquet(targets["parquet"])
     write_text_csv(read_clean_tickets(clean.sparkSession, targets["parquet"]), targets["csv"])
     return targets
 

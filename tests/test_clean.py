@@ -267,6 +267,31 @@ def test_written_clean_table_reads_back(spark, ws, tmp_path):
     assert as_text.exceptAll(ws.tickets).count() == 0 and as_text.count() == back.count()
 
 
+def test_clean_table_is_laid_out_by_month(spark, ws, tmp_path):
+    """A read bounded by month opens the folders of those months; a hot month is split."""
+    hot = ws.tickets.where("created_at is not null").limit(1).crossJoin(spark.range(20_000)).drop("id")
+    hot = hot.withColumn("ticket_id", F.uuid())
+    rows = ws.tickets.union(hot)
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advisory)
+    spark.conf.set(advisory, "200k")
+    try:
+        path = write_clean(rows, str(tmp_path))["parquet"]
+    finally:
+        spark.conf.set(advisory, before)
+    hot_month = hot.select(F.date_format("created_at", "yyyy-MM")).first()[0]
+    folders = {p.name.split("=")[1]: len(list(p.glob("*.parquet"))) for p in (tmp_path / "tickets_clean.parquet").glob("created_month=*")}
+    assert "__HIVE_DEFAULT_PARTITION__" in folders and folders[hot_month] > 1
+    assert sum(n for m, n in folders.items() if m != hot_month) <= 2 * len(folders)
+    months = sorted(m for m in folders if m[0] != "_")
+    some = read_clean_tickets(spark, path, months[3], months[4])
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_month" in plan
+    bounds = F.date_format("created_at", "yyyy-MM").between(months[3], months[4])
+    assert some.count() == rows.where(bounds).count() > 0 and some.columns == CLEAN_SCHEMA.fieldNames()
+    assert read_clean_tickets(spark, path).count() == rows.count()
+
+
 def test_cuts_are_named_after_their_titles(spark, tmp_path):
     assert slug("Agent low-score spread") == "agent_low_score_spread"
     frame = spark.range(3)
