@@ -27,7 +27,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.stages import small_batches, text_or_empty
+from queuelens.llm.stages import Stages, small_batches, text_or_empty
 from queuelens.llm.tokens import word_hashes
 
 K1, B = 1.2, 0.75
@@ -79,21 +80,40 @@ def overlap(part: list[str], passage: list[str]) -> float:
     return len(wanted & there) / len(wanted)
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """What scores and passages depend on, over all items, however they are split."""
+
+    items: int
+    average: float
+    longest: int
+    #: number of items that hold a term; at least those of the index at hand
+    holders: Mapping[str, int]
+
+    @staticmethod
+    def of(words: list[list[str]]) -> Statistics:
+        average = sum(map(len, words)) / max(1, len(words)) or 1.0
+        holders = Counter(w for ws in words for w in set(ws))
+        return Statistics(len(words), average, max(map(len, words), default=0), holders)
+
+
 class Index:
-    """Inverted index of items with normalised BM25 impacts in blocks."""
+    """Inverted index of items with normalised BM25 impacts in blocks.
+
+    ``known`` has the statistics of all items where these are only some of them.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], known: Statistics | None = None):
         self.ids = [i for i, _ in items]
         self.parts = [question_and_answer(text) for _, text in items]
         words = [terms(text) for _, text in items]
-        self.longest = max(map(len, words), default=0)
-        average = sum(map(len, words)) / max(1, len(words)) or 1.0
-        holders = Counter(w for ws in words for w in set(ws))
+        known = known or Statistics.of(words)
+        self.longest, average, holders = known.longest, known.average, known.holders
         postings: dict[str, list[tuple[int, float]]] = {}
         for number, ws in enumerate(words):
             weights = {}
             for w, tf in Counter(ws).items():
-                idf = np.log1p((len(words) - holders[w] + 0.5) / (holders[w] + 0.5))
+                idf = np.log1p((known.items - holders[w] + 0.5) / (holders[w] + 0.5))
                 weights[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / average))
             own = sum(weights.values())
             for w, x in weights.items():
@@ -267,21 +287,48 @@ def find_leaks(
 
 
 def _indexes(items: DataFrame, index_bytes: int, item_col: str) -> list:
-    """Broadcast indexes of all items, each of about ``index_bytes`` of text or less."""
+    """Broadcast indexes of all items, each of about ``index_bytes`` of text or less.
+
+    More than one share the statistics of all items, so that a score or the border of a
+    passage does not depend on how items are split.
+    """
     spark = items.sparkSession
     wanted = items.select(
         F.col(item_col).cast("long").alias("item_id"), text_or_empty().alias("text")
     )
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-size // index_bytes))
+    piece = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
+    if count > 1:
+        stages = Stages(spark, "decontaminate")
+        split = wanted.withColumn("piece", piece).select("piece", "text")
+        split = stages.write(split.mapInArrow(_item_terms, "piece long, words array<string>"), "terms")
+        n, total, longest = split.agg(
+            F.count(F.lit(1)), F.sum(F.size("words")), F.max(F.size("words"))
+        ).first()
+        held = split.select("piece", F.explode(F.array_distinct("words")).alias("word"))
+        holders = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        holders = stages.write(held.distinct().join(holders, "word"), "holders")
     out = []
     for k in range(count):
-        own = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
-        rows = own.orderBy("item_id", "text").collect()
-        out.append(spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows])))
+        rows = wanted.where(piece == k).orderBy("item_id", "text").collect()
+        known = None
+        if count > 1:  # terms of one piece are bounded by its text
+            own = {r["word"]: r["n"] for r in holders.where(F.col("piece") == k).collect()}
+            known = Statistics(n, total / n or 1.0, longest, own)
+        index = Index([(r["item_id"], r["text"]) for r in rows], known)
+        out.append(spark.sparkContext.broadcast(index))
     return out
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [terms(t.as_py()) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("piece"), pa.array(words, pa.list_(pa.string()))], ["piece", "words"]
+        )
+
+
 def _scan(shared, least_score: float, least_overlap: float):
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
