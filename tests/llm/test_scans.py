@@ -1,6 +1,7 @@
 """Classifier, license, secret and benchmark scans, sharding and packing."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -258,19 +259,105 @@ def test_plan_uses_every_piece_once(lengths):
     assert taken == used
 
 
+def members(combo):
+    first, times, *others = combo.tolist()
+    return [first] * times + [n for n in others if n]
+
+
 def test_fit_reaches_a_histogram_that_combinations_can_make():
     combos = packing.combinations(np.arange(1, 65), 64)
     rng = np.random.default_rng(0)
-    times = np.zeros(len(combos))
-    times[rng.integers(0, len(combos), 40)] = rng.integers(1, 50, 40)
     target = np.zeros(65)
-    for need, n in zip(combos, times):
-        for k in need[need > 0]:
-            target[k] += n
+    for i in rng.integers(0, len(combos), 40):
+        np.add.at(target, members(combos[i]), rng.integers(1, 50))
     x = packing.fit_repeats(combos, target, rounds=500)
-    made = np.bincount(combos.ravel(), weights=np.repeat(x, 3), minlength=65)
-    made[0] = 0
+    made = packing._used(combos, x, 65)
     assert (x >= 0).all() and np.abs(made - target).sum() < 0.02 * target.sum()
+    some, y = packing.fit_all(combos, target)
+    assert np.abs(packing._used(some, y, 65) - target).sum() < 0.05 * target.sum()
+
+
+def test_all_shallow_combinations_are_there():
+    lengths = np.array([3, 5, 6, 7, 11, 12, 20, 26, 32])
+    found = {tuple(sorted(members(c))) for c in packing.combinations(lengths, 32)}
+    assert all(sum(c) == 32 and set(c) <= set(lengths.tolist()) for c in found)
+    shallow = {
+        c for n in (1, 2, 3) for c in itertools.combinations_with_replacement(lengths.tolist(), n)
+        if sum(c) == 32
+    }
+    assert shallow and shallow <= found
+    # lengths under a third of the window: the longest repeats
+    assert (5, 5, 5, 5, 6, 6) not in found and (5, 7, 7, 7, 6) not in found
+    assert tuple(sorted((7, 7, 7, 6, 5))) in found and tuple(sorted((6, 6, 6, 6, 5, 3))) in found
+
+
+@pytest.mark.parametrize("longest", [40, 600, 2047])
+def test_short_lengths_are_fitted_too(longest, monkeypatch):
+    """Also where no length is a third of the window, most pieces are placed by the fit."""
+    rng = np.random.default_rng(longest)
+    lengths = np.minimum(rng.exponential(longest / 3, 60_000).astype(int) + 1, longest)
+    histogram = np.bincount(lengths, minlength=2049)
+    fitted = []
+    fit = packing.fit_all
+    monkeypatch.setattr(packing, "fit_all", lambda *a: fitted.append(fit(*a)) or fitted[0])
+    plan = packing.plan_sequences(histogram, 2048)
+    (combos, x), = fitted
+    assert packing._used(combos, x, 2049).sum() > 0.8 * len(lengths)
+    used, sequences = Counter(), sum(times for _, times in plan)
+    for need, times in plan:
+        for n in need:
+            used[n] += times
+    assert used == Counter(lengths.tolist())
+    assert sequences <= 1.002 * -(-int(lengths.sum()) // 2048) + 1
+
+
+def plain_leaks(docs, items, least_score=decontaminate.LEAST_SCORE, least_overlap=decontaminate.LEAST_OVERLAP):
+    """{(doc_id, item_id)}: BM25 of every passage and item, from the formula, without an index."""
+    words = [decontaminate.terms(t) for _, t in items]
+    n, average = len(words), sum(map(len, words)) / len(words)
+    step = max(map(len, words))
+    held = Counter(w for ws in words for w in set(ws))
+    weights = []
+    for ws in words:
+        k = decontaminate.K1 * (1 - decontaminate.B + decontaminate.B * len(ws) / average)
+        weights.append({
+            w: np.log1p((n - held[w] + 0.5) / (held[w] + 0.5)) * tf * (decontaminate.K1 + 1) / (tf + k)
+            for w, tf in Counter(ws).items()
+        })
+    out = set()
+    for doc_id, text in docs:
+        own = decontaminate.terms(text or "")
+        for start in range(0, max(1, len(own) - step), step):
+            passage = own[start : start + 2 * step]
+            there = set(passage)
+            for (item_id, item), weight in zip(items, weights):
+                total = sum(weight.values())
+                score = sum(x for w, x in weight.items() if w in there) / total if total else 0
+                if score >= least_score:
+                    parts = decontaminate.question_and_answer(item)
+                    if min(decontaminate.overlap(part, passage) for part in parts) >= least_overlap:
+                        out.add((doc_id, item_id))
+    return out
+
+
+def test_leaks_against_every_passage_and_item(spark, tables):
+    items = [tuple(r) for r in spark.read.parquet(f"{tables}/benchmark.parquet").select("item_id", "text").collect()]
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    expected = plain_leaks([(r["doc_id"], r["text"]) for r in docs.collect()], items)
+    got = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == expected and expected
+
+
+def test_leaks_do_not_depend_on_how_items_are_split(spark, tables):
+    items = spark.read.parquet(f"{tables}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    whole = {r[:2]: r[2:] for r in map(tuple, decontaminate.find_leaks(docs, items).collect())}
+    for index_bytes in (3000, 9000):
+        split = decontaminate.find_leaks(docs, items, index_bytes=index_bytes).collect()
+        found = {r[:2]: r[2:] for r in map(tuple, split)}
+        assert found.keys() == whole.keys() and whole
+        for key, row in whole.items():
+            assert found[key][0] == row[0] and found[key][1:] == pytest.approx(row[1:], rel=1e-12)
 
 
 def test_lookup_table_is_even_and_steady():
