@@ -12,9 +12,14 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _to_minimum(edges: DataFrame, keep: Column) -> DataFrame:
+def _least(edges: DataFrame, stages: Stages, name: str) -> DataFrame:
+    """(a, m): the smallest neighbour.  Written, so that a join with the links deals both sides
+    by a shuffle of its own, which adaptive execution can split where one a has very many."""
+    return stages.write(edges.groupBy("a").agg(F.min("b").alias("m")), name)
+
+
+def _to_minimum(edges: DataFrame, least: DataFrame, keep: Column) -> DataFrame:
     """Links of each a to its neighbours, moved to the smallest of them and itself."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
     least = least.select("a", F.least("a", "m").alias("m"))
     moved = edges.join(least, "a").where(keep)
     return moved.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -40,13 +45,15 @@ def components(edges: DataFrame, stages: Stages, name: str = "links") -> DataFra
     while True:
         both = _both_ways(current)
         # links of a to larger neighbours go to a's smallest neighbour
-        large = _clean(_to_minimum(both, F.col("b") > F.col("a")))
+        nearest = _least(both, stages, f"{name}-least")
+        large = stages.write(_clean(_to_minimum(both, nearest, F.col("b") > F.col("a"))), name)
         # a and its smaller neighbours go to the smallest of these
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = _least(large, stages, f"{name}-least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(least.select("a", F.col("m").alias("b")))
         following = stages.write(_clean(small), name)
-        stages.remove(current)
+        for table in (current, nearest, large, least):
+            stages.remove(table)
         current = following
         seen = current.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))

@@ -402,10 +402,18 @@ def jaccard_components(
         "copies",
     )
     clusters = components(candidates.union(copy_links), stages, "candidates")
-    # one document for each distinct set stands for its copies
+    # one document for each distinct set stands for its copies; a document with several rows
+    # stands aside only if each of its sets has such a document
+    aside = (
+        sizes.where("size > 0")
+        .join(copies, "digest", "left")
+        .groupBy("doc_id")
+        .agg(F.min(F.coalesce(F.col("doc_id") != F.col("b"), F.lit(False))).alias("all_copies"))
+        .where("all_copies")
+    )
     standing = stages.write(
         clusters.withColumnRenamed("id", "doc_id")
-        .join(copy_links.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti")
+        .join(aside, "doc_id", "left_anti")
         .join(sizes.groupBy("doc_id").agg(F.max("size").alias("size")), "doc_id")
         .withColumnRenamed("component", "cluster"),
         "standing",

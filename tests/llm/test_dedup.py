@@ -110,6 +110,17 @@ def test_jaccard_groups(spark, tables, task_members):
         assert found == brute.jaccard_groups(pairs(docs))
 
 
+def test_rows_that_share_an_id_keep_all_their_links(spark):
+    """Document 2 has a copy of document 1 and another text; 3 is near to that other one."""
+    words = [f"w{k}" for k in range(60)]
+    other = [f"v{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (2, " ".join(other)),
+            (3, " ".join(other[:-1] + ["end"])), (4, "something else altogether in five words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.jaccard_components(docs).select("doc_id", "component_id").distinct().collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_jaccard_edges(edge_docs):
     got = ngram_join.jaccard_components(edge_docs).collect()
     expected = brute.jaccard_groups(pairs(edge_docs))
@@ -205,12 +216,19 @@ def test_verbatim_lines(spark, tables, no_docs):
     assert line_dedup.drop_lines(no_docs, verbatim=True).count() == 0
 
 
-def test_line_query_drops_short_lines(spark, tables):
-    docs = spark.read.parquet(f"{tables}/documents.parquet")
-    cut = line_dedup.drop_lines(docs, verbatim=True)
-    expected = {r["doc_id"]: r["n_dropped"] for r in cut.collect()}
+def test_line_query_against_plain_version(spark, tables, edge_docs):
+    """The rule as registered, templates and verbatim lines, over whole texts."""
+    for docs in (edge_docs.where("doc_id is not null"), spark.read.parquet(f"{tables}/documents.parquet")):
+        expected = brute.kept_lines(pairs(docs), line_dedup.masked, verbatim=True)
+        cut = line_dedup.drop_lines(docs, verbatim=True).select("doc_id", "text").collect()
+        assert sorted((r["doc_id"], r["text"] or "") for r in cut) == sorted(
+            (d, expected[d, t or ""]) for d, t in pairs(docs)
+        )
     got = registry.QUERIES["op10_line_dedup"](spark, tables).collect()
-    assert {r["doc_id"]: r["n_dropped"] for r in got} == expected
+    assert {r["doc_id"]: r["kept_sha256"] for r in got} == {
+        d: brute.sha(kept) for (d, _), kept in expected.items()
+    }
+    assert sum(r["n_dropped"] for r in got) > 0
 
 
 def test_empty_tables(no_docs):
