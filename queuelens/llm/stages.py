@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +18,18 @@ from pyspark.sql import functions as F
 from queuelens.session import remove_path, shared_dir
 
 
+_begun: list[Stages] = []
+
+
 class Stages:
-    """The written tables of one run of an operator."""
+    """The written tables of one run of an operator.
+
+    Those that a returned DataFrame reads stay until someone closes the run: whoever has
+    written or collected the result, as :func:`closed_after` does.
+    """
 
     def __init__(self, spark: SparkSession, operator: str):
+        _begun.append(self)
         self.spark = spark
         self.folder = f"{shared_dir(spark)}/{operator}-{uuid.uuid4().hex}"
         self._count = 0
@@ -39,6 +48,23 @@ class Stages:
         remove_path(self.spark, df.stage_path)
 
 
+    def close(self) -> None:
+        """Remove all tables of the run; what reads them is no longer usable."""
+        remove_path(self.spark, self.folder)
+        _begun.remove(self)
+
+
+@contextmanager
+def closed_after() -> Iterator[None]:
+    """Closes the runs that begin inside; their results have to be written or collected there."""
+    before = set(map(id, _begun))
+    try:
+        yield
+    finally:
+        for run in [r for r in _begun if id(r) not in before]:
+            run.close()
+
+
 #: Texts that a task exchanges with its Python worker at a time.
 BATCH_BYTES = 4 << 20
 

@@ -1,10 +1,13 @@
 """Every stage of the pipeline against what it should do to its own input."""
 
+import os
+
 import duckdb
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
 from queuelens.llm import decontaminate, line_dedup, quality, registry
+from queuelens.session import shared_dir
 
 from . import brute
 from .test_scans import check_pieces
@@ -29,7 +32,7 @@ def test_stages_one_by_one(spark, tables):
     assert sorted(rows(after)) == sorted(r for r in rows(before) if r[0] in good)
 
     before, after = done["line_dedup"]
-    kept = brute.kept_lines([r[:2] for r in rows(before)], line_dedup.masked)
+    kept = brute.kept_lines([r[:2] for r in rows(before)], line_dedup.masked, verbatim=True)
     expected = {}
     for r in rows(before):
         text = kept[r[0], r[1]]
@@ -51,8 +54,7 @@ def test_stages_one_by_one(spark, tables):
 
 
 def test_stages_on_edges(spark, edge_docs, no_docs, tables):
-    plain = edge_docs.drop("n_lines")
-    for docs in (plain, plain.limit(0)):
+    for docs in (edge_docs, edge_docs.limit(0)):
         columns = docs.columns
         for name, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, tables)
@@ -60,13 +62,18 @@ def test_stages_on_edges(spark, edge_docs, no_docs, tables):
             docs.count()
 
 
-def test_run(spark, tables):
+def test_run_leaves_only_its_result(spark, tables):
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
     assert corpus_pipeline.run(spark, tables).count() > 0
+    (left,) = set(os.listdir(folder)) - before
+    assert left.startswith("pipeline-")
+    assert [name[4:] for name in os.listdir(f"{folder}/{left}")] == ["packing"]
 
 
 def test_registered_with_the_entry_points():
     names = list(entry_points.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names
 
