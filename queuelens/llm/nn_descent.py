@@ -15,7 +15,7 @@ Index
    each is offered the nearest of the others that improve its list.  Nodes near each other by
    projections share a block, and a block gets a vector once however many of its nodes
    gather it, so the shuffle carries blocks times distinct members, not every pair.
-   Rounds end when few lists change.
+   There are ``rounds`` of them, fewer if lists stop changing.
 
 Search
 ------
@@ -53,13 +53,13 @@ class GraphSettings:
     group: int = 1_024
     block: int = 2_048
     sample: int = 2_048
-    rounds: int = 10
-    #: rounds end when less than this share of all list entries is new
-    least_change: float = 0.01
-    beam: int = 128
+    rounds: int = 6
+    #: rounds end when at most this share of all list entries is new
+    least_change: float = 0.0
+    beam: int = 160
     starts: int = 8
     #: nodes of a beam that are followed in a round
-    width: int = 32
+    width: int = 40
     seed: int = 7
 
 
@@ -254,11 +254,46 @@ def _edges(lists: DataFrame, blocks: DataFrame, reverse: int, turn: int) -> Data
     return forward.union(back)
 
 
-def _offers(edges: DataFrame, members: DataFrame, dim: int, k: int) -> DataFrame:
-    """Nearer neighbours found among neighbours of neighbours, packed by the block they go to.
+def _needed(edges: DataFrame, nodes: DataFrame, lists: DataFrame, dim: int) -> DataFrame:
+    """What blocks gather: (at_block, block, ids, kths, vecs), a row for each pair of blocks.
 
-    ``members`` has (at_block, node, block, vec, kth): the vectors that a block needs.
+    A member is one row until it is packed, with all the blocks that gather it.
     """
+    element = dict(nodes.dtypes)["vec"]
+
+    def pack(table: pa.Table) -> pa.Table:
+        ids, kth = table.column("node").to_numpy(), table.column("kth").to_numpy()
+        vecs = _matrix(table.column("vec"), dim)
+        wanted = table.column("at_blocks").combine_chunks()
+        row = np.repeat(np.arange(len(ids)), np.diff(wanted.offsets))
+        block = wanted.flatten().to_numpy()
+        order = np.argsort(block, kind="stable")
+        to, starts = np.unique(block[order], return_index=True)
+        rows = [row[part] for part in np.split(order, starts[1:])]
+        return pa.table({
+            "at_block": pa.array(to, pa.int64()),
+            "block": np.full(len(to), table.column("block")[0].as_py()),
+            "ids": pa.array([ids[r] for r in rows], pa.list_(pa.int64())),
+            "kths": pa.array([kth[r] for r in rows], pa.list_(pa.float64())),
+            "vecs": pa.array([vecs[r].ravel() for r in rows], pa.list_(pa.float64())).cast(
+                pa.list_(pa.float32() if "float" in element else pa.float64())
+            ),
+        })
+
+    members = edges.groupBy("member").agg(F.collect_set("block").alias("at_blocks"))
+    kth = lists.select(F.col("node").alias("of"), "kth")
+    rows = members.join(nodes, F.col("member") == F.col("node")).join(kth, F.col("member") == F.col("of"))
+    return (
+        rows.select("node", "block", "vec", "kth", "at_blocks")
+        .groupBy("block")
+        .applyInArrow(
+            pack, f"at_block long, block long, ids array<long>, kths array<double>, vecs {element}"
+        )
+    )
+
+
+def _offers(edges: DataFrame, needed: DataFrame, dim: int, k: int) -> DataFrame:
+    """Nearer neighbours found among neighbours of neighbours, packed by the block they go to."""
 
     def local_join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([
@@ -267,11 +302,12 @@ def _offers(edges: DataFrame, members: DataFrame, dim: int, k: int) -> DataFrame
         ])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        ids = right.column("node").to_numpy()
+        packed = {c: right.column(c).combine_chunks() for c in ("ids", "kths", "vecs")}
+        homes = np.repeat(right.column("block").to_numpy(), np.diff(packed["ids"].offsets))
+        ids, kth, vecs = (packed[c].flatten().to_numpy() for c in ("ids", "kths", "vecs"))
+        vecs = vecs.reshape(len(ids), dim).astype(np.float64)
         order = np.argsort(ids)
-        ids, home = ids[order], right.column("block").to_numpy()[order]
-        vecs = _matrix(right.column("vec"), dim)[order]
-        kth = right.column("kth").to_numpy()[order]
+        ids, home, vecs, kth = ids[order], homes[order], vecs[order], kth[order]
         node, member = left.column("node").to_numpy(), left.column("member").to_numpy()
         old = left.column("old").to_numpy(zero_copy_only=False).astype(bool)
         node, member, _, old = _best(node, member, np.zeros(len(node)), old, len(node))
@@ -316,7 +352,7 @@ def _offers(edges: DataFrame, members: DataFrame, dim: int, k: int) -> DataFrame
 
     return (
         edges.groupBy("block")
-        .cogroup(members.groupBy("at_block"))
+        .cogroup(needed.groupBy("at_block"))
         .applyInArrow(local_join, OFFER_SCHEMA)
     )
 
@@ -364,11 +400,8 @@ def build_index(
     lists = stages.write(_merged(_packed(first, old=False), s.neighbours), "lists")
     for turn in range(s.rounds):
         edges = stages.write(_edges(lists, blocks, s.reverse, turn), "edges")
-        kth = lists.select(F.col("node").alias("of"), "kth")
-        need = edges.select(F.col("block").alias("at_block"), F.col("member").alias("of")).distinct()
-        need = need.join(nodes.withColumnRenamed("node", "of"), "of").join(kth, "of")
-        need = need.select("at_block", F.col("of").alias("node"), "block", "vec", "kth")
-        offers = _offers(edges, need, dim, s.neighbours).withColumn("old", F.lit(False))
+        needed = _needed(edges, nodes, lists, dim)
+        offers = _offers(edges, needed, dim, s.neighbours).withColumn("old", F.lit(False))
         both = _packed(lists, old=True).unionByName(offers)
         following = stages.write(_merged(both, s.neighbours), "lists")
         stages.remove(lists)
