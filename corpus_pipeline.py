@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from queuelens.llm import decontaminate, line_dedup, ngram_join, packing, quality
-from queuelens.llm.stages import Stages
+from queuelens.llm.stages import Stages, closed_after
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,8 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of recurring templates; those left without text go."""
-    return line_dedup.without_recurring_lines(docs)
+    """Documents without recurring lines, templates and verbatim; those left without text go."""
+    return line_dedup.without_recurring_lines(docs, verbatim=True)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for name, stage in STAGES:
-        docs = stages.write(stage(spark, docs, sf_dir), name)
+        with closed_after():  # a stage's own tables go once its result is written
+            docs = stages.write(stage(spark, docs, sf_dir), name)
         if before is not None:
             stages.remove(before)
         before = docs
