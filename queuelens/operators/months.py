@@ -7,7 +7,7 @@ durations are whole minutes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queuelens.functions.numeric import pct
@@ -48,14 +48,13 @@ def month_cube(tickets: DataFrame, profile: TicketProfile) -> DataFrame:
         *[F.when(c, 1).otherwise(0).alias(f"is_{name}") for name, c in conditions.items()],
     )
     # readings differ in which of these they are counted by
-    marks = {"speed": ("month", "hours"), "score": ("score",), "weekday": ("day_of_week",)}
-
-    def counted_by(*names: str) -> Column:
-        return F.expr(" AND ".join(f"grouping({name}) = 0" for name in names))
-
-    reading = F.lit("closed")
-    for name, by in marks.items():
-        reading = F.when(counted_by(*by), F.lit(name)).otherwise(reading)
+    by = {name: F.grouping(name) == 0 for name in ("month", "score", "day_of_week")}
+    reading = (
+        F.when(by["score"], F.lit("score"))
+        .when(by["month"], F.lit("speed"))
+        .when(by["day_of_week"], F.lit("weekday"))
+        .otherwise(F.lit("closed"))
+    )
     return staged.groupingSets([list(by) for by in READINGS.values()], *columns).agg(
         reading.alias("reading"),
         F.count("*").alias("n"),
