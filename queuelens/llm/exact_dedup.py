@@ -15,8 +15,9 @@ Plan
 3. Answers for repeated digests go back the way they came, round by round, down to
    the rows of each split.
 
-Round tables are written sorted, so every run stays a sorted run and a lost executor
-repeats one round at most.
+The multiway merge of what a team's members send is Spark's aggregate, which meets them behind a
+shuffle and sorts or hashes them by digest itself; round tables are written sorted, for
+Parquet's sake, but no merge relies on it.  A lost executor repeats one round at most.
 
 Defined results: null text counts as empty; empty texts equal each other; rows
 without id lose against rows with one; of rows that share id and text one is
