@@ -6,6 +6,7 @@ not elapsed time.  Neither they nor parsing depend on the session time zone.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import date
 
@@ -21,15 +22,71 @@ def parse_first(col: Column, formats: Sequence[str]) -> Column:
     White space of any kind and length separates like one space and is trimmed.  A year
     has one to four digits and no sign.  A format is tried only on text holding
     its separator, which spares most rows all but the one parse that can succeed.
+
+    Text with all digits written, as nearly all of it is, is cut up by position instead; the
+    pattern parser, which costs many times as much, sees the rest.  Every mention of an
+    expression is code of its own, and Java does not compile a method of more than 8,000 bytes,
+    so conditions look at ``col`` itself and the cleaned text is mentioned once per format.
     """
     text = F.trim(F.regexp_replace(col, r"\s+", " "))
-    text = F.when(~text.rlike(r"^[-+]|[-/ ][-+]|\d{5}"), text)
-    return F.coalesce(
+    parsed = F.coalesce(
         *[
-            F.when(F.contains(text, F.lit(_separator(fmt))), _parse_wall_clock(text, fmt))
+            F.when(F.contains(col, F.lit(_separator(fmt))), _parse_wall_clock(text, fmt))
             for fmt in formats
         ]
     )
+    out = F.when(~col.rlike(r"^\s*[-+]|[-/\s][-+]|\d{5}"), parsed)
+    literals = [_literals(fmt) for fmt in formats]
+    for fmt, own in zip(formats, literals):
+        # text that another pattern may read as well is left to the order of the patterns
+        padded = _padded(fmt) if literals.count(own) == 1 else None
+        if padded is not None:
+            shape, starts = padded
+            out = F.when(col.rlike(shape), _cut_wall_clock(col, starts)).otherwise(out)
+    return out
+
+
+# Digits of each field of a pattern where all of them are written.
+_DIGITS = {"y": 4, "M": 2, "d": 2, "H": 2, "m": 2, "s": 2}
+
+
+def _literals(fmt: str) -> str:
+    """What stands between the fields of a pattern."""
+    return re.sub(r"[A-Za-z]+", "x", fmt)
+
+
+def _padded(fmt: str) -> tuple[str, dict[str, int]] | None:
+    """Regular expression of text with all digits written, and where each field starts.
+
+    None for patterns with other fields than a date, hours and minutes, and perhaps seconds.
+    """
+    shape, starts, at = "", {}, 1
+    for run in re.finditer(r"([A-Za-z])\1*|.", fmt):
+        letter = run.group(1)
+        if letter is None:
+            shape, at = shape + re.escape(run.group()), at + 1
+        elif letter in starts or len(run.group()) not in (1, _DIGITS.get(letter)):
+            return None
+        else:
+            shape += rf"\d{{{_DIGITS[letter]}}}" if letter in _DIGITS else ""
+            starts[letter], at = at, at + _DIGITS.get(letter, 0)
+    if set(starts) | {"s"} != set(_DIGITS) or "'" in fmt:
+        return None
+    return rf"\A{shape}\z", starts
+
+
+def _cut_wall_clock(text: Column, starts: dict[str, int]) -> Column:
+    """Text of the shape of :func:`_padded` as ``timestamp_ntz``; NULL where no such time is."""
+
+    def field(letter: str) -> Column:
+        if letter not in starts:
+            return F.lit("00")
+        return F.substring(text, starts[letter], _DIGITS[letter])
+
+    parts = [field("y"), "-", field("M"), "-", field("d"), " ", field("H"), ":", field("m"), ":", field("s")]
+    iso = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    # a month that is none is told here: the cast would raise and catch an exception
+    return F.when(field("M") <= "12", iso.try_cast("timestamp_ntz"))
 
 
 def _parse_wall_clock(text: Column, fmt: str) -> Column:

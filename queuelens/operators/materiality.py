@@ -16,6 +16,7 @@ from queuelens.operators.clean import valid_resolution
 from queuelens.operators.metrics import pick, ticket_counts, ticket_values
 from queuelens.operators.quality import label_counts
 from queuelens.plans.shapes import (
+    TICKETS,
     side_by_side,
     tickets_in,
     total,
@@ -43,10 +44,12 @@ def mat_duplicates(copies: DataFrame, tickets: DataFrame) -> DataFrame:
     )
 
 
-def mat_date_misparsed(
-    distinct_rows: DataFrame, tickets: DataFrame, profile: TicketProfile
-) -> DataFrame:
-    """M2: day-first creation times read as month-first."""
+def month_first_counts(distinct_rows: DataFrame, profile: TicketProfile) -> DataFrame:
+    """Raw rows counted by what M2 reads of them when day-first times are taken as month-first.
+
+    Times are parsed here only, once: over the rows themselves, every use of ``hours`` in
+    filters and quantiles would parse them again.
+    """
     iso = profile.timestamp_formats[0]
     created_text = F.col("created_at")
     slashed = created_text.like(profile.slashed_date_like)
@@ -57,12 +60,28 @@ def mat_date_misparsed(
         parse_first(F.col("resolved_at"), [iso]).alias("resolved"),
     )
     hours = minutes_between(F.col("created"), F.col("resolved")) / F.lit(60.0)
+    return read.groupBy(
+        hours.alias("hours"), "slashed", F.col("month_first").isNotNull().alias("is_month_first")
+    ).agg(F.count("*").alias(TICKETS))
+
+
+def mat_date_misparsed(
+    distinct_rows: DataFrame, tickets: DataFrame, profile: TicketProfile
+) -> DataFrame:
+    """M2: day-first creation times read as month-first.
+
+    ``distinct_rows`` are raw rows, or :func:`month_first_counts` of them.
+    """
+    counts = distinct_rows
+    if TICKETS not in counts.columns:
+        counts = month_first_counts(distinct_rows, profile)
+    hours, month_first = F.col("hours"), F.col("is_month_first")
     wrong = whole_table(
-        read,
+        counts,
         {"hours": F.when(hours >= 0, hours)},
         {
-            "lost": F.col("slashed") & F.col("month_first").isNull(),
-            "misread": F.col("slashed") & F.col("month_first").isNotNull(),
+            "lost": F.col("slashed") & ~month_first,
+            "misread": F.col("slashed") & month_first,
             "negative": hours < 0,
         },
         {"p90": ("hours", 0.9)},

@@ -242,7 +242,7 @@ GROUPS: dict[str, dict[str, Query]] = {
     "materiality": {
         "mat_duplicates": lambda ws: m.mat_duplicates(ws.copies, ws.tickets),
         "mat_date_misparsed": lambda ws: m.mat_date_misparsed(
-            ws.distinct_rows, ws.tickets, ws.profile
+            ws.month_first_counts, ws.tickets, ws.profile
         ),
         "mat_date_rows_dropped": lambda ws: m.mat_date_rows_dropped(
             ws.distinct_rows, ws.tickets, ws.profile

@@ -24,6 +24,7 @@ from queuelens.operators.clean import (
     id_conflicts,
     spread_table,
 )
+from queuelens.operators.materiality import month_first_counts
 from queuelens.operators.metrics import period_counts
 from queuelens.operators.months import month_cube
 from queuelens.operators.quality import control_totals
@@ -139,6 +140,12 @@ class Workspace:
         """Tickets counted by what reports on the whole period or on priorities read."""
         return self.stage("period_counts", lambda: period_counts(self.tickets))
 
+    @property
+    def month_first_counts(self) -> DataFrame:
+        """Raw rows counted by how their times read month-first."""
+        build = lambda: month_first_counts(self.distinct_rows, self.profile)
+        return self.stage("month_first_counts", build)
+
     @property
     def month_cube(self) -> DataFrame:
         """Tickets counted by month and by weekday, for the reports by calendar."""

@@ -62,8 +62,16 @@ def ticket_feed(orders: DataFrame, customer: DataFrame) -> DataFrame:
         .otherwise(_seconds_after(F.col("created"), k * 6007 % 172800)),
     )
 
+    # dealt evenly, since a table may come in fewer row groups than there are cores; times are
+    # spelled out once, before the formats that use the text
+    timed = timed.hint("rebalance").select(
+        "*",
+        F.col("created").cast("string").alias("created_text"),
+        F.col("resolved").cast("string").alias("resolved_text"),
+    )
+
     def written(ts: str) -> Column:
-        iso = F.col(ts).cast("string")
+        iso = F.col(f"{ts}_text")
         day_first = F.concat(
             F.substring(iso, 9, 2),
             F.lit("/"),

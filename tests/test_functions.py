@@ -96,6 +96,26 @@ def test_parse_first(spark, zone):
     ]
 
 
+def test_padded_times_are_cut_up(spark):
+    """Text with all digits written reads like other text, and is NULL where no such time is."""
+    rows = [("0000-01-01 00:00:00",), ("2024-02-29 23:59:59",), ("2023-02-29 10:00:00",), ("2024-13-01 10:00:00",),
+            ("2024-01-01 24:00:00",), ("31/12/2024 23:59",), ("12/31/2024 23:59",), ("01/02/2024 10:60",)]
+    padded = parse_first(F.col("x"), TIMESTAMP_FORMATS)
+    spaced = parse_first(F.concat(F.col("x"), F.lit(" ")), TIMESTAMP_FORMATS)
+    # a year 0 is out of Python's range
+    got, other = (values(spark, "x string", rows, c.cast("string")) for c in (padded, spaced))
+    assert got == other == [
+        "0000-01-01 00:00:00", "2024-02-29 23:59:59", None, None, None, "2024-12-31 23:59:00", None, None,
+    ]
+
+
+def test_formats_of_one_shape_keep_their_order(spark):
+    rows = [("01/02/2024 10:00",), ("13/02/2024 10:00",), ("01/13/2024 10:00",)]
+    for formats, first in ((("d/M/y H:m", "M/d/y H:m"), ts(2024, 2, 1, 10)), (("M/d/y H:m", "d/M/y H:m"), ts(2024, 1, 2, 10))):
+        got = values(spark, "x string", rows, parse_first(F.col("x"), formats))
+        assert got == [first, ts(2024, 2, 13, 10), ts(2024, 1, 13, 10)]
+
+
 def test_lenient_int(spark):
     rows = [("7",), ("7.5",), ("6.5",), ("1e1",), (" 7 ",), ("",), ("-0.5",), ("5d",), ("Infinity",), ("1e20",), ("abc",), (None,)]
     assert values(spark, "x string", rows, lenient_int(F.col("x"))) == [

@@ -281,3 +281,54 @@ def test_free_form_labels_never_share_a_task(ws):
     for name in ("chi2_low_score_by_dim", "chi2_scale_by_dim", "two_prop_z_cells"):
         plan = executed_plan(QUERIES[name](ws))
         assert "Window" not in plan and "Join" not in plan, name
+
+
+def method_sizes(df) -> list[int]:
+    """Bytes of the largest method that each piece of generated code has."""
+    text = df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    )
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+
+
+def test_rows_are_cleaned_by_compiled_code(ws):
+    """Java interprets methods of more than 8,000 bytes for good, at many times the cost."""
+    from queuelens.operators.materiality import month_first_counts
+    from queuelens.sources.star_schema import ticket_feed
+
+    orders, customer = (ws.spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("orders", "customer"))
+    key = "spark.sql.adaptive.enabled"  # adaptive plans are compiled as they run
+    before = ws.spark.conf.get(key)
+    clean, raw = ws.clean_plan(), ws.distinct_rows
+    ws.spark.conf.set(key, "false")
+    try:
+        for df in (clean, month_first_counts(raw, ws.profile), ticket_feed(orders, customer)):
+            sizes = method_sizes(df.select("*"))
+            assert sizes and max(sizes) <= 8000
+    finally:
+        ws.spark.conf.set(key, before)
+
+
+def test_misparsed_times_are_parsed_for_their_counts_only(ws):
+    df = QUERIES["mat_date_misparsed"](ws)
+    assert "to_timestamp" not in executed_plan(df)
+    assert {f.split("/stages/")[1].split("/")[0] for f in df.inputFiles()} == {
+        "month_first_counts.parquet", "clean.parquet"
+    }
+
+
+def test_the_feed_is_dealt_over_all_tasks(spark, tmp_path):
+    """A table of one row group is one task's to read, not one task's to spell out."""
+    from pyspark.sql import functions as F
+
+    from queuelens.sources.star_schema import ticket_feed
+
+    day = F.expr("TIMESTAMP_NTZ'1995-01-01 00:00:00'")
+    orders = spark.range(0, 300_000, 1, 1).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 9).alias("o_custkey"),
+        day.alias("o_orderdate"), F.lit("2-HIGH").alias("o_orderpriority"),
+    )
+    customer = spark.range(9).select(F.col("id").alias("c_custkey"), F.lit("AUTO").alias("c_mktsegment"))
+    feed = ticket_feed(orders, customer)
+    sizes = [r["count"] for r in feed.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 0.5 * sum(sizes)
