@@ -116,6 +116,31 @@ def member_signatures(members: np.ndarray, band: int) -> np.ndarray:
     return mix(members + mix(np.array([(band << 40) + (1 << 39)], np.uint64)))
 
 
+#: Packed columns are compressed before they are shuffled, which the shuffle does not do as well.
+_CODEC = "zstd"
+
+
+def _packed(planes: np.ndarray) -> bytes:
+    """Rows of bytes, compressed; the first four bytes tell how many there were."""
+    raw = planes.tobytes()
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec=_CODEC, asbytes=True)
+
+
+def _unpacked(packed: bytes, rows: int) -> np.ndarray:
+    size = int.from_bytes(packed[:4], "little")
+    raw = pa.decompress(packed[4:], size, codec=_CODEC, asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(rows, -1)
+
+
+def _planes(values: np.ndarray) -> np.ndarray:
+    """Bytes of equal weight together, one row for each."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T
+
+
+def _from_planes(planes: np.ndarray, dtype) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], words: int):
     """Lists of (doc_id, set) with about BLOCK_BYTES of text."""
     block, size = [], 0
@@ -198,13 +223,13 @@ def _emit(words: int, percent: int, bucket_bits: int):
             spans = list(zip(cuts, np.r_[cuts[1:], len(sig)]))
             # 32 more bits tell signatures apart; a false match costs a comparison, no more
             short = (sig >> np.uint64(32 - bucket_bits)).astype(np.uint32)
-            # bytes of equal weight together: ids of a block compress well in the shuffle
-            planes = np.concatenate([doc.view(np.uint8).reshape(-1, 8).T, low[None]])
+            # they are sorted, so that steps between them are small; ids of a block are alike too
+            planes = np.concatenate([_planes(doc), low[None]])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(bucket[cuts].astype(np.int32)),
-                    pa.array([short[s:e].tobytes() for s, e in spans], pa.binary()),
-                    pa.array([planes[:, s:e].tobytes() for s, e in spans], pa.binary()),
+                    pa.array([_packed(_planes(np.diff(short[s:e], prepend=np.uint32(0)))) for s, e in spans], pa.binary()),
+                    pa.array([_packed(planes[:, s:e]) for s, e in spans], pa.binary()),
                 ],
                 names=["bucket", "sigs", "docs"],
             )
@@ -214,17 +239,16 @@ def _emit(words: int, percent: int, bucket_bits: int):
 
 def _repeated(key: tuple, table: pa.Table) -> pa.Table:
     """Signatures of a bucket that more than one document has, with their frequency."""
-    sig = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("sigs").to_pylist()])
-    planes = np.concatenate(
-        [np.frombuffer(x, np.uint8).reshape(9, -1) for x in table.column("docs").to_pylist()], axis=1
-    )
+    steps = (_from_planes(_unpacked(x.as_py(), 4), np.uint32) for x in table.column("sigs"))
+    sig = np.concatenate([np.cumsum(x, dtype=np.uint32) for x in steps])
+    planes = np.concatenate([_unpacked(x.as_py(), 9) for x in table.column("docs")], axis=1)
     order = np.argsort(sig, kind="stable")
     sig = sig[order]
     new = np.r_[True, sig[1:] != sig[:-1]]
     count = np.diff(np.r_[np.flatnonzero(new), len(sig)])[np.cumsum(new) - 1]
     often = count > 1
     order = order[often]
-    doc = np.ascontiguousarray(planes[:8, order].T).view(np.int64).ravel()
+    doc = _from_planes(planes[:8, order], np.int64)
     return pa.table(
         {
             "doc_id": pa.array(doc, pa.int64()),
@@ -369,10 +393,12 @@ def jaccard_components(
     skips = sizes.groupBy("doc_id").agg(
         F.min("skip_own").alias("skip_own"), F.min("skip_below").alias("skip_below")
     )
-    # a set has no more signatures than members, so these windows are as large as a text
+    # a set has no more signatures than members, so these windows are as large as a text; dealt
+    # by document, they need no shuffle after that of the join
     most_frequent = Window.partitionBy("doc_id", "below").orderBy(F.desc("documents"), "signature")
     leading = (
-        repeated.withColumn("place", F.row_number().over(most_frequent))
+        repeated.repartition("doc_id")
+        .withColumn("place", F.row_number().over(most_frequent))
         .join(skips, "doc_id")
         .where(F.col("place") > F.when(F.col("below"), F.col("skip_below")).otherwise(F.col("skip_own")))
         .select("signature", "doc_id")

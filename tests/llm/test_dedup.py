@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -236,3 +237,48 @@ def test_empty_tables(no_docs):
     assert substring_dedup.remove_repeats(no_docs).count() == 0
     assert ngram_join.jaccard_components(no_docs).count() == 0
     assert line_dedup.drop_lines(no_docs).count() == 0
+
+
+def test_signatures_are_shuffled_in_few_bytes():
+    """Half of the 13 bytes of a signature and its document, whether a bucket gets many or few."""
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(5000)]
+    texts = [" ".join(rng.choice(words, 300)) for _ in range(800)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(70_000, 70_800)), "text": texts})
+    (out,) = ngram_join._emit(5, 75, 6)(iter([batch]))
+    sent = sum(len(x.as_py()) for name in ("sigs", "docs") for x in out.column(name))
+    of_buckets = [
+        ngram_join._from_planes(ngram_join._unpacked(x.as_py(), 4), np.uint32) for x in out.column("sigs")
+    ]
+    assert sent < 6.5 * sum(map(len, of_buckets))
+    # steps between sorted signatures: the sums are what was taken
+    members = [ngram_join.shingle_set(t) for t in texts]
+    taken = np.concatenate(
+        [ngram_join.signatures(m, *of) for m in members for of in ngram_join.bands(len(m), 75)]
+    )
+    got = [
+        (np.uint64(bucket) << np.uint64(32)) + np.cumsum(x, dtype=np.uint32).astype(np.uint64)
+        for bucket, x in zip(out.column("bucket").to_pylist(), of_buckets)
+    ]
+    assert (np.concatenate(got) == np.sort(taken) >> np.uint64(26)).all()
+
+
+def test_signatures_of_a_document_are_dealt_once(spark, tables, monkeypatch):
+    """The ranking and the join behind it share the shuffle by document."""
+    plans = {}
+    write = ngram_join.Stages.write
+
+    def seen(self, df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, name)
+
+    monkeypatch.setattr(ngram_join.Stages, "write", seen)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        ngram_join.jaccard_components(spark.read.parquet(f"{tables}/documents.parquet"))
+    finally:
+        spark.conf.set(key, before)
+    # by bucket, by document, and the documents' own numbers to skip
+    assert plans["leading"].count("Exchange hashpartitioning") == 3
