@@ -53,8 +53,11 @@ def ticket_feed(orders: DataFrame, customer: DataFrame) -> DataFrame:
         "o_custkey",
         "left",
     )
+    # dealt evenly, since a table may come in fewer row groups than there are cores; by a hash of
+    # the key, as dealing in turn would sort every task's rows first, and before times are added
+    dealt = joined.hint("rebalance", k)
     created = _seconds_after(F.col("o_orderdate"), k * 7919 % 86400)
-    timed = joined.withColumn("created", created).withColumn(
+    timed = dealt.withColumn("created", created).withColumn(
         "resolved",
         F.when(k % 13 == 0, F.lit(None).cast("timestamp_ntz"))
         .when(k % 350 == 1, _seconds_after(F.col("created"), F.lit(-120 * 60)))
@@ -62,9 +65,8 @@ def ticket_feed(orders: DataFrame, customer: DataFrame) -> DataFrame:
         .otherwise(_seconds_after(F.col("created"), k * 6007 % 172800)),
     )
 
-    # dealt evenly, since a table may come in fewer row groups than there are cores; times are
-    # spelled out once, before the formats that use the text
-    timed = timed.hint("rebalance").select(
+    # times are spelled out once, before the formats that use the text
+    timed = timed.select(
         "*",
         F.col("created").cast("string").alias("created_text"),
         F.col("resolved").cast("string").alias("resolved_text"),
@@ -84,21 +86,21 @@ def ticket_feed(orders: DataFrame, customer: DataFrame) -> DataFrame:
         spaced = F.concat(F.replace(text, F.lit(" "), F.lit("  ")), F.lit("\t"))
         return F.when(k % 331 == 11, spaced).otherwise(text)
 
-    category = F.when(k % 211 == 5, F.lit(UNKNOWN_CATEGORY)).otherwise(
-        _pick(CATEGORY_SPELLINGS, F.col("o_custkey") % 6)
+    # Spark takes a pick to be never NULL, though its index may be
+    category = F.when(k % 211 == 5, F.lit(UNKNOWN_CATEGORY)).when(
+        F.col("o_custkey").isNotNull(), _pick(CATEGORY_SPELLINGS, F.col("o_custkey") % 6)
     )
     # an unknown category stays unknown in the conflicting copy, which is then an exact copy
     conflict = F.when(k % 211 == 5, F.lit(UNKNOWN_CATEGORY)).otherwise(F.lit(CONFLICT_CATEGORY))
     score = F.when(k * 7901 % 7 < 2, k * 7883 % 10 + 1).otherwise(k * 7883 % 5 + 1)
     # one row per written copy: the ticket, its exact copy, its conflicting copy
-    copies = F.array_compact(
-        F.array(
-            category,
-            F.when(k % 85 == 0, category),
-            F.when(k % 970 == 1, conflict),
-        )
-    )
-    return timed.select("*", F.explode(copies).alias("category")).select(
+    copies = {
+        "_own": category,
+        "_copy": F.when(k % 85 == 0, category),
+        "_conflict": F.when(k % 970 == 1, conflict),
+    }
+    rows = timed.withColumns(copies).unpivot(timed.columns, [*copies], "_kind", "category")
+    return rows.filter(F.col("category").isNotNull()).select(
         F.when(k % 505 != 12, k.cast("string")).alias("ticket_id"),
         F.col("c_mktsegment").alias("brand"),
         F.when(k % 223 == 6, F.lit(UNKNOWN_CHANNEL))

@@ -332,3 +332,29 @@ def test_the_feed_is_dealt_over_all_tasks(spark, tmp_path):
     feed = ticket_feed(orders, customer)
     sizes = [r["count"] for r in feed.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 1 and max(sizes) < 0.75 * sum(sizes)
+
+
+def test_the_feed_is_dealt_unsorted_and_copied_by_compiled_code(spark):
+    """Dealing in turn sorts all rows of a task; a generator takes rows out of compiled code."""
+    from pyspark.sql import functions as F
+
+    from queuelens.sources.star_schema import ticket_feed
+
+    day = F.expr("TIMESTAMP_NTZ'1995-01-01 00:00:00'")
+    keys = [(85, 0), (85, None), (971, 0), (971, None), (216, None), (None, 0), (None, None)]
+    orders = spark.createDataFrame(keys, "o_orderkey long, o_custkey long").select(
+        "*", day.alias("o_orderdate"), F.lit("2-HIGH").alias("o_orderpriority")
+    )
+    customer = spark.createDataFrame([(0, "AUTO")], "c_custkey long, c_mktsegment string")
+    feed = ticket_feed(orders, customer)
+    plan = executed_plan(feed)
+    assert "RoundRobinPartitioning" not in plan and "Generate" not in plan
+    # without customer there is no category, and only copies that have one are written
+    got = sorted((r.ticket_id or "", r.brand or "", r.category) for r in feed.collect())
+    assert got == [
+        ("", "AUTO", "Bill"),
+        ("216", "", 'Refund request, "urgent" '),
+        ("85", "AUTO", "Bill"), ("85", "AUTO", "Bill"),
+        ("971", "", "General Query"),
+        ("971", "AUTO", "Bill"), ("971", "AUTO", "General Query"),
+    ]
