@@ -37,12 +37,18 @@ def parse_first(col: Column, formats: Sequence[str]) -> Column:
     )
     out = F.when(~col.rlike(r"^\s*[-+]|[-/\s][-+]|\d{5}"), parsed)
     literals = [_literals(fmt) for fmt in formats]
-    for fmt, own in zip(formats, literals):
+    # the first format, taken for the commonest, is looked at first
+    for fmt, own in reversed([*zip(formats, literals)]):
         # text that another pattern may read as well is left to the order of the patterns
         padded = _padded(fmt) if literals.count(own) == 1 else None
         if padded is not None:
             shape, starts = padded
-            out = F.when(col.rlike(shape), _cut_wall_clock(col, starts)).otherwise(out)
+            # a cast reads ISO text as it stands
+            iso = col if padded == _padded("y-M-d H:m:s") else _as_iso(col, starts)
+            # a month that is none is told here: the cast would raise and catch an exception
+            known = F.substring(col, starts["M"], 2) <= "12"
+            cut = F.when(known, iso.try_cast("timestamp_ntz"))
+            out = F.when(col.rlike(shape), cut).otherwise(out)
     return out
 
 
@@ -75,8 +81,8 @@ def _padded(fmt: str) -> tuple[str, dict[str, int]] | None:
     return rf"\A{shape}\z", starts
 
 
-def _cut_wall_clock(text: Column, starts: dict[str, int]) -> Column:
-    """Text of the shape of :func:`_padded` as ``timestamp_ntz``; NULL where no such time is."""
+def _as_iso(text: Column, starts: dict[str, int]) -> Column:
+    """Text of the shape of :func:`_padded` put in ISO order."""
 
     def field(letter: str) -> Column:
         if letter not in starts:
@@ -84,9 +90,7 @@ def _cut_wall_clock(text: Column, starts: dict[str, int]) -> Column:
         return F.substring(text, starts[letter], _DIGITS[letter])
 
     parts = [field("y"), "-", field("M"), "-", field("d"), " ", field("H"), ":", field("m"), ":", field("s")]
-    iso = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    # a month that is none is told here: the cast would raise and catch an exception
-    return F.when(field("M") <= "12", iso.try_cast("timestamp_ntz"))
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
 def _parse_wall_clock(text: Column, fmt: str) -> Column:

@@ -109,6 +109,14 @@ def test_padded_times_are_cut_up(spark):
     ]
 
 
+def test_iso_text_is_cast_as_it_stands(spark):
+    """Only text in another order, or with other separators, is cut up and put together again."""
+    cut = spark.createDataFrame([("x",)], "x string").select(parse_first(F.col("x"), TIMESTAMP_FORMATS))
+    assert ", 18, 2)" not in cut._jdf.queryExecution().optimizedPlan().toString()  # the seconds
+    rows = [("2024/01/02 03:04:05",), ("2024/13/02 03:04:05",)]
+    assert values(spark, "x string", rows, parse_first(F.col("x"), ("y/M/d H:m:s",))) == [ts(2024, 1, 2, 3, 4, 5), None]
+
+
 def test_formats_of_one_shape_keep_their_order(spark):
     rows = [("01/02/2024 10:00",), ("13/02/2024 10:00",), ("01/13/2024 10:00",)]
     for formats, first in ((("d/M/y H:m", "M/d/y H:m"), ts(2024, 2, 1, 10)), (("M/d/y H:m", "d/M/y H:m"), ts(2024, 1, 2, 10))):
